@@ -1,6 +1,7 @@
 """Imports every catalogue module so that all queries are registered."""
 
 from lorespark.plans import (  # noqa: F401
+    catalog_html,
     catalog_sections,
     catalog_sources,
 )
