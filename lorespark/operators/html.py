@@ -118,7 +118,7 @@ def _owners(stream: DataFrame, id_col: str) -> DataFrame:
             F.when(is_("p") & opens, pos).when(is_(*BLOCK_TAGS), F.lit(-1)), order
         ).alias("p_at"),
         _last_event(
-            F.when(is_(*HEADING_TAGS) & opens, pos).when(is_(*HEADING_TAGS) & closes, F.lit(-1)),
+            F.when(is_(*HEADING_TAGS) & opens, pos).when(is_(*BLOCK_TAGS), F.lit(-1)),
             order,
         ).alias("h_at"),
         _last_event(

@@ -178,11 +178,11 @@ def with_section_path(rows: DataFrame, id_col: str, depth: int = 6) -> DataFrame
     for k in range(1, depth + 1):
         here = F.when(F.col("level") == k, F.struct("pos", "title"))
         out = out.withColumn(f"__h{k}", F.last(here, ignorenulls=True).over(order))
-    entries, newest_outer = [], F.lit(-1)
+    entries, newest_outer = [], F.lit(-2)
     for k in range(1, depth + 1):
         at = F.col(f"__h{k}.pos")
         entries.append(F.when(at > newest_outer, F.col(f"__h{k}.title")))
-        newest_outer = F.greatest(newest_outer, F.coalesce(at, F.lit(-1)))
+        newest_outer = F.greatest(newest_outer, F.coalesce(at, F.lit(-2)))
     out = out.withColumn("path", F.array_compact(F.array(*entries)))
     return out.drop(*[f"__h{k}" for k in range(1, depth + 1)])
 

@@ -1,7 +1,9 @@
 """Imports every catalogue module so that all queries are registered."""
 
 from lorespark.plans import (  # noqa: F401
+    catalog_chunks,
     catalog_html,
+    catalog_markdown,
     catalog_sections,
     catalog_sources,
 )
