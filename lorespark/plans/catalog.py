@@ -3,6 +3,7 @@
 from lorespark.plans import (  # noqa: F401
     catalog_chunks,
     catalog_html,
+    catalog_knowledge,
     catalog_markdown,
     catalog_sections,
     catalog_sources,

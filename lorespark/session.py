@@ -24,6 +24,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **extra: str) ->
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **extra,
     }
     for key, value in settings.items():
