@@ -2,14 +2,209 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Sequence
 
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lorespark.functions.ordered import with_running
+from lorespark.session import cut_lineage
 
-def unique_slugs(df: DataFrame, base: str, order: str) -> DataFrame:
-    """Add ``slug``: repeats of a base get -2, -3, … in arrival order."""
-    from lorespark.functions.ordered import with_running
 
-    segment = F.floor(F.col(order) / 100_000)
+def unique_slugs(df: DataFrame, base: str, order: str, width: int = 100_000) -> DataFrame:
+    """Add ``slug``: repeats of a base get -2, -3, … in arrival order."""
+    segment = F.floor(F.col(order) / width)
     numbered = with_running(df, base, [order], segment, {"__n": F.lit(1)})
     suffix = F.when(F.col("__n") == 1, "").otherwise(F.concat(F.lit("-"), F.col("__n").cast("string")))
     return numbered.withColumn("slug", F.concat(base, suffix)).drop("__n")
+
+
+def closure(edges: DataFrame, max_depth: int = 100) -> DataFrame:
+    """(src, dst, depth): everything reachable from src, by shortest distance.
+
+    Each round extends only the newest pairs by one edge and keeps those not
+    seen before; rounds are checkpointed so that lineage stays short and lost
+    executors do not replay the loop. Reaching ``max_depth`` is an error, not
+    a silent cut.
+    """
+    steps = edges.select("src", "dst").distinct()
+    steps = cut_lineage(steps)
+    fresh = steps.withColumn("depth", F.lit(1))
+    known = fresh
+    for depth in range(2, max_depth + 2):
+        ahead = steps.select(F.col("src").alias("dst"), F.col("dst").alias("__far"))
+        grown = fresh.join(ahead, "dst").select("src", F.col("__far").alias("dst")).distinct()
+        fresh = cut_lineage(
+            grown.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
+        )
+        if fresh.isEmpty():
+            return known
+        if depth > max_depth:
+            raise ValueError(f"paths longer than {max_depth}")
+        known = known.unionByName(fresh)
+    return known
+
+
+def on_cycles(reachable: DataFrame) -> DataFrame:
+    """Nodes that reach themselves."""
+    return reachable.filter("src = dst").select(F.col("src").alias("node")).distinct()
+
+
+def edge_problems(edges: DataFrame, reachable: DataFrame) -> DataFrame:
+    """(src, dst, copies, problem): self loops, repeats and edges inside cycles."""
+    grouped = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies"))
+    back = reachable.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(True).alias("__back"))
+    joined = grouped.join(back, ["src", "dst"], "left")
+    problem = (
+        F.when(F.col("src") == F.col("dst"), "self loop")
+        .when(F.col("__back"), "cycle")
+        .when(F.col("copies") > 1, "duplicate")
+    )
+    return joined.withColumn("problem", problem).filter("problem IS NOT NULL").drop("__back")
+
+
+def chain_heads(links: DataFrame) -> DataFrame:
+    """(node, head, hops) following ``node -> next`` to the last one.
+
+    Pointer jumping: the distance covered doubles per round, so a chain of a
+    million links needs twenty joins. Finished pointers leave the join, which
+    keeps the popular last nodes out of it. Links must not form cycles.
+    """
+    base = links.select("node", F.col("next").alias("head"))
+    ends = base.select(F.col("node").alias("head"), F.lit(True).alias("__goes_on"))
+    state = base.join(ends, "head", "left").select(
+        "node", "head", F.lit(1).cast("bigint").alias("hops"), F.col("__goes_on").isNull().alias("done")
+    )
+    state = cut_lineage(state)
+    for _ in range(64):
+        moving = state.filter("NOT done")
+        if moving.isEmpty():
+            return state.drop("done")
+        ahead = state.select(
+            F.col("node").alias("head"), F.col("head").alias("__h"),
+            F.col("hops").alias("__n"), F.col("done").alias("__d"),
+        )
+        jumped = moving.join(ahead, "head").select(
+            "node", F.col("__h").alias("head"), (F.col("hops") + F.col("__n")).alias("hops"),
+            F.col("__d").alias("done"),
+        )
+        state = cut_lineage(state.filter("done").unionByName(jumped))
+    raise ValueError("links form a cycle")
+
+
+def neighbourhood(edges: DataFrame, nodes: DataFrame, key: str, title: str) -> DataFrame:
+    """(node, direction, type, other, other_title): both directions of each edge.
+
+    A union of two projections, not a join with OR.
+    """
+    out = edges.select(
+        F.col("src").alias("node"), F.lit("outgoing").alias("direction"), "type", F.col("dst").alias("other")
+    )
+    into = edges.select(
+        F.col("dst").alias("node"), F.lit("incoming").alias("direction"), "type", F.col("src").alias("other")
+    )
+    names = nodes.select(F.col(key).alias("other"), F.col(title).alias("other_title"))
+    return out.unionByName(into).join(names, "other").select(
+        "node", "direction", "type", "other", "other_title"
+    )
+
+
+def conflict_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Unordered, unique pairs without self pairs, with their number of reports."""
+    clean = pairs.filter(F.col(left) != F.col(right)).select(
+        F.least(left, right).alias("first"), F.greatest(left, right).alias("second")
+    )
+    return clean.groupBy("first", "second").agg(F.count(F.lit(1)).alias("reports"))
+
+
+def latest_per_entity(
+    rows: DataFrame, entity: Sequence[str], version: str, carry: Sequence[str], tie: str
+) -> DataFrame:
+    """Newest version per entity plus how many rows share a version number."""
+    per_version = rows.groupBy(*entity, version).agg(
+        F.max_by(F.struct(*carry), F.col(tie)).alias("__c"), F.count(F.lit(1)).alias("__n")
+    )
+    return per_version.groupBy(*entity).agg(
+        F.max(version).alias(version),
+        F.max_by("__c", version).alias("__c"),
+        F.count_if(F.col("__n") > 1).alias("repeated_versions"),
+    ).select(*entity, version, "__c.*", "repeated_versions")
+
+
+def entity_type_key(name: Column) -> Column:
+    """Normalised entity type: snake case, singular."""
+    key = F.regexp_replace(F.lower(F.trim(name)), r"[- ]", "_")
+    return F.when(key.rlike("ies$"), F.regexp_replace(key, "ies$", "y")).otherwise(
+        F.regexp_replace(key, "s$", "")
+    )
+
+
+def reference_audit(refs: DataFrame, entities: DataFrame, types: Sequence[str]) -> DataFrame:
+    """(…, entity_type, problem) of references with an unknown type or a missing target.
+
+    ``entities`` is the union of (entity_type, entity_id) over all tables.
+    """
+    rows = refs.withColumn("entity_type", entity_type_key(F.col("entity_type")))
+    unknown = rows.filter(~F.col("entity_type").isin(list(types))).withColumn(
+        "problem", F.lit("unknown type")
+    )
+    lost = rows.filter(F.col("entity_type").isin(list(types))).join(
+        entities, ["entity_type", "entity_id"], "left_anti"
+    ).withColumn("problem", F.lit("missing entity"))
+    return unknown.unionByName(lost)
+
+
+def latest_assessments(
+    rows: DataFrame, source: str, scores: Sequence[str], at: str, tie: str
+) -> DataFrame:
+    """Newest assessment per source and whether all its scores lie in [0, 1]."""
+    newest = rows.groupBy(source).agg(
+        F.max_by(F.struct(at, *scores), F.struct(at, tie)).alias("__a")
+    ).select(source, "__a.*")
+    valid = F.lit(True)
+    for s in scores:
+        valid = valid & F.coalesce(F.col(s).between(0.0, 1.0), F.lit(True))
+    return newest.withColumn("valid", valid)
+
+
+def outline(
+    levels: Sequence[tuple[DataFrame, str, str | None, str]], order_width: int = 100_000
+) -> DataFrame:
+    """One row per node of a fixed hierarchy: (level, id, parent, title, position, siblings).
+
+    ``levels`` lists (table, id column, parent column, title column) from the
+    root down. Positions count inside the parent in id order. Rows stay flat:
+    a parent with millions of children would not fit in one array, and a
+    reader takes one subtree with a filter.
+    """
+    out = None
+    for depth, (table, key, parent, title) in enumerate(levels):
+        rows = table.select(
+            F.lit(depth).alias("level"), F.col(key).cast("bigint").alias("id"),
+            (F.col(parent) if parent else F.lit(None)).cast("bigint").alias("parent"),
+            F.col(title).alias("title"),
+        ).withColumn("__p", F.coalesce("parent", F.lit(-1).cast("bigint")))
+        placed = with_running(
+            rows, "__p", ["id"], F.floor(F.col("id") / order_width), {"__n": F.lit(1)}
+        )
+        count = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("siblings"))
+        placed = placed.join(count, "__p").select(
+            "level", "id", "parent", "title", (F.col("__n") - 1).alias("position"), "siblings"
+        )
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def repeated_positions(children: DataFrame, parent: str, position: str) -> DataFrame:
+    """(parent, position, n) used more than once under one parent."""
+    return children.groupBy(parent, position).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+def resolve_aliases(phrases: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
+    """Join phrases to concepts by alias key: preferred alias first, then lowest id.
+
+    ``aliases`` has the key, alias_id, concept and preferred.
+    """
+    best = aliases.groupBy(key).agg(
+        F.min_by("concept", F.struct((~F.col("preferred")).alias("p"), "alias_id")).alias("concept")
+    )
+    return phrases.join(best, key, "left")

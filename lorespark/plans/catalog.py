@@ -2,8 +2,11 @@
 
 from lorespark.plans import (  # noqa: F401
     catalog_chunks,
+    catalog_graph,
+    catalog_history,
     catalog_html,
     catalog_knowledge,
+    catalog_learning,
     catalog_markdown,
     catalog_sections,
     catalog_sources,

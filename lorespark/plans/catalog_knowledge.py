@@ -11,8 +11,8 @@ from lorespark.plans.registry import Tables, query
 
 CONCEPTS, CATEGORIES = v.CORPUS_CONCEPTS, v.CORPUS_CATEGORIES
 RELATIONS = (
-    ("The Article", "related_to", "Conjunction"),
-    ("Preposition", "part_of", "The Article"),
+    ("Article", "related_to", "Conjunction"),
+    ("Preposition", "part_of", "Article"),
     ("License", "used_for", "Relative"),
 )
 TAGS = (

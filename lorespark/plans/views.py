@@ -113,7 +113,7 @@ CORPUS_CATEGORIES = (
 )
 
 CORPUS_CONCEPTS = {
-    "The Article": ("the",),
+    "Article": ("the",),
     "License": ("license", "copyright"),
     "Conjunction": ("and", "et"),
     "Relative": ("that", "which", "qui"),
