@@ -2,6 +2,7 @@
 
 from lorespark.plans import (  # noqa: F401
     catalog_chunks,
+    catalog_flagship,
     catalog_graph,
     catalog_history,
     catalog_html,
@@ -10,6 +11,7 @@ from lorespark.plans import (  # noqa: F401
     catalog_markdown,
     catalog_sections,
     catalog_sources,
+    catalog_streams,
 )
 from lorespark.plans.registry import ORACLES, QUERIES
 

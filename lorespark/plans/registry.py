@@ -15,10 +15,10 @@ class Tables:
     """Lazy access to the input tables of one folder: ``t.documents``."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self._folder = spark, folder
+        self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return read_table(self.spark, self._folder, name)
+        return read_table(self.spark, self.folder, name)
 
 
 QUERIES: dict[str, Query] = {}
