@@ -16,6 +16,12 @@ from pyspark.sql import types as T
 
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 NON_SPACE = r"[^\s\x1c-\x1f\x85\p{Z}]"
+#: white space that has to change: runs, and single characters other than a blank
+_UNEVEN_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]{2,}|[\s\x1c-\x1f\x85\p{Z}&&[^ ]]"
+_SPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 
@@ -53,7 +59,7 @@ def casefold(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all Unicode white space from both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
 
 
 def unify_newlines(text: Column) -> Column:
@@ -64,14 +70,15 @@ def clean_text(text: Column) -> Column:
     """Tidy raw text: NULs, line ends, blank runs, then at most one empty line."""
     out = F.replace(text, F.lit("\x00"), F.lit(" "))
     out = unify_newlines(out)
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r" *\n *", "\n")
+    # the patterns match only what changes, so clean stretches are not rebuilt
+    out = F.regexp_replace(out, r"[ \t]{2,}|\t", " ")
+    out = F.regexp_replace(out, r" +\n *|\n +", "\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     return strip(out)
 
 
 def collapse_space(text: Column) -> Column:
-    return strip(F.regexp_replace(text, f"{SPACE}+", " "))
+    return strip(F.regexp_replace(text, _UNEVEN_SPACE, " "))
 
 
 def normalize_whitespace(text: Column) -> Column:

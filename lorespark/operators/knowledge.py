@@ -16,6 +16,7 @@ from lorespark.functions.ordered import first_arrivals
 from lorespark.operators import search
 from lorespark.operators.chunking import let
 from lorespark.operators.sections import LINE_BREAK
+from lorespark.session import prepare
 
 _W = tx.WORD
 _WORD_END = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -34,19 +35,26 @@ TOP_TERMS, RAW_TITLE_LIMIT = 12, 150
 
 
 def _heading_like(line: Column) -> Column:
+    def by_words(plain: Column, words: Column) -> Column:
+        n = F.size(words)
+        titled = F.size(
+            F.filter(
+                words,
+                lambda w: w.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
+                | (w.rlike(r"^\p{Lu}[^\p{Lu}\p{Lt}]*$") & w.rlike(r"\p{Ll}")),
+            )
+        )
+        return (
+            (n == 0)
+            | ((n <= 10) & F.endswith(plain, F.lit(":")))
+            | ((n <= 8) & ~plain.rlike(r"[.!?]$") & (titled >= 0.75 * n))
+        )
+
     plain = tx.strip(F.regexp_replace(line, rf"^(?:[#>*]|{tx.SPACE})+", ""))
-    words = F.regexp_extract_all(plain, F.lit(_SPOKEN_WORD), 1)
-    titled = F.filter(
-        words,
-        lambda w: w.rlike(r"^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$")
-        | (w.rlike(r"^\p{Lu}[^\p{Lu}\p{Lt}]*$") & w.rlike(r"\p{Ll}")),
-    )
-    n = F.size(words)
-    return (
-        F.startswith(line, F.lit("#"))
-        | (n == 0)
-        | ((n <= 10) & F.endswith(plain, F.lit(":")))
-        | ((n <= 8) & ~plain.rlike(r"[.!?]$") & (F.size(titled) >= 0.75 * n))
+    # every value is bound once: expressions inside array functions are not shared
+    return F.startswith(line, F.lit("#")) | let(
+        plain,
+        lambda p: let(F.regexp_extract_all(p, F.lit(_SPOKEN_WORD), 1), lambda w: by_words(p, w)),
     )
 
 
@@ -182,6 +190,7 @@ def candidates(
     Dictionary hits, phrases, terms and bigrams in this order; aliases become
     canonical titles, keys are unique and the first ``cap`` titles are kept.
     """
+    prepare(docs.sparkSession)
     docs = docs.select(id_col, text).repartition(F.col(id_col))
     tokens = terms(docs, id_col, text)
     counts = term_counts(tokens, id_col)
@@ -250,8 +259,36 @@ def aliases_of(title: Column, concepts: Mapping[str, Sequence[str]]) -> Column:
     return F.coalesce(_alias_table(concepts)[title], F.array(title))
 
 
-def _mentions(sentence: Column, lowered: Column, alias: Column) -> Column:
-    return F.contains(lowered, F.lower(alias)) & tx.contains_term(sentence, alias)
+def alias_items(aliases: Column) -> Column:
+    """Aliases prepared for many tests: (alias, low, word, simple).
+
+    A one-word alias is ``simple``: whole-term containment is then the same
+    as containment of `` word `` in the blank-separated words of a sentence.
+    """
+    return F.transform(
+        aliases,
+        lambda a: F.struct(
+            a.alias("alias"), F.lower(a).alias("low"), F.concat(F.lit(" "), F.lower(a), F.lit(" ")).alias("word"),
+            a.rlike(rf"^{_W}+$").alias("simple"),
+        ),
+    )
+
+
+def sentence_item(sentence: Column) -> Column:
+    """A sentence prepared for alias tests: (s, low, words)."""
+    return let(
+        F.lower(sentence),
+        lambda low: F.struct(
+            sentence.alias("s"), low.alias("low"),
+            F.concat(F.lit(" "), F.regexp_replace(low, f"{tx.NON_WORD}+", " "), F.lit(" ")).alias("words"),
+        ),
+    )
+
+
+def _mentions(sentence: Column, alias: Column) -> Column:
+    return F.when(alias["simple"], F.contains(sentence["words"], alias["word"])).otherwise(
+        F.contains(sentence["low"], alias["low"]) & tx.contains_term(sentence["s"], alias["alias"])
+    )
 
 
 def difficulty(summary: Column) -> Column:
@@ -268,18 +305,15 @@ def described(
     The candidate list (capped per document) is attached to its document row,
     so sentences are tested in place and no sentence-candidate pairs exist.
     """
-    item = F.struct("rank", "title", aliases_of(F.col("title"), concepts).alias("aliases"))
+    item = F.struct("rank", "title", alias_items(aliases_of(F.col("title"), concepts)).alias("aliases"))
     lists = found.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("__c"))
     rows = docs.select(
         id_col,
-        F.transform(
-            sentence_array(tx.nfkc(F.col(text)), 3, 15),
-            lambda s: F.struct(s.alias("s"), F.lower(s).alias("l")),
-        ).alias("__s"),
+        F.transform(sentence_array(tx.nfkc(F.col(text)), 3, 15), sentence_item).alias("__s"),
         search.detect_categories(F.col(text), category_rules).alias("__categories"),
     ).join(lists, id_col)
     first = lambda c: F.get(
-        F.filter("__s", lambda s: F.exists(c["aliases"], lambda a: _mentions(s["s"], s["l"], a))), F.lit(0)
+        F.filter("__s", lambda s: F.exists(c["aliases"], lambda a: _mentions(s, a))), F.lit(0)
     )["s"]
     rows = rows.select(
         id_col, "__categories",
@@ -358,21 +392,22 @@ def claims(
     A sentence belongs to the document's concept with the longest alias it
     holds (earlier concept on a tie); a statement is stored once, globally.
     """
-    item = F.struct("concept_order", "slug", aliases_of(F.col("concept"), concepts).alias("aliases"))
+    item = F.struct("concept_order", "slug", alias_items(aliases_of(F.col("concept"), concepts)).alias("aliases"))
     lists = doc_concepts.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("__c"))
     rows = docs.select(id_col, sentence_array(tx.nfkc(F.col(text))).alias("__s")).join(lists, id_col)
 
     def best(s: Column) -> Column:
         return let(
-            F.lower(s),
-            lambda low: F.array_max(
+            sentence_item(s),
+            lambda item: F.array_max(
                 F.filter(
                     F.transform(
                         "__c",
                         lambda c, i: F.struct(
                             F.array_max(
                                 F.transform(
-                                    F.filter(c["aliases"], lambda a: _mentions(s, low, a)), F.length
+                                    F.filter(c["aliases"], lambda a: _mentions(item, a)),
+                                    lambda a: F.length(a["alias"]),
                                 )
                             ).alias("n"),
                             (-i).alias("earlier"), c["slug"].alias("slug"),

@@ -98,13 +98,14 @@ def search(
     )
     runs = runs.groupBy(*chunk_key, "run").agg(F.count(F.lit(1)).alias("times"))
     hits = vocabulary_hits(runs.select("run").distinct(), terms.select("token").distinct())
-    weighted = hits.join(terms, "token").groupBy("run", query_id).agg(
-        F.sum(F.col("occurrences") * F.col("weight")).alias("per_run")
+    # counts per chunk and token first: far fewer rows than runs times queries
+    counted = runs.join(hits, "run").groupBy(*chunk_key, "token").agg(
+        F.sum(F.col("times") * F.col("occurrences")).alias("n")
     )
     scored = (
-        runs.join(weighted, "run")
+        counted.join(terms, "token")
         .groupBy(query_id, *chunk_key)
-        .agg(F.sum(F.col("times") * F.col("per_run")).alias("score"))
+        .agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
     )
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), *chunk_key)
     return (
@@ -119,25 +120,19 @@ def vocabulary_hits(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     Containment becomes an equi-join on the token's length and text: each run
     is cut into its substrings of the lengths that tokens really have.
     """
-    lengths = tokens.select(F.length("token").alias("n")).distinct()
-    lengths = lengths.agg(F.array_sort(F.collect_set("n")).alias("lengths"))
-    # at most one array value per distinct token length, so the single row is tiny
-    cut = (
-        vocabulary.join(F.broadcast(lengths))
-        .withColumn("n", F.explode("lengths"))
-        .filter(F.length("run") >= F.col("n"))
-        .select(
-            "run",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("run") - F.col("n") + 1),
-                        lambda i: F.substring(F.col("run"), i, F.col("n")),
-                    )
-                )
-            ).alias("token"),
+    lengths = tokens.select(F.collect_set(F.length("token"))).scalar()
+    pieces = F.flatten(
+        F.transform(
+            F.filter(F.col("lengths"), lambda n: n <= F.length("run")),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.length("run") - n + 1), lambda i: F.substring(F.col("run"), i, n)
+            ),
         )
     )
+    # one small array: as many values as there are token lengths
+    cut = vocabulary.withColumn("lengths", lengths).select(
+        "run", F.explode(F.array_distinct(pieces)).alias("token")
+    )
     return cut.join(tokens, "token").select(
         "run", "token", tx.count_substring(F.col("run"), F.col("token")).alias("occurrences")
     )

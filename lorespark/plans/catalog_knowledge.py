@@ -8,6 +8,7 @@ from lorespark.functions import rules, text as tx
 from lorespark.operators import knowledge as kn
 from lorespark.plans import views as v
 from lorespark.plans.registry import Tables, query
+from lorespark.session import cut_lineage
 
 CONCEPTS, CATEGORIES = v.CORPUS_CONCEPTS, v.CORPUS_CATEGORIES
 RELATIONS = (
@@ -37,7 +38,8 @@ def described(t: Tables) -> DataFrame:
 
 
 def with_concepts(t: Tables):
-    rows = described(t)
+    # used by the registry, the document lists and their consumers
+    rows = cut_lineage(described(t))
     table = kn.registry(rows, "doc_id")
     return table, kn.document_concepts(rows, table, "doc_id")
 
@@ -310,7 +312,7 @@ SELECT 'concepts' AS entity, count(*) FILTER (slug NOT IN (SELECT {v.sql_slug('p
 UNION ALL SELECT 'claims', count(*), 0 FROM claims""")
 def f12(t: Tables):
     existing = t.part.select(tx.slugify(F.col("p_name")).alias("slug"))
-    rows = described(t)
+    rows = cut_lineage(described(t))
     table = kn.registry(rows, "doc_id", existing)
     concepts = kn.document_concepts(rows, table, "doc_id")
     made = kn.claims(clean_docs(t), concepts, "doc_id", "text", CONCEPTS)

@@ -68,33 +68,38 @@ EXPIRY_SCHEMA = T.StructType([
     T.StructField("event_type", T.StringType()),
 ])
 _EVENT = T.StructType([
-    T.StructField("ts", T.TimestampType()), T.StructField("event_id", T.LongType()),
+    T.StructField("job_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("event_id", T.LongType()),
     T.StructField("status", T.StringType()),
 ])
 _ENDS_LEASE = ("queued", "reserved", *TERMINAL)
 
 
-def ended_leases(events: pd.DataFrame, job_id: int, until: pd.Timestamp, ttl: pd.Timedelta) -> pd.DataFrame:
+def ended_leases(events: pd.DataFrame, until: pd.Timestamp, ttl: pd.Timedelta) -> pd.DataFrame:
     """Leases reserved before ``until`` that met no closing event within the TTL."""
-    rows = events.sort_values(["ts", "event_id"]).reset_index(drop=True)
-    ends = rows.status.isin(_ENDS_LEASE)
-    following = rows.ts.where(ends).shift(-1).bfill()
-    runs = rows.ts.where(rows.status.eq("running")).shift(-1).bfill()
+    rows = events.sort_values(["job_id", "ts", "event_id"]).reset_index(drop=True)
+
+    def next_time(marked: pd.Series) -> pd.Series:
+        later = rows.ts.where(marked).groupby(rows.job_id).shift(-1)
+        return later.groupby(rows.job_id).bfill()
+
+    following = next_time(rows.status.isin(_ENDS_LEASE))
+    runs = next_time(rows.status.eq("running"))
     deadline = rows.ts + ttl
     out = rows[rows.status.eq("reserved") & (rows.ts < until) & ~(following <= deadline)]
     running = runs[out.index] <= deadline[out.index]
     return pd.DataFrame({
-        "job_id": job_id, "reserved_event": out.event_id, "expired_at": deadline[out.index],
+        "job_id": out.job_id, "reserved_event": out.event_id, "expired_at": deadline[out.index],
         "previous": running.map({True: "running", False: "reserved"}),
         "event_type": running.map({True: "failed", False: "released"}),
     })
 
 
 class LeaseExpiry(StatefulProcessor):
-    """Buffers the events of one (job, hour) and decides when the hour is over.
+    """Buffers the events of one (job group, hour) and decides when the hour is over.
 
     Leases are far shorter than an hour, so a busy job is spread over its
-    hours instead of living in one state entry.
+    hours instead of living in one state entry; quiet jobs share an entry,
+    which saves the cost of a timer per job.
     """
 
     def __init__(self, ttl_seconds: int) -> None:
@@ -107,17 +112,17 @@ class LeaseExpiry(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             self.events.appendList([
-                (ts.to_pydatetime(), int(event), status)
-                for ts, event, status in zip(batch.ts, batch.event_id, batch.status)
+                (int(job), ts.to_pydatetime(), int(event), status)
+                for job, ts, event, status in zip(batch.job_id, batch.ts, batch.event_id, batch.status)
             ])
         self.handle.registerTimer((key[1] + 3600) * 1000 + self.ttl_ms)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(self.events.get()), columns=["ts", "event_id", "status"])
+        kept = pd.DataFrame(list(self.events.get()), columns=["job_id", "ts", "event_id", "status"])
         kept["ts"] = pd.to_datetime(kept.ts)
         until = pd.Timestamp(key[1] + 3600, unit="s")
-        yield ended_leases(kept, key[0], until, pd.Timedelta(self.ttl_ms, unit="ms"))
+        yield ended_leases(kept, until, pd.Timedelta(self.ttl_ms, unit="ms"))
         self.events.clear()
 
     def close(self) -> None:
@@ -125,24 +130,28 @@ class LeaseExpiry(StatefulProcessor):
 
 
 def lease_expiry(
-    events: DataFrame, sink: str, progress: str, ttl_seconds: int = rules.LEASE_TTL_SECONDS, delay: str = "1 hour"
+    events: DataFrame, sink: str, progress: str, ttl_seconds: int = rules.LEASE_TTL_SECONDS,
+    delay: str = "1 hour", groups: int | None = None,
 ) -> None:
     """Write one row per lease that ran out: (job_id, reserved_event, expired_at, …).
 
     An event close to the start of its hour also goes to the hour before,
-    where it can still close a lease.
+    where it can still close a lease. ``groups`` is the number of job groups
+    per hour, by default one per shuffle partition.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    parts = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
     second = F.unix_timestamp(F.col("ts"))
     hour = F.floor(second / 3600) * 3600
     early = F.floor((second - ttl_seconds - 1) / 3600) * 3600
     spread = (
         events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
         .withWatermark("ts", delay)
+        .withColumn("job_group", F.pmod(F.xxhash64("job_id"), F.lit(parts)))
         .withColumn("hour", F.explode(F.array_distinct(F.array(hour, early))))
     )
-    found = spread.groupBy("job_id", "hour").transformWithStateInPandas(
+    found = spread.groupBy("job_group", "hour").transformWithStateInPandas(
         LeaseExpiry(ttl_seconds), EXPIRY_SCHEMA, "append", "EventTime"
     )
     _run(found.writeStream.format("parquet").option("path", sink).outputMode("append"), progress)
