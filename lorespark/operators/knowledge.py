@@ -87,7 +87,7 @@ def dictionary_matches(
     concepts: Mapping[str, Sequence[str]] = rules.KNOWN_CONCEPTS,
 ) -> DataFrame:
     """(id, place, title, n): whole-term alias occurrences per known concept."""
-    lowered = F.lower(text)
+    lowered = F.col("__low")
 
     def hits(aliases: Sequence[str]) -> Column:
         # the cheap literal test spares the pattern scan of most texts
@@ -104,7 +104,9 @@ def dictionary_matches(
             for i, (title, aliases) in enumerate(concepts.items())
         ]
     )
-    return docs.select(id_col, F.explode(found).alias("m")).select(id_col, "m.*").filter("n > 0")
+    # lowered once: generators do not share common subexpressions
+    rows = docs.select(id_col, text, F.lower(text).alias("__low"))
+    return rows.select(id_col, F.explode(found).alias("m")).select(id_col, "m.*").filter("n > 0")
 
 
 def terms(docs: DataFrame, id_col: str, text: str) -> DataFrame:
