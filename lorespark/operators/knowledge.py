@@ -294,7 +294,7 @@ def _mentions(sentence: Column, alias: Column) -> Column:
 
 
 def difficulty(summary: Column) -> Column:
-    return F.when(search._any_term(summary, rules.ADVANCED_TERMS), "advanced").otherwise("beginner")
+    return F.when(search.any_term(summary, rules.ADVANCED_TERMS), "advanced").otherwise("beginner")
 
 
 def described(
@@ -481,7 +481,7 @@ def tags(
     reach the concepts that match by title or summary, else all of them.
     """
     active = F.array_compact(
-        F.array(*[F.when(search._any_term(F.col(text), r.keywords), F.lit(r.name)) for r in tag_rules])
+        F.array(*[F.when(search.any_term(F.col(text), r.keywords), F.lit(r.name)) for r in tag_rules])
     )
     levels = F.array(*[F.lit(x) for x in level_tags])
     with_level = F.when(F.arrays_overlap(active, levels), active).otherwise(
@@ -492,7 +492,7 @@ def tags(
     matched = F.array_compact(
         F.array(
             *[
-                F.when(F.lit(True) if r.everywhere else search._any_term(about, r.keywords), F.lit(r.name))
+                F.when(F.lit(True) if r.everywhere else search.any_term(about, r.keywords), F.lit(r.name))
                 for r in tag_rules
             ]
         )

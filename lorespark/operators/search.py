@@ -33,7 +33,7 @@ def detect_categories(
 ) -> Column:
     """All categories hit by a whole-term keyword, with parents, in rule order."""
     hits = {
-        rule.name: _any_term(text, rule.keywords) for rule in category_rules if rule.keywords
+        rule.name: any_term(text, rule.keywords) for rule in category_rules if rule.keywords
     }
     for rule in category_rules:
         if rule.parent and rule.name in hits:
@@ -59,11 +59,11 @@ def primary_category(
         if r.keywords and r.name not in (rules.BROAD_CATEGORY, rules.DEFAULT_CATEGORY)
     ]
     broad = [r for r in category_rules if r.name == rules.BROAD_CATEGORY]
-    options = [F.when(_any_term(text, r.keywords), F.lit(r.name)) for r in narrow + broad]
+    options = [F.when(any_term(text, r.keywords), F.lit(r.name)) for r in narrow + broad]
     return F.coalesce(*options, F.lit(rules.DEFAULT_CATEGORY))
 
 
-def _any_term(text: Column, terms: Sequence[str]) -> Column:
+def any_term(text: Column, terms: Sequence[str]) -> Column:
     # one alternation instead of one scan of the text per keyword
     bodies = [tx.term_pattern(t)[len("(?iu)"):] for t in terms]
     return text.rlike("(?iu)" + "|".join(bodies))

@@ -27,8 +27,8 @@ def _job_stream(t: Tables):
 SELECT DISTINCT sha256(text) AS sha256, 1::BIGINT AS copies FROM documents""")
 def l1(t: Tables):
     folder = new_run_folder(t.spark, "l1")
-    docs = _table_stream(t, "documents").withColumn("at", F.timestamp_seconds("doc_id"))
-    streams.dedup_ingest(docs, "text", "at", f"{folder}/docs", f"{folder}/progress")
+    docs = _table_stream(t, "documents")
+    streams.dedup_ingest(docs, "text", f"{folder}/docs", f"{folder}/progress")
     return t.spark.read.parquet(f"{folder}/docs").groupBy("sha256").agg(F.count("*").alias("copies"))
 
 

@@ -43,14 +43,17 @@ def _run(writer, progress: str) -> None:
 # --- first arrival per content -------------------------------------------------------
 
 
-def dedup_ingest(docs: DataFrame, content: str, at: str, sink: str, progress: str, delay: str = "1 day") -> None:
+def dedup_ingest(docs: DataFrame, content: str, sink: str, progress: str, delay: str = "1 day") -> None:
     """Append first arrivals per content hash to ``sink``.
 
-    Repeats inside the watermark are dropped by the stream's state; later
-    ones meet the stored hashes in an anti join, so the sink stays unique.
+    The watermark runs on arrival time, so no document counts as late and
+    none is lost. Repeats within ``delay`` of the first arrival are dropped by
+    the stream's state; later ones meet the stored hashes in an anti join.
     """
-    keyed = docs.withColumn("sha256", F.sha2(F.col(content), 256))
-    fresh = keyed.withWatermark(at, delay).dropDuplicatesWithinWatermark(["sha256"])
+    keyed = docs.withColumn("sha256", F.sha2(F.col(content), 256)).withColumn(
+        "arrived_at", F.current_timestamp()
+    )
+    fresh = keyed.withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["sha256"])
 
     def store(batch: DataFrame, _: int) -> None:
         append_new(batch, sink, ["sha256"])

@@ -162,3 +162,17 @@ def test_versions_rotate(spark):
     df = spark.createDataFrame(rows, "document int, version int, seq int, make boolean")
     got = ch.rg.with_current_flag(df, "document", "version", ["seq"], "make").filter("is_current").collect()
     assert {(r.document, r.version) for r in got} == {(1, 12), (2, 20)}
+
+
+def test_stream_dedup_over_batches(spark, tmp_path):
+    from lorespark.streaming import streams
+
+    schema = "doc_id long, text string"
+    for run, rows in enumerate([[(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c")], [(6, "a"), (7, "d")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        # a lost progress folder replays everything; the sink still stays unique
+        progress = tmp_path / ("p" if run < 2 else "p2")
+        streams.dedup_ingest(source, "text", str(tmp_path / "out"), str(progress))
+    stored = [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(stored) == ["a", "b", "c", "d"]
