@@ -186,8 +186,12 @@ def outline(
         placed = with_running(
             rows, "__p", ["id"], F.floor(F.col("id") / order_width), {"__n": F.lit(1)}
         )
-        count = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("siblings"))
-        placed = placed.join(count, "__p").select(
+        if parent is None:  # one group: its size is a scalar, not a join on a constant
+            placed = placed.withColumn("siblings", rows.select(F.count(F.lit(1))).scalar())
+        else:
+            count = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("siblings"))
+            placed = placed.join(count, "__p")
+        placed = placed.select(
             "level", "id", "parent", "title", (F.col("__n") - 1).alias("position"), "siblings"
         )
         out = placed if out is None else out.unionByName(placed)
