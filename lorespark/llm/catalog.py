@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from lorespark.llm import op1_suffix_dedup
+from lorespark.llm import op1_suffix_dedup, op6_substring_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
+    "op6_substring_dedup": op6_substring_dedup.query,
+}
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": op6_substring_dedup.SQL,
 }
-ORACLES: dict[str, str] = {}
