@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +26,14 @@ UNION_SHORTCUT = "spark.sql.unionOutputPartitioning"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the one setting that results depend on; returns the session."""
-    if spark.version >= "4.1":
+    """Apply the one setting that results depend on; returns the session.
+
+    Python workers on this machine also find the package, wherever the driver
+    was started; a cluster gets it by ``--py-files`` as usual.
+    """
+    if tuple(int(x) for x in spark.version.split(".")[:2]) >= (4, 1):
         spark.conf.set(UNION_SHORTCUT, "false")
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
 
 
