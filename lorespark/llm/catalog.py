@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lorespark.llm import op1_suffix_dedup, op6_substring_dedup
+from lorespark.llm import op1_suffix_dedup, op6_substring_dedup, op7_simhash
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
     "op6_substring_dedup": op6_substring_dedup.query,
+    "op7_simhash": op7_simhash.query,
 }
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": op6_substring_dedup.SQL,
