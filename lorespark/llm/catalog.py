@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lorespark.llm import op1_suffix_dedup, op2_toxicity, op3_topk, op5_packing, op6_substring_dedup, op7_simhash
+from lorespark.llm import op1_suffix_dedup, op2_toxicity, op3_topk, op4_language, op5_packing, op6_substring_dedup, op7_simhash
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
     "op2_toxicity": op2_toxicity.query,
     "op3_topk": op3_topk.query,
+    "op4_language": op4_language.query,
     "op5_packing": op5_packing.query,
     "op6_substring_dedup": op6_substring_dedup.query,
     "op7_simhash": op7_simhash.query,
