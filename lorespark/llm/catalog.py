@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import op1_suffix_dedup, op2_toxicity, op3_topk, op4_language, op5_packing, op6_substring_dedup, op7_simhash
+from lorespark.llm import op1_suffix_dedup, op2_toxicity, op3_topk, op4_language, op5_packing, op6_substring_dedup, op7_simhash, op8_mixing
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_packing": op5_packing.query,
     "op6_substring_dedup": op6_substring_dedup.query,
     "op7_simhash": op7_simhash.query,
+    "op8_mixing": op8_mixing.query,
 }
 ORACLES: dict[str, str] = {
     "op3_topk": op3_topk.SQL,
