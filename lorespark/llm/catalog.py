@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import op1_suffix_dedup, op2_toxicity, op3_topk, op4_language, op5_packing, op6_substring_dedup, op7_simhash, op8_mixing
+from lorespark.llm import op1_suffix_dedup, op2_toxicity, op3_topk, op4_language, op5_packing, op6_substring_dedup, op7_simhash, op8_mixing, op9_quality
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
@@ -13,8 +13,10 @@ QUERIES = {
     "op6_substring_dedup": op6_substring_dedup.query,
     "op7_simhash": op7_simhash.query,
     "op8_mixing": op8_mixing.query,
+    "op9_quality": op9_quality.query,
 }
 ORACLES: dict[str, str] = {
     "op3_topk": op3_topk.SQL,
     "op6_substring_dedup": op6_substring_dedup.SQL,
+    "op9_quality": op9_quality.SQL,
 }
