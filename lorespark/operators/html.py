@@ -46,13 +46,33 @@ def _unescape(values: pd.Series) -> pd.Series:
     return values.map(html_lib.unescape, na_action="ignore")
 
 
-def decode_entities(text: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_all(values: pd.Series) -> pd.Series:
+    def decoded(items):
+        return [None if x is None else html_lib.unescape(x) for x in items]
+
+    return values.map(decoded, na_action="ignore")
+
+
+def _has_rare(text: Column) -> Column:
     names = "|".join(e[1:-1] for e in _COMMON)
-    rare = text.rlike(rf"&(?!(?:{names});)[#A-Za-z]")
-    simple = text
+    return text.rlike(rf"&(?!(?:{names});)[#A-Za-z]")
+
+
+def _decode_common(text: Column) -> Column:
     for entity, char in _COMMON.items():  # the ampersand itself comes last
-        simple = F.replace(simple, F.lit(entity), F.lit(char))
-    return F.coalesce(_unescape(F.when(rare, text)), simple)
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def decode_entities(text: Column) -> Column:
+    return F.coalesce(_unescape(F.when(_has_rare(text), text)), _decode_common(text))
+
+
+def decode_all(texts: Column) -> Column:
+    """Each text of an array decoded; only arrays with a rare entity reach Python."""
+    rare = F.exists(texts, lambda x: F.coalesce(_has_rare(x), F.lit(False)))
+    return F.coalesce(_unescape_all(F.when(rare, texts)), F.transform(texts, _decode_common))
 
 
 def tidy_lines(text: Column) -> Column:
@@ -233,11 +253,16 @@ def metadata(pages: DataFrame, id_col: str, html: str, stem: Column | None = Non
     """Title, author, subject, language, dates, keywords and all meta values."""
     source = F.col(html)
     raw_title = F.regexp_extract(source, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
+    tags = F.regexp_extract_all(source, F.lit(rf"(?is)(<meta\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)"), 1)
+    key = lambda m: F.lower(F.coalesce(*[attribute_raw(m, n) for n in ("name", "property", "http-equiv")]))
+    # values are decoded before anything splits them
     metas = F.transform(
-        F.regexp_extract_all(source, F.lit(rf"(?is)(<meta\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>)"), 1),
+        F.arrays_zip(
+            decode_all(F.transform(tags, key)).alias("k"),
+            decode_all(F.transform(tags, lambda m: attribute_raw(m, "content"))).alias("v"),
+        ),
         lambda m: F.struct(
-            F.lower(F.coalesce(*[attribute_raw(m, n) for n in ("name", "property", "http-equiv")])).alias("k"),
-            attribute_raw(m, "content").alias("v"),
+            F.nullif(tx.strip(m["k"]), F.lit("")).alias("k"), F.nullif(tx.strip(m["v"]), F.lit("")).alias("v")
         ),
     )
     rows = pages.select(
@@ -277,11 +302,9 @@ def metadata(pages: DataFrame, id_col: str, html: str, stem: Column | None = Non
 
 
 def attribute_raw(tag: Column, name: str) -> Column:
-    """Attribute value inside a lambda: only the JVM entity decoding applies."""
+    """Attribute value as written, null when absent or empty."""
     pattern = rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     found = F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
-    for entity, char in _COMMON.items():
-        found = F.replace(found, F.lit(entity), F.lit(char))
     return F.nullif(tx.strip(found), F.lit(""))
 
 

@@ -51,17 +51,38 @@ def page_blocks(t: Tables) -> DataFrame:
     return html.blocks(t.pages, "page_id", "html")
 
 
+def pages_with_metas(t: Tables) -> DataFrame:
+    """Every page with four meta tags made of its own data, some with entities."""
+    number = F.col("page_id").cast("string")
+    metas = F.concat(
+        F.lit('<meta name="author" content="Ren&eacute; O&#39;Neil '), number,
+        F.lit('"><META content="k'), number, F.lit("&#44;x, &lt;b&gt; ; c\" name='Keywords'>"),
+        F.lit('<meta property="og:description" content="About &amp;amp; page '), number,
+        F.lit('"><meta name=robots content=none><meta name="empty" content="">'),
+    )
+    return t.pages.select("page_id", F.concat(metas, "html").alias("html"))
+
+
 @query("c7_html_metadata", rf"""
 WITH m AS (SELECT page_id, {_sql_tidy(_sql_decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS title,
   nullif(regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1), '') AS language,
-  len(list_filter(regexp_extract_all(html, '(?i)<meta [^>]*>'), lambda x: regexp_matches(x, '(?i)(name|property|http-equiv)='))) AS metas
-  FROM pages)
-SELECT page_id, nullif(title, '') AS title, NULL::VARCHAR AS author, language, metas::BIGINT AS metas, 0::BIGINT AS keywords FROM m""")
+  list_filter(regexp_extract_all(html, '(?i)<meta [^>]*>'), lambda x: regexp_matches(x, '(?i)(name|property|http-equiv)=')) AS own
+  FROM pages),
+given AS (SELECT page_id, unnest([
+    {{'k': 'author', 'v': 'René O''Neil ' || page_id}}, {{'k': 'keywords', 'v': 'k' || page_id || ',x, <b> ; c'}},
+    {{'k': 'og:description', 'v': 'About &amp; page ' || page_id}}, {{'k': 'robots', 'v': 'none'}}], recursive := true) FROM pages),
+pairs AS (SELECT page_id, k, v FROM given UNION ALL
+  SELECT page_id, lower(regexp_extract(x, '(?i)(?:name|property|http-equiv)="([^"]*)"', 1)), regexp_extract(x, '(?i)content="([^"]*)"', 1)
+  FROM (SELECT page_id, unnest(own) AS x FROM m))
+SELECT page_id, nullif(title, '') AS title, 'René O''Neil ' || page_id AS author, language,
+  'k' || page_id || '|x|<b>|c' AS keywords, 'About &amp; page ' || page_id AS subject,
+  (SELECT string_agg(k || '=' || v, '; ' ORDER BY k, v) FROM pairs p WHERE p.page_id = m.page_id AND v <> '') AS metas FROM m""")
 def c7(t: Tables):
-    out = html.metadata(t.pages, "page_id", "html")
-    return out.select("page_id", "title", "author", "language",
-                      F.size("meta").cast("bigint").alias("metas"),
-                      F.size("keywords").cast("bigint").alias("keywords"))
+    out = html.metadata(pages_with_metas(t), "page_id", "html")
+    pairs = F.flatten(F.transform(F.map_entries("meta"), lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("k"), v.alias("v")))))
+    listed = F.transform(F.array_sort(pairs), lambda p: F.concat_ws("=", p["k"], p["v"]))
+    return out.select("page_id", "title", "author", "language", F.array_join("keywords", "|").alias("keywords"),
+                      "subject", F.array_join(listed, "; ").alias("metas"))
 
 
 @query("c8_html_blocks", f"""

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lorespark.functions import text as tx
 from lorespark.operators import html, markdown, sections
 
 PLAIN = """INTRO NOTE
@@ -22,54 +23,54 @@ Body three.
 """
 
 MARKDOWN = """---
-title: Sample Doc
-author: "A. Writer"
-# a comment
-keywords: [alpha, beta]
+title: Tide tables
+author: 'K. Moss'
+keywords: [sea, moon]
 ---
-# Overview
+Harbour notes
+-------------
 
-Text with `code()` and [link](https://example.invalid "T").
+Low water comes *twice* a day, see `ebb(t)` or [the log](https://sea.example/log_(old) 'Log').
 
-- bullet
-  - nested
-3. numbered
+1. first tide
+   * inner mark
+2. second tide
 
-> quoted
-> again
+>> deep quote
+>> goes on
 
+~~~sh
+echo "a | b" ```
 ```python
-print("x | y")
+## no heading
+~~~
 
-# not a heading
-```
+Port | Height
+:--- | -----:
+Quay | 3
 
-| Name | Value |
-| --- | ---: |
-| alpha | 1 |
+[![gauge](g.png)](https://sea.example/g) and _one_snake_case_ word.
 
-![diagram](img.png)
+***
 
----
-
-    indented()
+\tspring()
 
-[manual]: https://example.invalid/manual "Manual"
+[log]: <https://sea.example/log> (The log)
 """
 
-PAGE = """<!doctype html><html lang="en"><head><title>Sample &amp; Co</title>
-<meta name="author" content="A. Writer"><meta name="keywords" content="one, two; three">
-<meta property="og:description" content="About"><style>.x { }</style><script>var a = "<p>no</p>";</script></head>
-<body><p>Early text<h1>Overview</h1><!-- <p>gone</p> -->
-<p>Paragraph with <code>inline()</code> and
-   <a href="/page" rel="next">a link</a>.
-<ul><li>one<ul><li>inner</ul><li><p>two</p></ul>
-<h2>Part</h2><blockquote>quoted</blockquote><blockquote><p>deep</p></blockquote>
-<pre><code>a  b
-c</code></pre>
-<table><caption>Cap</caption><tr><th>Name</th><th>Value</th></tr><tr><td><p>alpha</p></td><td>1</td></tr></table>
-<figure><img src="i.png" alt="diagram"><figcaption>Shown</figcaption></figure><div>bare</div>
-<iframe src="x">no</iframe></body></html>"""
+PAGE = """<!DOCTYPE html><HTML lang='pt'><head><title>Mar&eacute;s &amp; Lua</title>
+<meta content="Lu&iacute;s d&#39;Orey" name=author><meta name='keywords' content='sea&#44;salt, moon;'>
+<meta property="og:description" content="Tides"><script>if (a < b) { "<h1>no</h1>" }</script></head>
+<body><p>Loose words<h2>Harbour</h2><!-- <li>gone -->
+<p>Ebb with <b>bold</b> and
+<a rel=nofollow href='/log'>the log</a>!
+<ol><li>rope<ol><li>knot</ol><li><p>sail</p></ol>
+<h3>Lights</h3><blockquote>red<blockquote>green</blockquote></blockquote>
+<pre>on
+ off</pre>
+<table><caption>Heights</caption><tr><th>Port<th>m</tr><tr><td>Quay<td>3</tr></table>
+<figure><img alt="gauge" src="g.png"><figcaption>Gauge</figcaption></figure>
+<style>p { color: red }</style></body></HTML>"""
 
 
 def frame(spark, text):
@@ -126,47 +127,76 @@ def test_section_paths_equal_a_stack(spark):
 def test_markdown(spark):
     front = markdown.front_matter(frame(spark, MARKDOWN), "doc_id", "text")
     meta = front.first()
-    assert (meta.title, meta.author, meta.keywords) == ("Sample Doc", "A. Writer", ["alpha", "beta"])
+    assert (meta.title, meta.author, meta.keywords) == ("Tide tables", "K. Moss", ["sea", "moon"])
     blocks = markdown.blocks(front, "doc_id", "body")
     rows = blocks.orderBy("pos").collect()
     assert [(r.block_type, r.text) for r in rows] == [
-        ("heading", "Overview"), ("paragraph", "Text with code() and link."),
-        ("list_item", "bullet"), ("list_item", "nested"), ("list_item", "numbered"),
-        ("blockquote", "quoted\nagain"), ("fenced_code", 'print("x | y")\n\n# not a heading'),
-        ("table", "Name\tValue\nalpha\t1"), ("paragraph", "diagram"),
-        ("horizontal_rule", "[HORIZONTAL_RULE]"), ("code_block", "indented()"),
-        ("definition", '[manual]: https://example.invalid/manual "Manual"')]
+        ("heading", "Harbour notes"), ("paragraph", "Low water comes twice a day, see ebb(t) or the log."),
+        ("list_item", "first tide"), ("list_item", "inner mark"), ("list_item", "second tide"),
+        ("blockquote", "deep quote\ngoes on"), ("fenced_code", 'echo "a | b" ```\n```python\n## no heading'),
+        ("table", "Port\tHeight\nQuay\t3"), ("paragraph", "gauge and one_snake_case word."),
+        ("horizontal_rule", "[HORIZONTAL_RULE]"), ("code_block", "spring()"),
+        ("definition", "[log]: <https://sea.example/log> (The log)")]
     items = [r for r in rows if r.block_type == "list_item"]
-    assert [(r.list_level, r.ordered, r.list_start) for r in items] == [(0, False, None), (1, False, None), (0, True, 3)]
-    assert rows[6].language == "python" and rows[7].cells == [["Name", "Value"], ["alpha", "1"]]
+    assert [(r.list_level, r.ordered, r.list_start) for r in items] == [(0, True, 1), (1, False, None), (0, True, 2)]
+    assert rows[6].language == "sh" and rows[7].cells == [["Port", "Height"], ["Quay", "3"]]
     links = {(r.kind, r.text, r.target, r.title) for r in markdown.inline_links(blocks, "doc_id").collect()}
-    assert links == {("link", "link", "https://example.invalid", "T"), ("image", "diagram", "img.png", None),
-                     ("code", "code()", None, None)}
+    assert links == {("link", "the log", "https://sea.example/log_(old)", "Log"), ("link", "gauge", "https://sea.example/g", None),
+                     ("image", "gauge", "g.png", None), ("code", "ebb(t)", None, None)}
     ref = markdown.reference_definitions(front, "doc_id", "body").first()
-    assert (ref.label, ref.target, ref.title) == ("manual", "https://example.invalid/manual", "Manual")
+    assert (ref.label, ref.target, ref.title) == ("log", "https://sea.example/log", "The log")
+
+
+def test_fences_close_with_their_own_sign(spark):
+    cases = {
+        "```\na\n~~~\nb\n```\nplain": ["a\n~~~\nb", "plain"],
+        "```\na\n```python\nb\n```\n# head": ["a\n```python\nb", "head"],
+        "````\n```\nx\n```\n````\nend": ["```\nx\n```", "end"],
+        "~~~ a`b\nx\n~~~~\ny": ["x", "y"],
+        "``` a`b\n\nplain": ["``` a`b", "plain"],
+        "```\nnever closed\n\n# code": ["never closed\n\n# code"],
+        "```\none\n```\n```\ntwo\n```": ["one", "two"],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    found = {}
+    for r in markdown.blocks(df, "doc_id", "text").orderBy("doc_id", "pos").collect():
+        found.setdefault(r.doc_id, []).append(r.text)
+    assert [found[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_long_lines_take_linear_time(spark):
+    n = 1 << 18
+    pieces = ["[", "![", "](", "[a](", "`", "` ``", "*", "**a ", "_a ", "> ", ">", "|", "-", "- ", "#", "# ", "~", "=", "/a", "/", "\\", "[x]", "<", "&"]
+    texts = [(p * (n // len(p))) for p in pieces] + ["[" + "a" * n, "# " + " " * n + "x", "~" * n + "`", "[a]:" + " " * n + "x y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    blocks = markdown.blocks(df, "doc_id", "text")
+    assert blocks.agg(F.count("*")).first()[0] > 0
+    markdown.inline_links(blocks, "doc_id").count()
+    markdown.reference_definitions(df, "doc_id", "text").count()
+    markdown.front_matter(df, "doc_id", "text").agg(F.sum(F.length("body"))).first()
+    df.select(tx.safe_message(F.col("text")), tx.error_code(F.col("text"))).agg(F.count("*")).first()
 
 
 def test_html(spark):
     df = frame(spark, PAGE)
     found = html.blocks(df, "doc_id", "text")
     rows = found.orderBy("pos").collect()
-    assert [(r.block_type, r.text) for r in rows] == [
-        ("paragraph", "Early text"), ("heading", "Overview"),
-        ("paragraph", "Paragraph with inline() and\na link ."), ("list_item", "one"), ("list_item", "inner"),
-        ("list_item", "two"), ("heading", "Part"), ("blockquote", "quoted"), ("blockquote", "deep"),
-        ("preformatted_code", "a b\nc")]
+    assert [(r.block_type, " ".join(r.text.split())) for r in rows] == [
+        ("paragraph", "Loose words"), ("heading", "Harbour"), ("paragraph", "Ebb with bold and the log !"),
+        ("list_item", "rope"), ("list_item", "knot"), ("list_item", "sail"), ("heading", "Lights"),
+        ("blockquote", "red"), ("blockquote", "green"), ("preformatted", "on off")]
     titles = html.metadata(df, "doc_id", "text")
     meta = titles.first()
-    assert (meta.title, meta.author, meta.subject, meta.language) == ("Sample & Co", "A. Writer", "About", "en")
-    assert meta.keywords == ["one", "two", "three"]
+    assert (meta.title, meta.author, meta.subject, meta.language) == ("Marés & Lua", "Luís d'Orey", "Tides", "pt")
+    assert meta.keywords == ["sea", "salt", "moon"]
     paths = [r.path for r in html.with_paths(found, titles.select("doc_id", "title"), "doc_id").orderBy("pos").collect()]
-    assert paths[0] == ["Sample & Co"] and paths[3] == ["Overview"] and paths[-1] == ["Overview", "Part"]
+    assert paths[0] == ["Marés & Lua"] and paths[3] == ["Marés & Lua", "Harbour"] and paths[-1] == ["Marés & Lua", "Harbour", "Lights"]
     table = html.tables(df, "doc_id", "text").first()
-    assert (table.caption, table.headers, table.rows) == ("Cap", ["Name", "Value"], [["alpha", "1"]])
+    assert (table.caption, table.headers, table.rows) == ("Heights", ["Port", "m"], [["Quay", "3"]])
     link = html.links(df, "doc_id", "text").first()
-    assert (link.text, link.target, link.rel) == ("a link", "/page", "next")
+    assert (link.text, link.target, link.rel) == ("the log", "/log", "nofollow")
     image = html.images(df, "doc_id", "text").first()
-    assert (image.identifier, image.alt_text, image.caption) == ("i.png", "diagram", "Shown")
+    assert (image.identifier, image.alt_text, image.caption) == ("g.png", "gauge", "Gauge")
 
 
 def test_html_limits_and_broken_markup(spark):
