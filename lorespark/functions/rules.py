@@ -106,8 +106,6 @@ STOPWORDS = (
     "where which while with would you your"
 ).split()
 
-MAX_CONCEPTS_PER_DOCUMENT = 50
-
 #: (source concept, relationship type, target concept)
 RELATION_RULES = (
     ("Forex", "belongs_to", "Financial Markets"),

@@ -22,13 +22,13 @@ _W = tx.WORD
 _WORD_END = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
 _SPOKEN_WORD = rf"({_W}(?:[\p{{L}}\p{{N}}_'-]*{_W})?)"
 _TERM = rf"(?<!{_W})([A-Za-z][A-Za-z'-]{{2,}}{_WORD_END})"
+# fixed values: what counts as a capitalised word and as a term
 _CAPS = r"(?:[A-Z]{2,}|[A-Z][a-z]+)"
 _PHRASE = rf"(?<!{_W})({_CAPS}(?:{tx.SPACE}+{_CAPS}){{0,3}})(?!{_W})"
 _EDGE_MARKS = r"""^[.,:;!?()\[\]{}"']+|[.,:;!?()\[\]{}"']+$"""
 
 #: source order of raw concept titles (fixed values)
 FROM_DICTIONARY, FROM_PHRASE, FROM_TERM, FROM_BIGRAM = 0, 1, 2, 3
-TOP_TERMS, RAW_TITLE_LIMIT = 12, 150
 
 
 # --- sentences -------------------------------------------------------------------
@@ -152,14 +152,19 @@ def phrases(
 
 
 def frequent_terms(
-    counts: DataFrame, id_col: str, stopwords: Sequence[str] = rules.STOPWORDS, top: int = TOP_TERMS
+    counts: DataFrame, id_col: str, stopwords: Sequence[str] = rules.STOPWORDS, top: int | None = None
 ) -> DataFrame:
-    """(id, place, title): most frequent terms; ties keep first occurrence order."""
+    """(id, place, title): frequent terms; ties keep first occurrence order.
+
+    All of them, unless the caller asks for the ``top`` ones.
+    """
     order = Window.partitionBy(id_col).orderBy(F.desc("n"), "first_pos")
     kept = counts.filter(
         (F.col("n") >= 3) & (F.length("term") >= 4) & ~F.col("term").isin(list(stopwords))
     )
-    ranked = kept.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
+    ranked = kept.withColumn("place", F.row_number().over(order))
+    if top is not None:
+        ranked = ranked.filter(F.col("place") <= top)
     return ranked.select(id_col, "place", title_case(F.col("term")).alias("title"))
 
 
@@ -185,12 +190,13 @@ def candidates(
     docs: DataFrame, id_col: str, text: str,
     concepts: Mapping[str, Sequence[str]] = rules.KNOWN_CONCEPTS,
     stopwords: Sequence[str] = rules.STOPWORDS,
-    cap: int = rules.MAX_CONCEPTS_PER_DOCUMENT,
+    cap: int | None = None,
 ) -> DataFrame:
-    """(id, rank, title, raw_titles, duplicates, truncated): merged candidates.
+    """(id, rank, title, key, raw_titles, duplicates): merged candidates.
 
     Dictionary hits, phrases, terms and bigrams in this order; aliases become
-    canonical titles, keys are unique and the first ``cap`` titles are kept.
+    canonical titles and keys are unique. All titles are kept, ranked; a
+    caller that wants the first ones only passes ``cap``.
     """
     prepare(docs.sparkSession)
     docs = docs.select(id_col, text).repartition(F.col(id_col))
@@ -204,20 +210,11 @@ def candidates(
             "title", weight.alias("weight"),
         )
 
-    early = (
+    raw = (
         part(dictionary_matches(docs, id_col, text, concepts), FROM_DICTIONARY, F.col("n"))
         .unionByName(part(phrases(docs, counts, id_col, text, stopwords), FROM_PHRASE, one))
         .unionByName(part(frequent_terms(counts, id_col, stopwords), FROM_TERM, one))
-    )
-    late = part(bigrams(tokens, id_col, stopwords), FROM_BIGRAM, one)
-    # bigrams are added one by one until the raw list reaches its limit
-    used = Window.partitionBy(id_col)
-    raw = early.unionByName(late).withColumn(
-        "__used", F.coalesce(F.sum(F.when(F.col("source") != FROM_BIGRAM, F.col("weight"))).over(used), F.lit(0))
-    )
-    raw = raw.filter(
-        (F.col("source") != FROM_BIGRAM)
-        | (F.col("place") <= F.greatest(one, RAW_TITLE_LIMIT - F.col("__used")))
+        .unionByName(part(bigrams(tokens, id_col, stopwords), FROM_BIGRAM, one))
     )
     cleaned = F.regexp_replace(tx.collapse_space(F.col("title")), _EDGE_MARKS, "")
     raw = raw.withColumn("title", _drop_leading_stopwords(cleaned, stopwords))
@@ -240,10 +237,10 @@ def candidates(
         F.sum("weight").over(by_doc).alias("raw_titles"),
         F.count(F.lit(1)).over(by_doc).alias("__n"),
     )
-    return unique.filter(F.col("rank") <= cap).select(
-        id_col, "rank", "title", "key", "raw_titles",
-        (F.col("raw_titles") - F.col("__n")).alias("duplicates"),
-        (F.col("__n") > cap).alias("truncated"),
+    if cap is not None:
+        unique = unique.filter(F.col("rank") <= cap)
+    return unique.select(
+        id_col, "rank", "title", "key", "raw_titles", (F.col("raw_titles") - F.col("__n")).alias("duplicates")
     )
 
 
@@ -304,7 +301,7 @@ def described(
 ) -> DataFrame:
     """(id, rank, title, slug, summary, difficulty, category) of each candidate.
 
-    The candidate list (capped per document) is attached to its document row,
+    The candidate list is attached to its document row,
     so sentences are tested in place and no sentence-candidate pairs exist.
     """
     item = F.struct("rank", "title", alias_items(aliases_of(F.col("title"), concepts)).alias("aliases"))
@@ -325,7 +322,7 @@ def described(
                 lambda c: F.struct(
                     c["rank"].alias("rank"), c["title"].alias("title"),
                     F.coalesce(
-                        F.substring(first(c), 1, 500),
+                        first(c),
                         F.concat(c["title"], F.lit(" is a concept identified in the imported document.")),
                     ).alias("summary"),
                 ),
@@ -513,19 +510,19 @@ IDENTITY = ("title", "source_type", "author", "publisher", "publication_year", "
 
 
 def clean_sources(df: DataFrame) -> DataFrame:
-    """Tidy source metadata: defaults, lengths, lower-case type, integer year."""
+    """Tidy source metadata: defaults, lower-case type, integer year; values stay whole."""
 
-    def cut(name: str, size: int, default: str | None = None) -> Column:
-        value = F.nullif(F.substring(tx.normalize_whitespace(F.col(name)), 1, size), F.lit(""))
+    def tidy(name: str, default: str | None = None) -> Column:
+        value = F.nullif(tx.normalize_whitespace(F.col(name)), F.lit(""))
         return value if default is None else F.coalesce(value, F.lit(default))
 
     return df.withColumns(
         {
-            "title": cut("title", 500, "Untitled Document"),
-            "source_type": tx.casefold(cut("source_type", 100, "document")),
-            "author": cut("author", 255),
-            "publisher": cut("publisher", 255),
-            "url": cut("url", 2048),
+            "title": tidy("title", "Untitled Document"),
+            "source_type": tx.casefold(tidy("source_type", "document")),
+            "author": tidy("author"),
+            "publisher": tidy("publisher"),
+            "url": tidy("url"),
             "publication_year": F.expr("try_cast(publication_year AS INT)"),
         }
     )

@@ -120,7 +120,7 @@ ph AS (SELECT p.doc_id, p.place, p.title FROM ph1 p LEFT JOIN tc ON tc.doc_id =
 SQL_FREQUENT = rf"""
 ft AS (SELECT doc_id, place, {_sql_title('term')} AS title FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos) AS place FROM tc
-  WHERE n >= 3 AND length(term) >= 4 AND term NOT IN ({_STOP})) WHERE place <= 12)"""
+  WHERE n >= 3 AND length(term) >= 4 AND term NOT IN ({_STOP})))"""
 
 SQL_BIGRAMS = rf"""
 bp AS (SELECT *, lead(term) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM tk),
@@ -160,9 +160,7 @@ _ALIASES = ", ".join(
 SQL_CANDIDATES = f"""{SQL_CLEAN}, {SQL_DICTIONARY}, {SQL_TERMS}, {SQL_PHRASES}, {SQL_FREQUENT}, {SQL_BIGRAMS},
 early AS (SELECT doc_id, 0 AS src, place, title, n AS weight FROM dict WHERE n > 0
   UNION ALL SELECT doc_id, 1, place, title, 1 FROM ph UNION ALL SELECT doc_id, 2, place, title, 1 FROM ft),
-eu AS (SELECT doc_id, sum(weight) AS used FROM early GROUP BY doc_id),
-rw AS (SELECT * FROM early UNION ALL SELECT b.doc_id, 3, place, title, 1 FROM bg b LEFT JOIN eu ON eu.doc_id = b.doc_id
-  WHERE place <= greatest(1, 150 - coalesce(used, 0))),
+rw AS (SELECT * FROM early UNION ALL SELECT doc_id, 3, place, title, 1 FROM bg),
 rk AS (SELECT *, {v.sql_key('title')} AS key0 FROM (SELECT doc_id, src, place, weight,
   regexp_replace(trim(title, '.,:;!?()[]{{}}"'''), '^(?i)((({_STOP_ALT}))( |$))+', '') AS title FROM rw)),
 rc AS (SELECT doc_id, src, place, weight, coalesce(a.canon, title) AS title FROM rk
@@ -171,15 +169,14 @@ rc AS (SELECT doc_id, src, place, weight, coalesce(a.canon, title) AS title FROM
 un AS (SELECT doc_id, {v.sql_key('title')} AS key, arg_min(title, (src, place)) AS title, min((src, place)) AS loc, sum(weight) AS weight
   FROM rc GROUP BY ALL),
 cand AS (SELECT doc_id, title, key, row_number() OVER (PARTITION BY doc_id ORDER BY loc) AS rank,
-  sum(weight) OVER (PARTITION BY doc_id) - count(*) OVER (PARTITION BY doc_id) AS duplicates,
-  count(*) OVER (PARTITION BY doc_id) > 50 AS truncated FROM un QUALIFY rank <= 50)"""
+  sum(weight) OVER (PARTITION BY doc_id) - count(*) OVER (PARTITION BY doc_id) AS duplicates FROM un)"""
 
 
 @query("f5_concept_candidates", f"""
-WITH {SQL_CANDIDATES} SELECT doc_id, rank::BIGINT AS rank, title, duplicates::BIGINT AS duplicates, truncated FROM cand""")
+WITH {SQL_CANDIDATES} SELECT doc_id, rank::BIGINT AS rank, title, duplicates::BIGINT AS duplicates FROM cand""")
 def f5(t: Tables):
     return found(t).select("doc_id", F.col("rank").cast("bigint").alias("rank"), "title",
-                           F.col("duplicates").cast("bigint").alias("duplicates"), "truncated")
+                           F.col("duplicates").cast("bigint").alias("duplicates"))
 
 
 _ALIAS_ROWS = ", ".join(f"('{title}', '{a}')" for title, al in CONCEPTS.items() for a in al)
@@ -191,7 +188,7 @@ al AS (SELECT c.doc_id, c.rank, c.title, coalesce(a.alias, c.title) AS alias FRO
   LEFT JOIN (VALUES {_ALIAS_ROWS}) a(title, alias) ON a.title = c.title),
 sm AS (SELECT al.doc_id, rank, arg_min(sentence, pos) AS sentence FROM al JOIN sents s ON s.doc_id = al.doc_id
   AND {_HAS.format(s='sentence', a='alias')} GROUP BY ALL),
-described AS (SELECT c.doc_id, c.rank, c.title, coalesce(left(sentence, 500), c.title || ' is a concept identified in the imported document.') AS summary
+described AS (SELECT c.doc_id, c.rank, c.title, coalesce(sentence, c.title || ' is a concept identified in the imported document.') AS summary
   FROM cand c LEFT JOIN sm ON sm.doc_id = c.doc_id AND sm.rank = c.rank)"""
 
 
@@ -293,7 +290,7 @@ def _sources(pages: DataFrame) -> DataFrame:
 @query("f11_source_resolution", rf"""
 WITH s AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, CASE WHEN page_id % 5 <> 0 THEN lower(url) END AS u,
   CASE WHEN page_id % 2 = 0 THEN 'web page' ELSE 'document' END AS st, page_id % 7 AS au, page_id % 3 = 0 AS y FROM pages),
-old AS (SELECT * FROM s WHERE page_id % 10 < 6), new AS (SELECT * FROM s WHERE page_id % 10 >= 5),
+old AS (SELECT * FROM s WHERE page_id % 10 < 6), new AS (SELECT * FROM s),
 bu AS (SELECT u, min(page_id) AS id FROM old WHERE u IS NOT NULL GROUP BY u),
 bi AS (SELECT host, st, au, y, coalesce({v.sql_key('u')}, '') AS u, min(page_id) AS id FROM old GROUP BY ALL)
 SELECT n.page_id, coalesce(bu.id, bi.id) AS matched_id, CASE WHEN bu.id IS NOT NULL THEN 'url' WHEN bi.id IS NOT NULL THEN 'identity' END AS matched_by
@@ -302,7 +299,7 @@ FROM new n LEFT JOIN bu ON bu.u = n.u LEFT JOIN bi ON bi.host = n.host AND bi.st
 def f11(t: Tables):
     rows = kn.clean_sources(_sources(t.pages))
     old = rows.filter("page_id % 10 < 6").withColumnRenamed("page_id", "stored_id")
-    return kn.resolve_sources(rows.filter("page_id % 10 >= 5"), old, "page_id", "stored_id")
+    return kn.resolve_sources(rows, old, "page_id", "stored_id")
 
 
 @query("f12_build_report", f"""

@@ -55,12 +55,13 @@ n1 AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(
     '\s+', '_', 'g'), '[^A-Za-z0-9._+-]', '', 'g'), '_+', '_', 'g'), ' ._-') AS safe FROM uploads),
 n2 AS (SELECT *, lower(regexp_extract(safe, '(\.[^.]*)$', 1)) AS dot_ext,
     coalesce(nullif(trim(regexp_replace(safe, '\.[^.]*$', ''), ' ._-'), ''), 'file') AS stem FROM n1),
-n3 AS (SELECT *, CASE WHEN safe <> '' THEN left(CASE WHEN upper(stem) IN ({_RESERVED}) THEN 'file_' || stem
-    ELSE stem END, greatest(1, 255 - length(dot_ext))) || dot_ext END AS file_name,
+n3 AS (SELECT *, CASE WHEN safe <> '' THEN CASE WHEN upper(stem) IN ({_RESERVED}) THEN 'file_' || stem
+    ELSE stem END || dot_ext END AS file_name,
     replace(dot_ext, '.', '') AS extension, lower(trim(split_part(mime, ';', 1))) AS mime_type FROM n2)
 SELECT page_id, file_name, extension, mime_type,
   array_to_string(list_filter([
     CASE WHEN file_name IS NULL THEN 'invalid file name' END,
+    CASE WHEN length(file_name) > 255 THEN 'file name too long' END,
     CASE WHEN size <= 0 THEN 'zero bytes' END,
     CASE WHEN size > 52428800 THEN 'too large' END,
     CASE WHEN extension NOT IN ({_ALL_EXTS}) THEN 'extension not allowed' END,
@@ -212,9 +213,9 @@ def b8(t: Tables):
 
 @query("b9_safe_messages", rf"""
 WITH m AS (SELECT page_id, url || '  failed at /srv/data/' || page_id || '/in.html: ' || left(url, 0) AS msg FROM pages)
-SELECT page_id, left(regexp_replace({v.sql_collapse('msg')},
-    '(?:[A-Za-z]:\\|/)(?:[^ \t:]+[/\\])+[^ \t:]+', '[internal path]', 'g'), 2000) AS message,
-  left(trim(regexp_replace(upper(trim(msg)), '[^A-Z0-9_]+', '_', 'g'), '_'), 100) AS code FROM m""")
+SELECT page_id, regexp_replace({v.sql_collapse('msg')},
+    '(?:[A-Za-z]:\\|/)[^ \t:][^ \t:/\\]*[/\\][^ \t:]+', '[internal path]', 'g') AS message,
+  trim(regexp_replace(upper(trim(msg)), '[^A-Z0-9_]+', '_', 'g'), '_') AS code FROM m""")
 def b9(t: Tables):
     raw = F.concat("url", F.lit("  failed at /srv/data/"), F.col("page_id").cast("string"),
                    F.lit("/in.html: "))

@@ -64,6 +64,10 @@ def fingerprints(df: DataFrame, id_col: str, content: str) -> DataFrame:
     )
 
 
+#: Longer file names are reported; they are never cut.
+MAX_NAME = 255
+
+
 def normalized_file_name(name: Column) -> Column:
     """Safe ASCII file name, or null when nothing safe is left."""
     base = F.regexp_extract(F.replace(name, F.lit("\\"), F.lit("/")), r"(?s)([^/]*)$", 1)
@@ -79,10 +83,8 @@ def normalized_file_name(name: Column) -> Column:
     stem = F.when(
         F.upper(stem).isin(rules.RESERVED_NAMES), F.concat(F.lit("file_"), stem)
     ).otherwise(stem)
-    room = F.greatest(F.lit(1), F.lit(255) - F.length(extension))
-    full = F.concat(F.substring(stem, F.lit(1), room), extension)
-    bad = (F.length(name) > 1024) | base.isin("", ".", "..") | (safe == "")
-    return F.when(~bad & (F.length(full) <= 255), full)
+    bad = base.isin("", ".", "..") | (safe == "")
+    return F.when(~bad, F.concat(stem, extension))
 
 
 def plain_mime(mime: Column) -> Column:
@@ -112,6 +114,7 @@ def admit_uploads(
         "reasons",
         reasons(
             (F.col("file_name").isNull(), "invalid file name"),
+            (F.length("file_name") > MAX_NAME, "file name too long"),
             (F.col("size") <= 0, "zero bytes"),
             (F.col("size") > max_bytes, "too large"),
             (~F.col("extension").isin(list(extensions)), "extension not allowed"),

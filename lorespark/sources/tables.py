@@ -12,24 +12,9 @@ TABLES = (
 ).split()
 
 
-#: tables whose rows carry long texts, so that a row is much work
-TEXT_TABLES = ("documents", "pages", "conversations")
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    table = prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    return spread(table) if name in TEXT_TABLES else table
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when the input has fewer splits than cores.
-
-    A file with one row group is one split, however heavy its rows are. Large
-    inputs have many splits and are returned as they are, without a shuffle.
-    Splits are counted from the plan; no job runs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """One input table; its splits follow ``spark.sql.files.maxPartitionBytes``."""
+    return prepare(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.{txt,md}") -> DataFrame:
