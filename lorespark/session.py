@@ -25,14 +25,21 @@ DEFAULTS = {
 UNION_SHORTCUT = "spark.sql.unionOutputPartitioning"
 
 
+#: Rows that Python workers get at once. Rows here carry whole texts, so that
+#: ten thousand of them would fill a worker; a value set by the user stays.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the one setting that results depend on; returns the session.
+    """Apply the setting that results depend on, and the batch size; returns the session.
 
     Python workers on this machine also find the package, wherever the driver
     was started; a cluster gets it by ``--py-files`` as usual.
     """
     if tuple(int(x) for x in spark.version.split(".")[:2]) >= (4, 1):
         spark.conf.set(UNION_SHORTCUT, "false")
+    if spark.conf.get(BATCH_ROWS) == "10000":  # the default suits numbers
+        spark.conf.set(BATCH_ROWS, "1000")
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
     return spark
 
