@@ -77,9 +77,13 @@ def search(
     chunk_key: Sequence[str],
     content: str,
     limit: int = 10,
+    category: str | None = None,
 ) -> DataFrame:
     """Exact top ``limit`` chunks per query by summed token counts.
 
+    ``category`` keeps only chunks whose ``category`` column has that value,
+    before any text is cut into tokens.
+
     Queries and chunks meet through an inverted index rather than as pairs.
     A query token is a substring of a chunk exactly when it is a substring of
     one of the chunk's distinct maximal token runs, because tokens hold only
@@ -91,6 +95,8 @@ def search(
         .groupBy(query_id, "token")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
+    if category is not None:
+        chunks = chunks.filter(F.col("category") == category)
     lowered = F.lower(F.col(content))
     runs = chunks.select(
         *chunk_key,

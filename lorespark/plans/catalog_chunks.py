@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lorespark.functions import hashing, text as tx
+from lorespark.functions import hashing, rules, text as tx
 from lorespark.operators import chunk_tables as ct
 from lorespark.operators import chunking as ck
 from lorespark.operators import html, search, sections
@@ -306,15 +306,12 @@ def _sql_score(x: str, words) -> str:
     )
 
 
-_SCORES = ", ".join(f"{_sql_score('text', ws)} AS s{i}" for i, ws in enumerate(v.CORPUS_CLASSES.values()))
-_N = len(v.CORPUS_CLASSES)
-_BEST = "greatest(" + ", ".join(f"s{i}" for i in range(_N)) + ")"
-_CASES = " ".join(f"WHEN s{i} = {_BEST} THEN '{n}'" for i, n in enumerate(v.CORPUS_CLASSES))
-
-
-def _sql_classified(source: str, cols: str) -> str:
-    return (f"SELECT {cols}, CASE WHEN {_BEST} = 0 THEN 'general' {_CASES} END AS category "
-            f"FROM (SELECT *, {_SCORES} FROM {source})")
+def _sql_classified(source: str, cols: str, classes=v.CORPUS_CLASSES) -> str:
+    scores = ", ".join(f"{_sql_score('text', words)} AS s{i}" for i, words in enumerate(classes.values()))
+    best = "greatest(" + ", ".join(f"s{i}" for i in range(len(classes))) + ")"
+    cases = " ".join(f"WHEN s{i} = {best} THEN '{n}'" for i, n in enumerate(classes))
+    return (f"SELECT {cols}, CASE WHEN {best} = 0 THEN 'general' {cases} END AS category "
+            f"FROM (SELECT *, {scores} FROM {source})")
 
 
 @query("e1_classify_documents", f"{_sql_classified('documents', 'doc_id')}")
@@ -322,7 +319,8 @@ def e1(t: Tables):
     return t.documents.select("doc_id", search.classify(F.col("text"), v.CORPUS_CLASSES).alias("category"))
 
 
-@query("e1_classify_default_rules")
+@query("e1_classify_default_rules", f"""
+SELECT category, count(*)::BIGINT AS documents FROM ({_sql_classified('documents', 'doc_id', rules.CLASSIFIER_KEYWORDS)}) GROUP BY category""")
 def e1_default(t: Tables):
     out = t.documents.select(search.classify(F.col("text")).alias("category"))
     return out.groupBy("category").agg(F.count("*").alias("documents"))
@@ -346,6 +344,20 @@ def e2(t: Tables):
     return hits.select("item_id", "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("ordinal", "score", "position")])
 
 
+@query("e2_category_search", rf"""
+WITH {SQL_PLAIN}, cc AS ({_sql_classified('chunks', 'doc_id, ordinal, text')}),
+tok AS (SELECT item_id, lower(u) AS token, count(*) AS weight FROM (
+    SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_''-]+')) AS u FROM benchmark) WHERE length(u) >= 2 GROUP BY ALL),
+lc AS (SELECT doc_id, ordinal, lower(text) AS t FROM cc WHERE category = 'places'),
+sc AS (SELECT item_id, doc_id, ordinal, sum(weight * (length(t) - length(replace(t, token, ''))) // length(token)) AS score
+  FROM lc JOIN tok ON contains(t, token) GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, ordinal) AS position FROM sc)
+SELECT item_id, doc_id, ordinal::BIGINT AS ordinal, score::BIGINT AS score, position::BIGINT AS position FROM rk WHERE position <= 10""")
+def e2_category(t: Tables):
+    hits = search.search(_classified_chunks(t), t.benchmark, "item_id", "text", ["doc_id", "ordinal"], "text", 10, "places")
+    return hits.select("item_id", "doc_id", *[F.col(c).cast("bigint").alias(c) for c in ("ordinal", "score", "position")])
+
+
 @query("e3_corpus_statistics", f"""
 WITH {SQL_PLAIN}, cc AS ({_sql_classified('chunks', 'doc_id')})
 SELECT 'documents' AS measure, NULL AS category, count(*)::BIGINT AS n FROM ca
