@@ -11,7 +11,9 @@ finds its place by its rank among the pieces of its length.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +34,13 @@ CACHE = 800_000
 _ODD = re.compile(r"\s\s|[^\S \n]|\x00")
 
 
+def _le_bytes(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder(dict):
     """Token ids as little-endian bytes, by word.
 
@@ -49,7 +58,7 @@ class Encoder(dict):
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        return [_le_bytes(x.ids) for x in found]
 
     def _split(self, part: str) -> tuple[str, str] | None:
         if len(part) > 1 and part[-1] in ",." and part[-2].isalpha():
@@ -81,7 +90,7 @@ class Encoder(dict):
         missing: set[str] = set()
         for p in parts:
             missing.update(p or ())
-        missing.difference_update(self.keys())
+        missing = {x for x in missing if x not in self}
         if missing:
             self._learn(missing)
         return [
