@@ -180,8 +180,12 @@ def f5(t: Tables):
 
 
 _ALIAS_ROWS = ", ".join(f"('{title}', '{a}')" for title, al in CONCEPTS.items() for a in al)
-_HAS = (r"contains(lower({s}), lower({a})) AND regexp_matches({s}, '(?i)(^|[^\p{{L}}\p{{N}}_])' || "
-        r"regexp_replace({a}, '([^A-Za-z0-9_ ])', '\\\1', 'g') || '([^\p{{L}}\p{{N}}_]|$)')")
+# patterns made from a column are slow, so they are left to what holds the alias at all
+_HAS = (r"CASE WHEN NOT contains(lower({s}), lower({a})) THEN false "
+        r"WHEN regexp_full_match({a}, '[\p{{L}}\p{{N}}_]+') THEN contains(' ' || "
+        r"regexp_replace(lower({s}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') || ' ', ' ' || lower({a}) || ' ') "
+        r"ELSE regexp_matches({s}, '(?i)(^|[^\p{{L}}\p{{N}}_])' || "
+        r"regexp_replace({a}, '([^A-Za-z0-9_ ])', '\\\1', 'g') || '([^\p{{L}}\p{{N}}_]|$)') END")
 SQL_DESCRIBED = f"""{SQL_CANDIDATES},
 {sql_sentences(3, 15).replace(SQL_CLEAN + ',', '').replace('sentences AS', 'sents AS')},
 al AS (SELECT c.doc_id, c.rank, c.title, coalesce(a.alias, c.title) AS alias FROM cand c
