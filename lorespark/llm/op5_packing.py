@@ -5,7 +5,8 @@ each length, so the plan for any number of pieces is made from at most
 ``size`` counts: bins of equal remaining capacity are handled together, and a
 segment tree over the capacities finds the tightest open bin in logarithmic
 time. The result is that of placing the pieces one by one. Each piece then
-finds its place by its rank among the pieces of its length.
+finds its place by its rank among the pieces of its length, and carries its
+token ids there.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import json
 import re
 import sys
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -26,8 +26,8 @@ from lorespark.llm.common import named, stage, text_of
 from lorespark.session import prepare
 
 SIZE = 2048
-#: Rows ranked together; a length is ranked in many such buckets.
-BUCKET = 1 << 16
+#: Bytes of token ids that a worker hands on at once.
+HANDED = 1 << 24
 #: Cached words of a worker; the cache starts anew when full.
 CACHE = 800_000
 
@@ -152,7 +152,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def _pieces(path: str, size: int, end_id: int):
-    """Pieces of each text: start, length and checksum of its ids."""
+    """Pieces of each text: start, length, number among the task's pieces of that length, and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -160,9 +160,16 @@ def _pieces(path: str, size: int, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         tail = np.array([end_id], "<u4").tobytes()
+        seen = [0] * (size + 1)
         for batch in batches:
-            texts = batch.column("_t").to_pylist()
-            rows, piece, start, length, check = [], [], [], [], []
+            texts, idents = batch.column("_t").to_pylist(), batch.column("id")
+            rows, numbers, ids, held = [], [], [], 0
+
+            def made() -> pa.RecordBatch:
+                piece, start, length, nth = zip(*numbers)
+                arrays = [idents.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, nth)), pa.array(ids, pa.binary())]
+                return pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "nth", "ids"])
+
             for lo in range(0, len(texts), 200):
                 for i, body in enumerate(encoder.ids(texts[lo : lo + 200]), lo):
                     body += tail
@@ -172,14 +179,15 @@ def _pieces(path: str, size: int, end_id: int):
                         # the first piece takes what does not fill a sequence
                         step = (n % size or size) if number == 0 else size
                         rows.append(i)
-                        piece.append(number)
-                        start.append(at)
-                        length.append(step)
-                        check.append(zlib.crc32(memoryview(body)[4 * at : 4 * (at + step)]))
-                        at, number = at + step, number + 1
-            ids = batch.column("id").take(pa.array(rows, pa.int64()))
-            arrays = [ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, check))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "ids_crc32"])
+                        numbers.append((number, at, step, seen[step]))
+                        ids.append(body[4 * at : 4 * (at + step)])
+                        seen[step] += 1
+                        at, number, held = at + step, number + 1, held + 4 * step
+                        if held >= HANDED:
+                            yield made()
+                            rows, numbers, ids, held = [], [], [], 0
+            if rows:
+                yield made()
 
     return run
 
@@ -269,48 +277,51 @@ def _place(plan: np.ndarray, size: int):
             beyond = rank - row[:, 1]
             sequence = row[:, 2] + beyond // row[:, 4]
             offset = row[:, 3] + beyond % row[:, 4] * length
-            columns = [batch.column(c) for c in ("id", "piece", "start", "length", "ids_crc32")]
+            columns = [batch.column(c) for c in ("id", "piece", "start", "length", "ids")]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(sequence), pa.array(offset)],
-                names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+                names=["id", "piece", "start", "length", "ids", "sequence_id", "offset"],
             )
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = 0) -> DataFrame:
-    """Pieces with their place: id, piece, start, length, ids_crc32, sequence_id, offset.
-
-    A text's ids end with ``end_id``; null counts as empty, which gives one
-    piece of one token. Longer texts are cut from the end, so the first piece
-    may be shorter. Repeated rows are packed once each; an empty table gives
-    an empty table. Runs jobs; the driver sees one count for each length.
+    """Pieces with their place: id, piece, start, length, ids, sequence_id, offset, ids_crc32.
+
+    ``ids`` has four little-endian bytes a token: the pieces of a
+    ``sequence_id`` by ``offset`` are the sequence. A text's ids end with
+    ``end_id``; null counts as empty, which gives one piece of one token.
+    Longer texts are cut from the end, so the first piece may be shorter.
+    Repeated rows are packed once each; an empty table gives an empty table.
+    Runs jobs; the driver sees one count for each length.
     """
     spark = prepare(docs.sparkSession)
     plain = docs.select(named(docs, ident).alias("id"), text_of(docs, text).alias("_t"))
     kind = plain.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    made = plain.mapInArrow(_pieces(tokenizer, size, end_id), schema)
-    pieces = stage(made.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    columns = f"id {kind}, piece int, start long, length long"
+    made = plain.mapInArrow(_pieces(tokenizer, size, end_id), f"{columns}, nth long, ids binary")
+    pieces = stage(made.withColumn("part", F.spark_partition_id()), "pieces")
 
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``size`` rows
+    per_part = pieces.groupBy("length", "part").count()
+    counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``size`` rows
     plan = np.array(sorted(best_fit(counts, size)), np.int64).reshape(-1, 5)
     # the table's length depends on ``size`` alone: a few rows for each length and capacity
     shared = spark.sparkContext.broadcast(plan)
 
-    dealt = pieces.withColumn("bucket", F.expr(f"row div {BUCKET}"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("length", "bucket").count().select(
-        "length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead")
-    )
-    inside = Window.partitionBy("length", "bucket").orderBy("row")
-    ranked = dealt.withColumn("within", F.row_number().over(inside)).join(offsets, ["length", "bucket"])
-    ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("ahead") + F.col("within") - 1).alias("rank"))
-    return ranked.mapInArrow(_place(shared, size), f"{schema}, sequence_id long, offset long")
+    # a piece's rank: pieces of its length in the parts before, and before it in its own
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_part.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
+    ranked = pieces.join(offsets, ["length", "part"])
+    ranked = ranked.select("id", "piece", "start", "length", "ids", (F.col("ahead") + F.col("nth")).alias("rank"))
+    placed = ranked.mapInArrow(_place(shared, size), f"{columns}, ids binary, sequence_id long, offset long")
+    return placed.withColumn("ids_crc32", F.crc32("ids"))
 
 
 def query(spark, folder: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+    found = pack(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+    # the registered columns: ids by their checksum
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

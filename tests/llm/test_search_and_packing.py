@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from lorespark.llm.op3_topk import Index, top_k
 from lorespark.llm.op5_packing import best_fit, pack
 from lorespark.llm.op8_mixing import mix_sources, take_words, targets
@@ -94,6 +95,37 @@ def test_pieces_are_the_texts(edge_docs, edge_rows, size):
     assert len(bins) == len(one_by_one([r.length for r in rows], size))
 
 
+@pytest.mark.parametrize("size", [2048, 16])
+def test_sequences_hold_the_token_ids(spark, edge_docs, edge_rows, size):
+    model = Tokenizer.from_file(TOKENIZER)
+    model.encode_special_tokens = True
+    rows = pack(edge_docs.repartition(3), TOKENIZER, size=size).collect()
+    sequences = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert len(sequences[r.sequence_id]) == r.offset
+        sequences[r.sequence_id] += np.frombuffer(r.ids, "<u4").tolist()
+    # a text comes back from the places of its pieces alone
+    got = Counter()
+    for r in rows:
+        ids = sequences[r.sequence_id][r.offset : r.offset + r.length]
+        got[r.id, r.start, tuple(ids)] += 1
+    want = Counter()
+    for r in edge_rows:
+        ids = model.encode(r[1] or "", add_special_tokens=False).ids + [0]
+        cut = [0, *range(len(ids) % size or size, len(ids), size), len(ids)]
+        want.update((r[0], a, tuple(ids[a:b])) for a, b in zip(cut, cut[1:]))
+    assert got == want
+
+
+def test_pipeline_ends_in_token_ids(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, "and more")], "doc_id long, text string")
+    rows = corpus_pipeline.packed(spark, docs, "").collect()
+    model = Tokenizer.from_file(TOKENIZER)
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == {
+        i: model.encode(t, add_special_tokens=False).ids + [0] for i, t in ((1, "some words"), (2, "and more"))
+    }
+
+
 def test_odd_white_space_is_encoded_whole(spark):
     texts = ["a  b", " lead", "tail ", "x \n y", "tab\there", "nul\0 x", " nb sp", "it's, ok.\nNew...", "a\n\nb", "<|endoftext|> x", "w" * 500 + " z", "3,4. 5.", "é, ñ."]
     model = Tokenizer.from_file(TOKENIZER)
