@@ -1,8 +1,8 @@
 """Quality rules with the frequency of lines across a host's documents.
 
 One scan measures each document and hashes its normalised lines. A line that
-too many distinct documents of a host share is boilerplate: it is removed,
-and a document that loses too much of itself is rejected.
+too many distinct documents of a host share is boilerplate: it is removed from
+the text, and a document that loses too much of itself is rejected.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import blocks, byte_texts, hashed_words, mix, named, stage, text_of
+from lorespark.llm.common import blocks, byte_texts, hashed_words, mix, named, stage
 from lorespark.session import prepare
 
 #: A line is boilerplate in more documents of its host than both limits: a
@@ -72,6 +72,16 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
+def normal_form(words: list[bytes]) -> bytes:
+    return b" ".join(words).lower().translate(_DIGITS)
+
+
+def line_key(form: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(form) - (1 << 63)
+
+
 def lines_of(text: bytes) -> tuple[list[int], list[bytes], int]:
     """Words and normal form of each line with a word, and repeated such lines.
 
@@ -84,16 +94,35 @@ def lines_of(text: bytes) -> tuple[list[int], list[bytes], int]:
             repeats += line in seen
             seen.add(line)
             sizes.append(len(words))
-            forms.append(b" ".join(words).lower().translate(_DIGITS))
+            forms.append(normal_form(words))
     return sizes, forms, repeats
 
 
 _DIGITS = bytes(48 if 48 <= b <= 57 else b for b in range(256))
 
 
-def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def without_lines(text: bytes, gone: set[int]) -> bytes:
+    """The text without the lines whose keys are ``gone``; the others stay as they are."""
+    left = []
+    for line in text.split(b"\n"):
+        words = line.split()
+        if not words or line_key(normal_form(words)) not in gone:
+            left.append(line)
+    return b"\n".join(left)
+
+
+def _cut(text: Column, gone: Column) -> Column:
+    """``without_lines`` where lines go; other texts do not reach the worker."""
 
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        found = [None if t is None else without_lines(t, set(k)) for t, k in zip(texts.cast(pa.binary()).to_pylist(), keys.to_pylist())]
+        return pa.array(found, pa.binary()).cast(pa.string())
+
+    return F.when(gone.isNull(), text).otherwise(cut(F.when(gone.isNotNull(), text), gone))
+
+
+def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = byte_texts(batch.column("_t"))
         parts = [measure(texts[lo:hi]) for lo, hi in blocks(texts)]
@@ -103,39 +132,30 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             counts, forms, again = lines_of(text)
             by_line: dict[int, int] = {}
             for n, form in zip(counts, forms):
-                h = xxhash.xxh64_intdigest(form) - (1 << 63)
+                h = line_key(form)
                 by_line[h] = by_line.get(h, 0) + n
             hashes.append(list(by_line))
             sizes.append(list(by_line.values()))
             repeats.append(again)
         arrays = [*(pa.array(v, pa.int64()) for v in columns.values()), pa.array(repeats, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("host"), batch.column("number"), *arrays],
-            names=["id", "host", "number", *columns, "n_dup_lines", "lines", "line_words"],
+            [*(batch.column(c) for c in _CARRIED), *arrays],
+            names=[*_CARRIED, *columns, "n_dup_lines", "lines", "line_words"],
         )
 
 
-def quality_rules(
-    docs: DataFrame, ident: str = "doc_id", text: str = "text", host: str = "source",
-    line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE,
-) -> DataFrame:
-    """Measures and verdict of each row: id, host, n_words, word_chars, n_symbols,
-    n_dup_lines, n_repeat_words, n_line_words (words in boilerplate lines),
-    base_failed, kept.
+_CARRIED = ["id", "host", "number", "_t", "_rest"]
 
-    Base rules fail under 50 words, or with more than half the words in
-    repeated three-word windows. A line is compared in normal form, within
-    its host (null is a host), and counted once for each distinct id; lines
-    above both limits go, and a document left with less than
-    ``left_share`` of its words is rejected. Null texts have no words; repeated
-    rows are judged alike; an empty table gives an empty table. Runs a job.
-    """
+
+def _judged(docs: DataFrame, ident: str, text: str, host: str, line_docs: int, line_share: float, left_share: float) -> DataFrame:
+    """Columns of ``quality_rules``, and ``_rest``: the other columns of ``docs``."""
     prepare(docs.sparkSession)
-    plain = docs.select(named(docs, ident).alias("id"), named(docs, host).alias("host"), text_of(docs, text).alias("_t"))
-    plain = plain.withColumn("number", F.monotonically_increasing_id())
-    kinds = [f"{c} {plain.schema[c].dataType.simpleString()}" for c in ("id", "host", "number")]
+    rest = F.struct(*[named(docs, c) for c in docs.columns if c != text])
+    plain = docs.select(named(docs, ident).alias("id"), named(docs, host).alias("host"), named(docs, text).cast("string").alias("_t"), rest.alias("_rest"))
+    plain = plain.withColumn("number", F.monotonically_increasing_id()).select(*_CARRIED)
+    kinds = [f"{c} {plain.schema[c].dataType.simpleString()}" for c in _CARRIED]
     schema = ", ".join([*kinds, *(f"{c} long" for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_dup_lines")), "lines array<long>", "line_words array<long>"])
-    rows = stage(plain.select("id", "host", "number", "_t").mapInArrow(_measure_batches, schema), "measures")
+    rows = stage(plain.mapInArrow(_measure_batches, schema), "measures")
 
     # hosts by hash, so that null is one too
     placed = rows.withColumn("host_key", F.xxhash64("host"))
@@ -146,19 +166,52 @@ def quality_rules(
     frequent = often.join(hosts, "host_key").filter(F.col("docs") > line_share * F.col("host_docs")).select("host_key", "line")
     own = placed.select("host_key", "number", F.explode(F.arrays_zip("lines", "line_words")).alias("x"))
     own = own.select("host_key", "number", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    lost = own.join(frequent, ["host_key", "line"]).groupBy("number").agg(F.sum("words").alias("n_line_words"))
+    lost = own.join(frequent, ["host_key", "line"]).groupBy("number")
+    # the keys of a row's lines in one list, so that texts are joined once
+    lost = lost.agg(F.sum("words").alias("n_line_words"), F.collect_list("line").alias("gone"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words") >= left_share * F.col("n_words")
     judged = rows.join(lost, "number", "left").fillna(0, ["n_line_words"])
     return judged.select(
         "id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_line_words",
-        base.alias("base_failed"), (~base & left).alias("kept"),
+        base.alias("base_failed"), (~base & left).alias("kept"), _cut(F.col("_t"), F.col("gone")).alias("cleaned"), "_rest",
     )
 
 
+def quality_rules(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", host: str = "source",
+    line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE,
+) -> DataFrame:
+    """Measures, verdict and text of each row: id, host, n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, n_line_words (words in boilerplate lines),
+    base_failed, kept, cleaned (the text without boilerplate lines).
+
+    Base rules fail under 50 words, or with more than half the words in
+    repeated three-word windows. A line is compared in normal form, within
+    its host (null is a host), and counted once for each distinct id; lines
+    above both limits go, and a document left with less than
+    ``left_share`` of its words is rejected. Null texts have no words and stay
+    null; repeated rows are judged alike; an empty table gives an empty table.
+    Runs a job.
+    """
+    return _judged(docs, ident, text, host, line_docs, line_share, left_share).drop("_rest")
+
+
+def clean_documents(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", host: str = "source",
+    line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE,
+) -> DataFrame:
+    """The kept rows of ``docs`` with all their columns, texts without boilerplate lines.
+
+    Rules as in ``quality_rules``. Runs a job.
+    """
+    kept = _judged(docs, ident, text, host, line_docs, line_share, left_share).filter("kept")
+    return kept.select(*[F.col("cleaned").alias(c) if c == text else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def query(spark, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
-    return quality_rules(docs).withColumnRenamed("id", "doc_id").drop("host")
+    return quality_rules(docs).withColumnRenamed("id", "doc_id").drop("host", "cleaned")
 
 
 SQL = r"""

@@ -91,6 +91,24 @@ def test_quality_equals_its_sql(spark, edge_docs, edge_rows):
     assert any(r.n_line_words and not r.kept for r in got) and any(r.n_line_words and r.kept for r in got)
 
 
+def test_boilerplate_lines_leave_the_texts(spark):
+    shared = "This very line\tis in 25 documents."
+    body = [" ".join(f"t{i}x{j}" for j in range(60)) for i in range(30)]
+    texts = {i: f"{body[i]}\n\nTHIS  very line is in {10 + i} documents.\r\nend {i}" for i in range(25)}
+    want = {i: f"{body[i]}\n\nend {i}" for i in range(25)}
+    # another host, too short, mostly boilerplate, none, null
+    texts |= {25: f"{shared}\n{body[25]}", 26: f"{shared}\nshort", 27: f"{shared}\n" * 50 + "own words", 28: body[28], 29: None}
+    want |= {25: texts[25], 26: "short", 27: "own words", 28: body[28], 29: None}
+    rows = [(t, i, "b" if i == 25 else None, i * 7, "k") for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "text string, doc_id long, source string, n int, kept string")
+    got = {r.id: r for r in quality_rules(docs).collect()}
+    assert {i: r.cleaned for i, r in got.items()} == want
+    assert {i for i, r in got.items() if r.kept} == {*range(26), 28}
+    out = op9_quality.clean_documents(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[1]) == [(want[i], i, "b" if i == 25 else None, i * 7, "k") for i in (*range(26), 28)]
+
+
 def test_quality_of_repeated_rows(edge_docs, no_docs):
     assert quality_rules(edge_docs).count() == edge_docs.count()
     assert quality_rules(no_docs).count() == 0
