@@ -19,15 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import byte_texts, held_out, mix, named, stable_values, stage, text_of
+from lorespark.llm.common import byte_texts, held_out, named, stable_values, stage, text_of
 from lorespark.session import prepare
 
 HEAVY = 18
-#: Latent states; Baum-Welch passes over a sample (to start) and over all.
-STATES, FIRST_PASSES, PASSES = 6, 12, 2
-#: Training texts are read in stretches of so many tokens; the start uses at
-#: most ``SAMPLE`` stretches.
-STRETCH, SAMPLE = 128, 8192
+#: Latent states; Baum-Welch passes, each over all training texts.
+STATES, PASSES = 6, 14
+#: Training texts are read in stretches of so many tokens.
+STRETCH = 128
 #: Pseudo-tokens of a state, spread like the symbols overall.
 PRIOR = 200.0
 #: The end of a text among the counted words; no word is empty.
@@ -181,26 +180,6 @@ def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(), offsets.astype(np.int64)
 
 
-def _sample_batches(share: float):
-    """Stretches drawn by the hash of their text's number and place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            symbols, bounds = _lists(batch.column("symbols"))
-            first, size, begins = stretches(symbols, bounds)
-            text = np.searchsorted(bounds, first, "right") - 1
-            number = batch.column("number").to_numpy().astype(np.uint64)[text]
-            draw = mix(number * np.uint64(0x9E3779B97F4A7C15) + (first - bounds[text]).astype(np.uint64)) >> np.uint64(11)
-            take = np.flatnonzero(draw < share * float(1 << 53))
-            parts = [symbols[first[i] : first[i] + size[i]] for i in take]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(draw[take].astype(np.int64)), pa.array(begins[take]), pa.array(parts, pa.list_(pa.int32()))],
-                names=["draw", "begins", "part"],
-            )
-
-    return run
-
-
 def _expect_batches(shared, n_symbols: int, states: int):
     """Baum-Welch counts of a task: one row for each symbol that it saw."""
 
@@ -304,17 +283,8 @@ def score_texts(docs: DataFrame, train: Column, ident: str = "doc_id", text: str
 
     shares = (np.append(amounts, n_rare) + 1) / (size["n"] + len(amounts) + 1)
     model = first_model(shares)
-    texts = coded.filter("trains").select("number", "symbols")
+    texts = coded.filter("trains").select("symbols")
     if size["n"]:
-        share = min(1.0, 4 * SAMPLE / (size["n"] / STRETCH + n_end))
-        drawn = texts.mapInArrow(_sample_batches(share), "draw long, begins boolean, part array<int>").orderBy("draw").limit(SAMPLE).collect()
-        flat = np.array([s for r in drawn for s in r["part"]], np.int32)
-        length = np.array([len(r["part"]) for r in drawn], np.int64)
-        begins = np.array([r["begins"] for r in drawn], bool)
-        for _ in range(FIRST_PASSES):
-            own = Counts.none(len(shares), STATES)
-            expect(model, flat, np.cumsum(length) - length, length, begins, own)
-            model = maximise(own, shares)
         for _ in range(PASSES):
             model = baum_welch(texts, model, shares)
 

@@ -140,6 +140,28 @@ def test_baum_welch_raises_the_likelihood():
     assert log_likelihoods(model, symbols, bounds).sum() > before + 50
 
 
+def test_every_pass_reads_all_training_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 4, rng.integers(1, 4)) + 4 * (i % 2)) for i in range(9000)]
+    count = Counter(w for t in texts for w in t.split())
+    heavy = sorted(count, key=lambda w: (-count[w], w))
+    code = {w: i for i, w in enumerate(heavy)}
+    symbols = np.array([s for t in texts for s in (*(code[w] for w in t.split()), len(heavy))], np.int32)
+    size = np.array([len(t.split()) + 1 for t in texts])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    amounts = np.array([*(count[w] for w in heavy), len(texts), 0.0])
+    shares = (amounts + 1) / (len(symbols) + len(amounts))
+    model = first_model(shares)
+    for _ in range(14):
+        counts = Counts.none(len(shares), len(model.start))
+        expect(model, symbols, bounds[:-1], size, np.ones(len(size), bool), counts)
+        model = maximise(counts, shares)
+    want = log_likelihoods(model, symbols, bounds) / math.log(10)
+    rows = score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True)).collect()
+    got = {r.id: r.score for r in rows}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-7)
+
+
 def test_base_scores_of_odd_rows(edge_docs, edge_rows, no_docs):
     words = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [b""]
     trains = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
