@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,19 +19,21 @@ def unique_slugs(df: DataFrame, base: str, order: str, width: int = 100_000) ->
     return numbered.withColumn("slug", F.concat(base, suffix)).drop("__n")
 
 
-def closure(edges: DataFrame, max_depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, depth): everything reachable from src, by shortest distance.
 
     Each round extends only the newest pairs by one edge and keeps those not
     seen before; rounds are checkpointed so that lineage stays short and lost
-    executors do not replay the loop. Reaching ``max_depth`` is an error, not
-    a silent cut.
+    executors do not replay the loop. It ends with the first round that finds
+    no new pair, on cycles too. Paths beyond ``max_depth``, if a caller gives
+    one, are an error, not a silent cut.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = edges.select("src", "dst").distinct()
     steps = cut_lineage(steps)
     fresh = steps.withColumn("depth", F.lit(1))
     known = fresh
-    for depth in range(2, max_depth + 2):
+    for depth in itertools.count(2):
         ahead = steps.select(F.col("src").alias("dst"), F.col("dst").alias("__far"))
         grown = fresh.join(ahead, "dst").select("src", F.col("__far").alias("dst")).distinct()
         fresh = cut_lineage(
@@ -38,10 +41,11 @@ def closure(edges: DataFrame, max_depth: int = 100) -> DataFrame:
         )
         if fresh.isEmpty():
             return known
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             raise ValueError(f"paths longer than {max_depth}")
         known = known.unionByName(fresh)
-    return known
+        if depth % 32 == 0:  # else plan and partitions grow with every round
+            known = cut_lineage(known.coalesce(parts))
 
 
 def on_cycles(reachable: DataFrame) -> DataFrame:

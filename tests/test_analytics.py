@@ -61,6 +61,12 @@ def test_closure_and_chains(spark):
     assert {(r.node, r.head, r.hops) for r in graph.chain_heads(links).collect()} == {(i, 50, 50 - i) for i in range(50)}
 
 
+def test_closure_has_no_deepest_level(spark):
+    chain = [(i, i + 1) for i in range(102)]
+    reach = graph.closure(spark.createDataFrame(chain, "src long, dst long").coalesce(1)).collect()
+    assert sorted(map(tuple, reach)) == [(i, j, j - i) for i in range(103) for j in range(i + 1, 103)]
+
+
 def test_unique_slugs(spark):
     df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(9)], "id long, base string")
     got = [r.slug for r in graph.unique_slugs(df, "base", "id", width=2).orderBy("id").collect()]
