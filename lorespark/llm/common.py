@@ -31,6 +31,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Remove the staged table that ``df`` reads; nothing may read it afterwards."""
+    context = df.sparkSession.sparkContext
+    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+        place = context._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def named(df: DataFrame, column: str) -> Column:
     return F.col(f"`{column}`")
 
