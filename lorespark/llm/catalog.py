@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.llm import op1_suffix_dedup, op10_hmm, op11_periodic_runs, op12_vector_codes, op2_toxicity, op3_topk, op4_language, op5_packing, op6_substring_dedup, op7_simhash, op8_mixing, op9_quality
+from lorespark.llm import op1_suffix_dedup, op10_hmm, op11_periodic_runs, op12_vector_codes, op13_minhash, op2_toxicity, op3_topk, op4_language, op5_packing, op6_substring_dedup, op7_simhash, op8_mixing, op9_quality
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_hmm": op10_hmm.query,
     "op11_periodic_runs": op11_periodic_runs.query,
     "op12_vector_codes": op12_vector_codes.query,
+    "op13_minhash": op13_minhash.query,
 }
 ORACLES: dict[str, str] = {
     "op3_topk": op3_topk.SQL,

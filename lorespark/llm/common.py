@@ -39,6 +39,21 @@ def unstage(df: DataFrame) -> None:
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def join_one(rows: DataFrame, values: DataFrame, key: str, times: str, most: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has one row per key.
+
+    ``times`` says how often a key comes in ``rows``. Keys with over one part
+    in ``most`` of all rows, ``most`` at the utmost, are joined by broadcast,
+    so that no task gets all rows of a hot key. ``rows`` and ``values`` are
+    read twice and should be staged or cheap. Runs a job.
+    """
+    total = values.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) * most > total
+    often, rest = values.filter(hot & (F.col(times) > most)).drop(times), values.filter(~(hot & (F.col(times) > most))).drop(times)
+    keys = F.broadcast(often.select(key))
+    return rows.join(F.broadcast(often), key).unionByName(rows.join(keys, key, "left_anti").join(rest, key))
+
+
 def named(df: DataFrame, column: str) -> Column:
     return F.col(f"`{column}`")
 
