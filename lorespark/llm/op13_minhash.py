@@ -117,8 +117,12 @@ def may_link(equal: np.ndarray, small: np.ndarray, large: np.ndarray, percent: i
     chance = _CHANCE[load]
     estimate = (equal / REGISTERS - chance) / (1 - chance)
     least = percent / 100
-    drawn = 0.7 * REGISTERS * (1 - np.exp(-small / REGISTERS))  # registers that do not repeat others
-    margin = DEVIATIONS * np.sqrt(least * (1 - least) / drawn)
+    # filled buckets draw from the union without replacement; borrowed ones weigh some draws more
+    union = (small + large) / (1 + least)
+    drawn = REGISTERS * (1 - np.exp(-union / REGISTERS))
+    weight = REGISTERS / drawn
+    spread = np.maximum(0, 1 / drawn - 1 / union) + (weight - 1) / (weight**2 * drawn)
+    margin = DEVIATIONS * np.sqrt(least * (1 - least) * spread + chance / REGISTERS) + 0.01
     open_ = (100 * small >= percent * large) & ((estimate >= least - margin) | (small < SURE))
     return np.where(open_, np.maximum(estimate, 0), -1.0)
 
@@ -217,69 +221,146 @@ def _small_pairs(shard: _Shard, group: np.ndarray, percent: int, best_only: bool
     return shard.node[i], shard.node[j], s
 
 
-def _candidate_batches(percent: int, best_only: bool, most: int = 1 << 15, few: int = 12):
-    """Pairs that may link, shard by shard; rows come sorted by shard, residents before askers."""
-
-    def settle(rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """All of some whole shards of ``few`` rows at most, and the others one by one."""
-        group, asks = rows["group"], rows["asks"]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        count = np.diff(np.append(first, len(group)))
-        plain = ~np.logical_or.reduceat(asks, first) & (count <= few)
-        pick = np.repeat(plain, count)
-        found = [_small_pairs(_Shard({k: v[pick] for k, v in rows.items()}), group[pick], percent, best_only)]
-        for at, n in zip(first[~plain], count[~plain]):
-            own = {k: v[at : at + n] for k, v in rows.items()}
-            held = _Shard({k: v[~own["asks"]] for k, v in own.items()})
-            if not len(held.node):
-                continue
-            # residents ask each other, once; askers of a split key ask residents only
-            asking = _Shard({k: v[~own["done"]] for k, v in own.items()})
-            if len(asking.node):
-                found.append(_pairs_of(asking, held, percent, best_only))
-        a, b, score = (np.concatenate(x) for x in zip(*found))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], names=["a", "b", "score"])
+def _whole_shards(batches: Iterator[pa.RecordBatch], read, most: int) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of some whole shards at a time; rows come sorted by shard, residents before askers.
+
+    ``read`` gives the columns of a batch, with ``weight``; a shard whose askers
+    outweigh ``most`` comes in turns, with its residents marked ``done`` from
+    the second turn on.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = read(batch)
+        for c in ("node", "n", "part", "asks"):
+            rows[c] = batch.column(c).to_numpy(zero_copy_only=False)
+        rows["done"] = np.zeros(batch.num_rows, bool)
+        rows["shard"] = np.stack([batch.column("key").to_numpy(), batch.column("salt").to_numpy()], axis=1)
+        held.append(rows)
+        size += rows["weight"].sum()
+        if size < most:
+            continue
+        whole = {k: np.concatenate([x[k] for x in held]) for k in rows}
+        edge = np.flatnonzero((whole["shard"][1:] != whole["shard"][:-1]).any(axis=1))
+        if len(edge):
+            cut = int(edge[-1]) + 1
+            yield {k: v[:cut] for k, v in whole.items()}
+            held = [{k: v[cut:] for k, v in whole.items()}]
+        elif whole["asks"][-1] and not whole["asks"].all():
+            yield whole
+            whole["done"][:] = True
+            held = [{k: v[~whole["asks"]] for k, v in whole.items()}]
+        elif whole["asks"].all():  # no residents: nobody to ask
+            held = []
+        else:
+            held = [whole]
+        size = sum(x["weight"].sum() for x in held)
+    if held:
+        yield {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+
+
+def _starts(shard: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]).any(axis=1)]))
+
+
+def _asking(own: dict[str, np.ndarray]) -> np.ndarray:
+    """Rows that ask: askers, and residents outside of the shard's largest part."""
+    names, of, times = np.unique(own["part"], return_inverse=True, return_counts=True)
+    return ~own["done"] & (own["asks"] | (times[of] < times.max()) | (names[of] != names[times.argmax()]))
+
+
+def _candidate_batches(percent: int, best_only: bool, most: int = 1 << 15, few: int = 12, dense: int = 4):
+    """Pairs that may link, shard by shard; or the shard itself if it has too many of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "part", "asks")}
-            rows["done"] = np.zeros(batch.num_rows, bool)
-            rows["group"] = np.stack([batch.column("key").to_numpy(), batch.column("salt").to_numpy()], axis=1)
-            rows["registers"] = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            held.append(rows)
-            size += batch.num_rows
-            if size < most:
-                continue
-            whole = {k: np.concatenate([x[k] for x in held]) for k in rows}
-            new = (whole["group"][1:] != whole["group"][:-1]).any(axis=1)
-            edge = np.flatnonzero(new)
-            if len(edge):
-                cut = int(edge[-1]) + 1
-                yield from settle(_numbered({k: v[:cut] for k, v in whole.items()}))
-                held, size = [{k: v[cut:] for k, v in whole.items()}], len(whole["node"]) - cut
-            elif whole["asks"][-1]:  # one shard with very many askers: answer those read so far
-                yield from settle(_numbered(whole))
-                whole["done"][:] = True
-                held = [{k: v[~whole["asks"]] for k, v in whole.items()}]
-                size = len(held[0]["node"])
-                if not size:
-                    held = []
-            else:
-                held = [whole]
-        if held:
-            yield from settle(_numbered({k: np.concatenate([x[k] for x in held]) for k in held[0]}))
+        def read(batch):
+            registers = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8)
+            return {"registers": registers.reshape(-1, REGISTERS), "weight": np.ones(batch.num_rows, np.int64)}
+
+        for rows in _whole_shards(batches, read, most):
+            first = _starts(rows["shard"])
+            count = np.diff(np.append(first, len(rows["node"])))
+            plain = ~np.logical_or.reduceat(rows["asks"], first) & (count <= few)
+            pick = np.repeat(plain, count)
+            group = np.repeat(np.arange(len(first)), count)[pick]
+            found = [_small_pairs(_Shard({k: v[pick] for k, v in rows.items()}), group, percent, best_only)]
+            crowded = []
+            for at, n in zip(first[~plain], count[~plain]):
+                own = {k: v[at : at + n] for k, v in rows.items()}
+                held = _Shard({k: v[~own["asks"]] for k, v in own.items()})
+                ask = ~own["done"] if best_only else _asking(own)
+                if not len(held.node) or not ask.any():
+                    continue
+                pairs = _pairs_of(_Shard({k: v[ask] for k, v in own.items()}), held, percent, best_only)
+                if not best_only and len(pairs[0]) > dense * n:
+                    crowded.append(own["shard"][0])
+                else:
+                    found.append(pairs)
+            a, b, score = (np.concatenate(x) for x in zip(*found))
+            key, salt = np.array(crowded, np.int64).reshape(-1, 2).T
+            none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
+            columns = [(pa.array(a), none(len(key))), (pa.array(b), none(len(key))), (pa.array(score), none(len(key), pa.float64()))]
+            columns += [(none(len(a)), pa.array(key)), (none(len(a)), pa.array(salt))]
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["a", "b", "score", "key", "salt"])
 
     return run
 
 
-def _numbered(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    group = rows["group"]
-    new = np.concatenate([[0], (group[1:] != group[:-1]).any(axis=1)])
-    return rows | {"group": np.cumsum(new)}
+def common_counts(ask: list[np.ndarray], held: list[np.ndarray], columns: int = 1 << 11) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``ask`` with all of ``held``."""
+    out = np.zeros((len(ask), len(held)), np.float32)  # exact below 2^24
+    if not ask or not held:
+        return out.astype(np.int64)
+    values = np.concatenate([*ask, *held])
+    sizes = np.array([len(s) for s in [*ask, *held]])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    column = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+    ours = np.bincount(column, row < len(ask)) > 0
+    theirs = np.bincount(column, row >= len(ask)) > 0
+    number = np.cumsum(ours & theirs) - 1  # shingles of both sides only
+    use = (ours & theirs)[column]
+    column, row = number[column[use]], row[use]
+    for lo in range(0, int(number[-1]) + 1, columns):
+        a, b = np.searchsorted(column, [lo, lo + columns])
+        table = np.zeros((len(sizes), columns), np.float32)
+        table[row[a:b], column[a:b] - lo] = 1
+        out += table[: len(ask)] @ table[len(ask) :].T
+    return out.astype(np.int64)
+
+
+def _exact_batches(width: int, percent: int, most: int = 1 << 25):
+    """Links inside crowded shards, confirmed on full sets: one for each pair of parts that become one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batch):
+            texts = np.empty(batch.num_rows, object)
+            texts[:] = byte_texts(batch.column("text"))
+            return {"text": texts, "weight": np.fromiter(map(len, texts), np.int64, len(texts))}
+
+        for rows in _whole_shards(batches, read, most):
+            first = _starts(rows["shard"])
+            left, right = [], []
+            for at, n in zip(first, np.diff(np.append(first, len(rows["node"])))):
+                own = {k: v[at : at + n] for k, v in rows.items()}
+                ask, held = np.flatnonzero(_asking(own)), np.flatnonzero(~own["asks"])
+                sets = {i: shingle_set(own["text"][i], width) for i in np.union1d(ask, held)}
+                for lo in range(0, len(ask), 256):
+                    part = ask[lo : lo + 256]
+                    both = common_counts([sets[i] for i in part], [sets[j] for j in held])
+                    total = own["n"][part, None] + own["n"][held][None] - both
+                    i, j = np.nonzero((100 * both >= percent * total) & (own["part"][part, None] != own["part"][held][None]))
+                    i, j = part[i], held[j]
+                    once = np.unique(np.stack([own["part"][i], own["part"][j]]), axis=1, return_index=True)[1]
+                    left.append(own["node"][i[once]])
+                    right.append(own["node"][j[once]])
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(none + left)), pa.array(np.concatenate(none + right))], names=["a", "b"])
+
+    return run
 
 
 def _confirm_batches(width: int, percent: int):
@@ -313,20 +394,25 @@ def linked_sets(nodes: DataFrame, texts: DataFrame, width: int, percent: int, bl
     outside of its largest component ask in all of them.
     """
     able = nodes.filter(100 * F.col("n") >= percent * (F.col("n") + 1))  # smaller ones equal or differ too much
-    keyed = able.select("node", F.explode("keys").alias("key"))
-    often = keyed.groupBy("key").count().filter("count > 1")
-    salts = F.ceil(F.col("count") / block).cast("long")
+    keyed = able.select("node", "n", F.explode("keys").alias("key"))
+    often = keyed.groupBy("key").agg(F.count("*").alias("count"), F.sum("n").alias("all")).filter("count > 1")
+    salts = F.ceil(F.greatest(F.col("count") / block, F.col("all") / (block * 1024))).cast("long")
     shards = keyed.join(often, "key").select("key", "node", salts.alias("salts")).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
     shards = stage(shards, "shards")
     met = shards.select("node").distinct()
     texts = stage(texts.join(met, "node", "left_semi").dropDuplicates(["node"]), "met_texts")
     sketch = able.select("node", "n", "registers")
 
+    def dealt(rows: DataFrame, columns: DataFrame, *names: str) -> DataFrame:
+        joined = rows.join(columns, "node").select("key", "salt", "asks", "node", "n", "part", *names)
+        return joined.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks")
+
     def candidates(rows: DataFrame, best_only: bool) -> DataFrame:
-        dealt = rows.join(sketch, "node").select("key", "salt", "asks", "node", "n", "part", "registers")
-        dealt = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "asks")
-        found = dealt.mapInArrow(_candidate_batches(percent, best_only), "a long, b long, score double")
-        return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
+        found = dealt(rows, sketch, "registers").mapInArrow(
+            _candidate_batches(percent, best_only), "a long, b long, score double, key long, salt long"
+        )
+        pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+        return found.groupBy(*pair, "key", "salt").agg(F.max("score").alias("score"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -352,9 +438,12 @@ def linked_sets(nodes: DataFrame, texts: DataFrame, width: int, percent: int, bl
     askers = many.join(main, "key").filter("part <> main").select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "node", "part", F.lit(True).alias("asks")
     )
-    more = candidates(residents.unionByName(askers), False).join(tried, ["a", "b"], "left_anti")
-    late = confirmed(stage(more.select("a", "b"), "later_pairs"))
-    return components(links.unionByName(late.filter("linked").select("a", "b")))
+    asking = stage(residents.unionByName(askers), "asking")
+    more = stage(candidates(asking, False), "later_pairs")
+    late = confirmed(more.filter("a IS NOT NULL").join(tried, ["a", "b"], "left_anti")).filter("linked").select("a", "b")
+    crowded = asking.join(more.filter("key IS NOT NULL").select("key", "salt").distinct(), ["key", "salt"], "left_semi")
+    exact = dealt(crowded, texts.join(able.select("node", "n"), "node"), "text").mapInArrow(_exact_batches(width, percent), "a long, b long")
+    return components(links.unionByName(late).unionByName(exact))
 
 
 def minhash_groups(

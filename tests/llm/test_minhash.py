@@ -58,9 +58,9 @@ def test_edge_cases(edge_docs, edge_rows, no_docs):
     assert mh.minhash_groups(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("block", [2048, 7])
-def test_groups_of_near_copies(spark, block):
-    rows = near_copies(3)
+@pytest.mark.parametrize("block, size", [(2048, 40), (7, 40), (2048, 150)])
+def test_groups_of_near_copies(spark, block, size):
+    rows = near_copies(3, 240 // size, size)
     got = Counter(map(tuple, mh.minhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()))
     assert got == plain_groups(rows)
 
@@ -90,6 +90,13 @@ def test_estimates_are_close():
     assert (mh.may_link(np.array([40, 190]), np.array([500, 70]), np.array([500, 100]), 80) == -1).all()
 
 
+def test_counts_of_common_shingles():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 5000, rng.integers(0, 3000)).astype(np.uint64)) for _ in range(9)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:3]]
+    assert mh.common_counts(sets[:3], sets[3:]).tolist() == want
+
+
 def test_registers_hold_zeros_and_mantissa():
     value = np.array([1 << 63, (1 << 63) + (1 << 62), (1 << 60) + (5 << 57), 0], np.uint64)
     assert mh.compressed(value).tolist() == [0, 4, 3 * 8 + 5, 31 * 8]
