@@ -12,6 +12,7 @@ import time
 
 from lorespark.plans.catalog import QUERIES
 from lorespark.session import local_session
+from lorespark.sources.tables import READ_PARTS
 
 HEADLINE = [
     "flagship_ranked_answers", "a3_fingerprints", "a6_exact_dedup", "b1_clean_text", "b2_normal_keys",
@@ -27,7 +28,8 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = local_session(cores, shuffle_partitions=cores)
+    # the bench's text tables are single row groups, which one core would read alone
+    spark = local_session(cores, shuffle_partitions=cores, **{READ_PARTS: str(2 * cores)})
     spark.sparkContext.setLogLevel("ERROR")
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
     # one small query starts the JVM's code paths and the Python workers

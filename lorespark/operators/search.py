@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import types as T
 
 from lorespark.functions import rules, text as tx
+from lorespark.session import cut_lineage
+
+#: Query tokens up to this number are sent to every task.
+SMALL_TABLE = 200_000
 
 
 def classify(
@@ -84,40 +93,155 @@ def search(
     ``category`` keeps only chunks whose ``category`` column has that value,
     before any text is cut into tokens.
 
-    Queries and chunks meet through an inverted index rather than as pairs.
     A query token is a substring of a chunk exactly when it is a substring of
     one of the chunk's distinct maximal token runs, because tokens hold only
-    run characters. So distinct runs (a vocabulary) are matched with the
-    distinct query tokens, then widened back to chunks by an equi-join.
+    run characters. So distinct runs (a vocabulary) are matched with distinct
+    query tokens, which gives postings (chunk, token, count) by an equi-join.
+
+    That path exchanges every scored pair, so it serves only query sets of
+    more than ``SMALL_TABLE`` tokens. Smaller ones are sent to the tasks, which
+    count tokens in their chunks and keep the best ``limit`` of each query
+    (``TopChunks``); then only those rows are exchanged. Runs jobs.
     """
     terms = (
         queries.select(query_id, F.explode(tx.query_tokens(F.col(query_text))).alias("token"))
         .groupBy(query_id, "token")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
+    terms = cut_lineage(terms)
     if category is not None:
         chunks = chunks.filter(F.col("category") == category)
     lowered = F.lower(F.col(content))
-    runs = chunks.select(
-        *chunk_key,
-        F.explode(F.regexp_extract_all(lowered, F.lit(r"([a-z0-9_'-]{2,})"), 1)).alias("run"),
+    sample = terms.limit(SMALL_TABLE + 1).collect()
+    if len(sample) <= SMALL_TABLE:
+        scored = _best_in_tasks(chunks.select(*chunk_key, lowered.alias("__text")), sample, terms.select(query_id), list(chunk_key), limit)
+    else:
+        scored = _scored_pairs(chunks, lowered, terms, query_id, list(chunk_key))
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), *chunk_key)
+    return (
+        scored.withColumn("position", F.row_number().over(order))
+        .filter(F.col("position") <= limit)
     )
+
+
+def _scored_pairs(chunks: DataFrame, lowered: Column, terms: DataFrame, query_id: str, chunk_key: list[str]) -> DataFrame:
+    """(query, chunk key, score) of all pairs with a hit, by joins on runs and tokens."""
+    runs = chunks.select(*chunk_key, F.explode(F.regexp_extract_all(lowered, F.lit(r"([a-z0-9_'-]{2,})"), 1)).alias("run"))
     runs = runs.groupBy(*chunk_key, "run").agg(F.count(F.lit(1)).alias("times"))
     hits = vocabulary_hits(runs.select("run").distinct(), terms.select("token").distinct())
     # counts per chunk and token first: far fewer rows than runs times queries
     counted = runs.join(hits, "run").groupBy(*chunk_key, "token").agg(
         F.sum(F.col("times") * F.col("occurrences")).alias("n")
     )
-    scored = (
+    return (
         counted.join(terms, "token")
         .groupBy(query_id, *chunk_key)
         .agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
     )
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), *chunk_key)
-    return (
-        scored.withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= limit)
-    )
+
+
+def _best_in_tasks(chunks: DataFrame, terms: Sequence[Row], ids: DataFrame, chunk_key: list[str], limit: int) -> DataFrame:
+    """(query, chunk key, score): at most ``limit`` rows per query and task."""
+    names = list(dict.fromkeys(t[0] for t in terms))
+    number = {name: i for i, name in enumerate(names)}
+    weights = [(number[q], token, weight) for q, token, weight in terms]
+    keys = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in chunk_key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = TopChunks(weights, len(names), limit)
+        for batch in batches:
+            if batch.num_rows:
+                best.add(batch.column("__text").to_pylist(), batch.select(chunk_key))
+        yield from best.rows()
+
+    found = chunks.mapInArrow(run, f"__query long, {keys}, score long")
+    table = chunks.sparkSession.createDataFrame(list(enumerate(names)), T.StructType([T.StructField("__query", T.LongType()), ids.schema[0]]))
+    return found.join(F.broadcast(table), "__query").select(ids.columns[0], *chunk_key, "score")
+
+
+class TopChunks:
+    """The best chunks of every query among those added so far.
+
+    Token counts of a block of chunks form a matrix. The largest count of each
+    token in the block bounds the score that a query can reach there; blocks
+    that cannot beat a query's current last place are skipped for it, and the
+    others are scored by one matrix product.
+    """
+
+    def __init__(self, weights: Sequence[tuple[int, str, int]], queries: int, limit: int, columns: int = 1 << 12):
+        self.limit, self.columns = limit, columns
+        tokens = list(dict.fromkeys(t for _, t, _ in weights))
+        place = {t: i for i, t in enumerate(tokens)}
+        self.finder = ahocorasick.Automaton()
+        for token, i in place.items():
+            # a token that can overlap itself is counted like str.count does
+            again = any(token.startswith(token[k:]) for k in range(1, len(token)))
+            self.finder.add_word(token, (i, len(token) if again else 0))
+        self.finder.make_automaton()
+        self.size, self.queries = len(tokens), queries
+        self.query = np.array([q for q, _, _ in weights], np.int64)
+        self.token = np.array([place[t] for _, t, _ in weights], np.int64)
+        self.weight = np.array([w for _, _, w in weights], np.float64)
+        self.least = np.zeros(queries)
+        self.kept: pa.Table | None = None
+
+    def counts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, token) cells of all occurrences, one entry each."""
+        rows, cells = [], []
+        for row, text in enumerate(texts):
+            before = len(cells)
+            last: dict[int, int] = {}
+            for end, (token, size) in self.finder.iter(text or ""):
+                if size:
+                    if end - size < last.get(token, -1):
+                        continue
+                    last[token] = end
+                cells.append(token)
+            rows.append(len(cells) - before)
+        return np.repeat(np.arange(len(texts)), rows), np.array(cells, np.int64)
+
+    def add(self, texts: Sequence[str], keys: pa.RecordBatch) -> None:
+        if not self.size:
+            return
+        row, cell = self.counts(texts)
+        used, cell = np.unique(cell, return_inverse=True)
+        table = np.bincount(row * len(used) + cell, minlength=len(texts) * len(used)).reshape(len(texts), -1).astype(np.float64)
+        column = np.full(self.size, -1)
+        column[used] = np.arange(len(used))
+        hit = column[self.token] >= 0
+        query, place, weight = self.query[hit], column[self.token[hit]], self.weight[hit]
+        bound = np.bincount(query, weight * table.max(axis=0, initial=0)[place], self.queries)
+        open_ = np.flatnonzero((bound > 0) & (bound >= self.least))  # a tie may win by its key
+        number = np.full(self.queries, -1)
+        number[open_] = np.arange(len(open_))
+        found = []
+        for lo in range(0, len(open_), self.columns):
+            part = open_[lo : lo + self.columns]
+            mine = (number[query] >= lo) & (number[query] < lo + len(part))
+            matrix = np.zeros((len(used), len(part)))
+            matrix[place[mine], number[query[mine]] - lo] = weight[mine]
+            score = table @ matrix
+            top = np.partition(score, -self.limit, axis=0)[-self.limit] if len(texts) > self.limit else np.zeros(len(part))
+            i, j = np.nonzero((score > 0) & (score >= np.maximum(top, self.least[part])))
+            found.append((part[j], i, score[i, j].astype(np.int64)))
+        if found:
+            of, i, score = (np.concatenate(x) for x in zip(*found))
+            self._keep(of, pa.Table.from_batches([keys]).take(pa.array(i)), score)
+
+    def _keep(self, query: np.ndarray, keys: pa.Table, score: np.ndarray) -> None:
+        new = pa.table([pa.array(query), *keys.columns, pa.array(score)], names=["__query", *keys.column_names, "score"])
+        both = pa.concat_tables([self.kept, new]) if self.kept is not None else new
+        order = [("__query", "ascending"), ("score", "descending"), *[(c, "ascending") for c in keys.column_names]]
+        both = both.take(pc.sort_indices(both, sort_keys=order, null_placement="at_start"))
+        query = both.column("__query").to_numpy()
+        first = np.searchsorted(query, query)
+        rank = np.arange(len(query)) - first
+        last = rank == self.limit - 1
+        self.least[query[last]] = both.column("score").to_numpy()[last]
+        self.kept = both.filter(pa.array(rank < self.limit))
+
+    def rows(self) -> list[pa.RecordBatch]:
+        return self.kept.combine_chunks().to_batches() if self.kept is not None else []
 
 
 def vocabulary_hits(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
