@@ -22,48 +22,136 @@ def unique_slugs(df: DataFrame, base: str, order: str, width: int = 100_000) ->
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, depth): everything reachable from src, by shortest distance.
 
-    Each round extends only the newest pairs by one edge and keeps those not
-    seen before; rounds are checkpointed so that lineage stays short and lost
-    executors do not replay the loop. It ends with the first round that finds
-    no new pair, on cycles too. Paths beyond ``max_depth``, if a caller gives
-    one, are an error, not a silent cut.
+    Distances double per round: a shortest path of more than ``d`` steps has a
+    node at exactly ``d``, so the pairs at that distance are joined with all
+    pairs known. A thousand levels take ten rounds; cycles end by themselves,
+    as their pairs are known by shorter paths. Rounds are checkpointed so that
+    lost executors do not replay the loop. Paths beyond ``max_depth``, if a
+    caller gives one, are an error, not a silent cut. Runs jobs.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    steps = edges.select("src", "dst").distinct()
-    steps = cut_lineage(steps)
-    fresh = steps.withColumn("depth", F.lit(1))
-    known = fresh
-    for depth in itertools.count(2):
-        ahead = steps.select(F.col("src").alias("dst"), F.col("dst").alias("__far"))
-        grown = fresh.join(ahead, "dst").select("src", F.col("__far").alias("dst")).distinct()
-        fresh = cut_lineage(
-            grown.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth))
-        )
-        if fresh.isEmpty():
+    known = edges.select("src", "dst").distinct().withColumn("depth", F.lit(1))
+    known = cut_lineage(known)
+    for power in itertools.count():
+        far = 1 << power
+        edge = known.filter(F.col("depth") == far).select("src", F.col("dst").alias("__mid"))
+        ahead = known.select(F.col("src").alias("__mid"), "dst", (F.col("depth") + far).alias("depth"))
+        grown = edge.join(ahead, "__mid").groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        fresh = cut_lineage(grown.join(known, ["src", "dst"], "left_anti"))
+        deepest = fresh.agg(F.max("depth")).first()[0]
+        if deepest is None:
             return known
-        if max_depth is not None and depth > max_depth:
+        if max_depth is not None and deepest > max_depth:
             raise ValueError(f"paths longer than {max_depth}")
         known = known.unionByName(fresh)
-        if depth % 32 == 0:  # else plan and partitions grow with every round
-            known = cut_lineage(known.coalesce(parts))
+        if power % 8 == 7:  # else plan and partitions grow with every round
+            known = cut_lineage(known.coalesce(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes that lie on cycles of ``edges(src, dst)``.
+
+    Nodes without an edge in or out are peeled off, and nodes with one of each
+    are taken out of their path, both many at a time, so that chains and trees
+    go in logarithmically many rounds. What is left is coloured forward by the
+    greatest node that reaches it; nodes of a colour that reach its name are
+    one component. Path nodes then come back, in the component of their
+    neighbours if both share one. No pairs of nodes are built. A component is
+    named by one of its nodes. Runs jobs.
+    """
+    clean = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    loops = clean.filter("src = dst").select(F.col("src").alias("node"))
+    live = cut_lineage(clean.filter("src <> dst"))
+    taken: list[DataFrame] = []
+    found = cut_lineage(loops.select("node", F.col("node").alias("component")))
+    while not live.isEmpty():
+        live, picked, progress = _contracted(live, len(taken))
+        if picked is not None:
+            taken.append(picked)
+        if not progress:
+            part = _coloured(live)
+            inside = part.select("node")
+            live = cut_lineage(
+                live.join(inside.withColumnRenamed("node", "src"), "src", "left_anti")
+                .join(inside.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+            )
+            found = found.unionByName(part)
+    named = lambda df: df.groupBy("node").agg(F.max_by("component", F.col("node") != F.col("component")).alias("component"))
+    found = named(found)
+    for turn, picked in enumerate(reversed(taken)):
+        near = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"__{c}"))  # noqa: E731, B023
+        back = picked.join(near("before"), "before", "left").join(near("after"), "after", "left")
+        component = F.coalesce("__before", "before")
+        same = back.filter(component == F.coalesce("__after", "after")).select("node", component.alias("component"))
+        # the neighbour itself may not have been known to lie on a cycle
+        joined = same.select(F.col("component").alias("node"), "component")
+        found = named(found.unionByName(same).unionByName(joined))
+        if turn % 4 == 3:
+            found = cut_lineage(found)
+    return found
+
+
+def _contracted(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame | None, bool]:
+    """One round of peeling and path shortening: (edges left, path nodes taken out, any change)."""
+    into = live.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ins"), F.min("src").alias("before"))
+    out = live.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("outs"), F.min("dst").alias("after"))
+    nodes = into.join(out, "node", "full")
+    dice = lambda c: F.xxhash64(c, F.lit(turn))
+    # no two neighbours go in one round
+    lowest = (dice("node") < dice("before")) & (dice("node") < dice("after"))
+    end = F.col("ins").isNull() | F.col("outs").isNull()
+    gone = cut_lineage(nodes.filter(end | ((F.col("ins") == 1) & (F.col("outs") == 1) & lowest)).select("node", "before", "after"))
+    if gone.isEmpty():
+        return live, None, False
+    picked = gone.filter("before IS NOT NULL AND after IS NOT NULL")
+    left = live.join(gone.select(F.col("node").alias("src")), "src", "left_anti")
+    left = left.join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    bridges = picked.filter("before <> after").select(F.col("before").alias("src"), F.col("after").alias("dst"))
+    return cut_lineage(left.unionByName(bridges).distinct()), picked, True
+
+
+def _coloured(live: DataFrame) -> DataFrame:
+    """(node, component) of at least one strong component of ``live``; runs jobs."""
+    nodes = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colour = cut_lineage(nodes.withColumn("colour", F.col("node")))
+    while True:
+        sent = live.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "colour")
+        grown = colour.withColumn("old", F.col("colour")).unionByName(sent.withColumn("old", F.lit(None).cast(colour.schema["node"].dataType)))
+        grown = cut_lineage(grown.groupBy("node").agg(F.max("colour").alias("colour"), F.max("old").alias("old")))
+        colour = grown.select("node", "colour")
+        if grown.filter("colour <> old").isEmpty():
+            break
+    reached = colour.filter("node = colour")
+    inner = live.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("__s")), "src")
+    inner = inner.join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("__d")), "dst")
+    inner = cut_lineage(inner.filter("__s = __d").select("src", "dst", F.col("__s").alias("colour")))
+    fresh = reached
+    while True:
+        grown = inner.join(fresh.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+        fresh = cut_lineage(grown.join(reached.select("node"), "node", "left_anti"))
+        if fresh.isEmpty():
+            return reached.withColumnRenamed("colour", "component")
+        reached = cut_lineage(reached.unionByName(fresh))
 
 
-def on_cycles(reachable: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return reachable.filter("src = dst").select(F.col("src").alias("node")).distinct()
+def on_cycles(components: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves: in a component with others, or with a loop."""
+    alone = components.groupBy("component").agg(F.count("*").alias("n")).filter("n = 1").select("component")
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    single = components.join(alone, "component", "left_semi").select("node").join(loops, "node", "left_semi")
+    return components.join(alone, "component", "left_anti").select("node").unionByName(single)
 
 
-def edge_problems(edges: DataFrame, reachable: DataFrame) -> DataFrame:
+def edge_problems(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(src, dst, copies, problem): self loops, repeats and edges inside cycles."""
     grouped = edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("copies"))
-    back = reachable.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(True).alias("__back"))
-    joined = grouped.join(back, ["src", "dst"], "left")
+    of = lambda c: components.select(F.col("node").alias(c), F.col("component").alias(f"__{c}"))
+    joined = grouped.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
     problem = (
         F.when(F.col("src") == F.col("dst"), "self loop")
-        .when(F.col("__back"), "cycle")
+        .when(F.col("__src") == F.col("__dst"), "cycle")
         .when(F.col("copies") > 1, "duplicate")
     )
-    return joined.withColumn("problem", problem).filter("problem IS NOT NULL").drop("__back")
+    return joined.withColumn("problem", problem).filter("problem IS NOT NULL").select("src", "dst", "copies", "problem")
 
 
 def chain_heads(links: DataFrame) -> DataFrame:

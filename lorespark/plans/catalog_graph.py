@@ -202,13 +202,14 @@ SELECT src, dst, copies::BIGINT AS copies, CASE WHEN src = dst THEN 'self loop'
 WHERE src = dst OR copies > 1 OR (dst, src) IN (SELECT (src, dst) FROM reach)""")
 def j13(t: Tables):
     edges = tangled(t)
-    return gr.edge_problems(edges, gr.closure(edges))
+    return gr.edge_problems(edges, gr.strong_components(edges))
 
 
 @query("j13_cyclic_nodes", f"""
 WITH RECURSIVE {SQL_TANGLED} SELECT DISTINCT src AS node FROM reach WHERE src = dst""")
 def j13_cycles(t: Tables):
-    return gr.on_cycles(gr.closure(tangled(t)))
+    edges = tangled(t)
+    return gr.on_cycles(gr.strong_components(edges), edges)
 
 
 # --- audits -----------------------------------------------------------------------

@@ -54,17 +54,61 @@ def test_job_history_golden(spark):
 def test_closure_and_chains(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, 6)], "src long, dst long")
     reach = graph.closure(edges)
-    assert {r.node for r in graph.on_cycles(reach).collect()} == {1, 2, 3, 4}
+    assert {(r.src, r.dst, r.depth) for r in reach.collect() if r.src < 4} == {(i, j, (j - i) % 3 or 3) for i in (1, 2, 3) for j in (1, 2, 3)}
+    assert {r.node for r in graph.on_cycles(graph.strong_components(edges), edges).collect()} == {1, 2, 3, 4}
     with pytest.raises(ValueError):
         graph.closure(spark.range(30).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), max_depth=5)
     links = spark.range(50).select(F.col("id").alias("node"), (F.col("id") + 1).alias("next"))
     assert {(r.node, r.head, r.hops) for r in graph.chain_heads(links).collect()} == {(i, 50, 50 - i) for i in range(50)}
 
 
-def test_closure_has_no_deepest_level(spark):
-    chain = [(i, i + 1) for i in range(102)]
-    reach = graph.closure(spark.createDataFrame(chain, "src long, dst long").coalesce(1)).collect()
-    assert sorted(map(tuple, reach)) == [(i, j, j - i) for i in range(103) for j in range(i + 1, 103)]
+def test_closure_of_many_levels(spark):
+    chain = spark.range(1000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).coalesce(2)
+    reach = graph.closure(chain)
+    row = reach.agg(F.count("*"), F.max("depth"), F.count_if(F.col("dst") - F.col("src") != F.col("depth"))).first()
+    assert tuple(row) == (1000 * 1001 // 2, 1000, 0)
+
+
+def plain_components(edges):
+    """Node to the set of nodes it shares cycles with, through plain reachability."""
+    ahead = {}
+    for a, b in edges:
+        ahead.setdefault(a, set()).add(b)
+    reach = {}
+    for start in ahead:
+        seen, todo = set(), list(ahead[start])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += ahead.get(x, ())
+        reach[start] = seen
+    return {a: frozenset(b for b in seen if a in reach.get(b, ())) for a, seen in reach.items() if a in seen}
+
+
+@pytest.mark.parametrize("seed, nodes, count", [(2, 30, 70), (3, 200, 210)])
+def test_strong_components(spark, seed, nodes, count):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(count)]
+    ring = [(1000 + i, 1000 + (i + 1) % 17) for i in range(17)]
+    edges += ring + [(5, 1003), (2000, 2001), (2001, 2000), (2001, 7)]
+    df = spark.createDataFrame(edges, "src long, dst long").coalesce(1)
+    found = graph.strong_components(df)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.component, set()).add(r.node)
+    want = plain_components(edges)
+    assert {frozenset(g) for g in groups.values()} == set(want.values())
+    assert {r.node for r in graph.on_cycles(found, df).collect()} == set(want)
+
+
+def test_components_of_a_long_chain_and_a_hot_root(spark):
+    chain = [(i, i + 1) for i in range(10_000)]
+    star = [(20_000 + i, 0) for i in range(3000)] + [(10_000, 30_000 + i) for i in range(3000)]
+    edges = spark.createDataFrame(chain + star + [(10_000, 9_990)], "src long, dst long").coalesce(1)
+    found = graph.strong_components(edges)
+    assert {r.node for r in found.collect()} == set(range(9_990, 10_001))
+    assert found.select("component").distinct().count() == 1
 
 
 def test_unique_slugs(spark):
