@@ -10,7 +10,6 @@ from lorespark.functions import hashing, text as tx
 from lorespark.operators.chunking import ChunkConfig
 from lorespark.sources.corpus import reasons
 
-MAX_PAGE = 200  # fixed value: largest listing page
 
 
 def canonical_hashes(blocks: DataFrame, id_col: str) -> DataFrame:
@@ -225,22 +224,44 @@ def listing(
     offset: int = 0,
     limit: int = 50,
     allowed: Sequence[str] | None = None,
+    after: Sequence[object] | None = None,
 ) -> DataFrame:
     """One page of ``df`` plus the ``total`` before paging.
 
     The page is a top-k (no full sort); the total is a second, pruned pass.
+    ``after`` holds the sort value and ties of the last row of the page before:
+    the next page then starts behind that row, by a filter that reaches the
+    scan, and costs the same at any depth. ``offset`` counts rows instead and
+    has to order all rows in front of the page. Rows without a sort value come
+    last.
     """
-    if offset < 0 or not 1 <= limit <= MAX_PAGE:
-        raise ValueError("need offset >= 0 and 1 <= limit <= 200")
+    if offset < 0 or limit < 1:
+        raise ValueError("need offset >= 0 and limit >= 1")
     if allowed is not None and sort_by not in allowed:
         raise ValueError(f"cannot sort by {sort_by}")
-    ties = [tie] if isinstance(tie, str) else list(tie)
-    keys = [F.desc(c) if descending else F.asc(c) for c in (sort_by, *ties)]
+    names = [sort_by, *([tie] if isinstance(tie, str) else tie)]
+    keys = [F.desc_nulls_last(c) if descending else F.asc_nulls_last(c) for c in names]
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    page = df.orderBy(*keys).offset(offset).limit(limit)
+    rows = df if after is None else df.filter(behind(names, after, descending))
+    page = rows.orderBy(*keys).offset(offset).limit(limit)
     return page.withColumn("total", total.scalar())
 
 
+def behind(names: Sequence[str], last: Sequence[object], descending: bool = False) -> Column:
+    """Rows that come after the key ``last`` in the order of ``names``, nulls last."""
+    if len(names) != len(last):
+        raise ValueError("need one value for each sort column")
+    out = F.lit(False)
+    for name, value in reversed(list(zip(names, last))):
+        column = F.col(name)
+        if value is None:
+            out = column.isNull() & out
+            continue
+        beyond = column < F.lit(value) if descending else column > F.lit(value)
+        out = beyond | column.isNull() | ((column == F.lit(value)) & out)
+    return out
+
+
 def search_chunks(
     chunks: DataFrame,
     content_type: str | None = None,
@@ -249,8 +270,17 @@ def search_chunks(
     max_chars: int | None = None,
     section: str | None = None,
     contains: str | None = None,
+    page: int | None = None,
+    content_hash: str | None = None,
+    chunk_sets: DataFrame | None = None,
+    set_key: str = "chunk_set",
 ) -> DataFrame:
-    """Filtered chunks; the section test looks at the spans in place."""
+    """Filtered chunks; section and page tests look at the spans in place.
+
+    ``page`` keeps chunks with a span whose pages hold it, ``content_hash``
+    those with that hash in any case, and ``chunk_sets`` those whose
+    ``set_key`` is in that table, by a semi-join.
+    """
     out = chunks
     if content_type is not None:
         out = out.filter(F.col("content_type") == content_type)
@@ -260,6 +290,10 @@ def search_chunks(
         out = out.filter(F.col("character_count") >= min_chars)
     if max_chars is not None:
         out = out.filter(F.col("character_count") <= max_chars)
+    if content_hash is not None:
+        out = out.filter(F.col("content_hash") == content_hash.strip().lower())
+    if page is not None:
+        out = out.filter(F.exists("spans", lambda s: (s["page_start"] <= page) & (F.coalesce(s["page_end"], s["page_start"]) >= page)))
     if section:
         needle = section.strip().casefold()
         out = out.filter(
@@ -267,6 +301,8 @@ def search_chunks(
         )
     if contains and contains.strip():
         out = out.filter(F.contains(F.lower("text"), F.lit(contains.strip().casefold())))
+    if chunk_sets is not None:
+        out = out.join(chunk_sets.select(set_key).distinct(), set_key, "left_semi")
     return out
 
 

@@ -272,6 +272,62 @@ def d16(t: Tables):
     return ct.listing(found, "character_count", ["doc_id", "ordinal"], descending=True, offset=20, limit=50)
 
 
+def _paged_chunks(t: Tables) -> DataFrame:
+    """Chunks with a section and 3,000 characters to the page; a chunk may cross two pages."""
+    path = F.array(F.concat(F.lit("Source "), F.coalesce("source", F.lit("none"))))
+    pages = F.struct((F.floor(F.col("start") / 3000) + 1).cast("int").alias("page_start"),
+                     (F.floor((F.col("end") - 1) / 3000) + 1).cast("int").alias("page_end"), path.alias("section_path"))
+    chunks = plain_chunks(t).join(t.documents.select("doc_id", "source"), "doc_id")
+    return chunks.withColumns({"spans": F.array(pages), "content_type": F.lit("paragraph"), "chunk_set": F.col("doc_id")})
+
+
+_SQL_FILTERED = f"""
+WITH {SQL_PLAIN}, f AS (SELECT h.*, d.source, h.start // 3000 + 1 AS first_page, (h."end" - 1) // 3000 + 1 AS last_page
+  FROM hashed h JOIN documents d USING (doc_id))
+SELECT doc_id, ordinal::BIGINT AS ordinal, content_hash FROM f WHERE """
+_FILTERED = ["doc_id", "ordinal", "content_hash"]
+
+
+def _filtered(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), "content_hash")
+
+
+@query("d16_chunks_of_page", f"{_SQL_FILTERED} first_page <= 2 AND last_page >= 2")
+def d16_page(t: Tables):
+    return _filtered(ct.search_chunks(_paged_chunks(t), page=2))
+
+
+@query("d16_chunks_of_sets", f"{_SQL_FILTERED} doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def d16_sets(t: Tables):
+    sets = t.labels.filter("toxic = 1").select(F.col("doc_id").alias("chunk_set"))
+    return _filtered(ct.search_chunks(_paged_chunks(t), chunk_sets=sets))
+
+
+@query("d16_chunks_by_hash", f"""
+WITH {SQL_PLAIN} SELECT doc_id, ordinal::BIGINT AS ordinal, content_hash FROM hashed WHERE content_hash = (
+  SELECT content_hash FROM hashed WHERE doc_id = (SELECT min(doc_id) FROM hashed) AND ordinal = 0)""")
+def d16_hash(t: Tables):
+    chunks = _paged_chunks(t)
+    wanted = chunks.filter("ordinal = 0").agg(F.min_by("content_hash", "doc_id")).first()[0]
+    return _filtered(ct.search_chunks(chunks, content_hash=wanted.upper()))
+
+
+@query("d16_chunks_of_section", f"{_SQL_FILTERED} contains(lower('Source ' || coalesce(source, 'none')), 'source src1') AND character_count <= 1000")
+def d16_section(t: Tables):
+    return _filtered(ct.search_chunks(_paged_chunks(t), section=" Source SRC1", max_chars=1000, content_type="paragraph"))
+
+
+@query("d16_next_page", f"""
+WITH {SQL_PLAIN}, f AS (SELECT doc_id, ordinal::BIGINT AS ordinal, character_count::BIGINT AS character_count FROM hashed)
+SELECT *, (SELECT count(*) FROM f)::BIGINT AS total FROM f ORDER BY character_count DESC, doc_id DESC, ordinal DESC LIMIT 500 OFFSET 300""")
+def d16_next(t: Tables):
+    """The second page by the key of the last row of the first one."""
+    chunks = plain_chunks(t).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), "character_count")
+    first = ct.listing(chunks, "character_count", ["doc_id", "ordinal"], descending=True, limit=300)
+    last = first.agg(F.min(F.struct("character_count", "doc_id", "ordinal"))).first()[0]
+    return ct.listing(chunks, "character_count", ["doc_id", "ordinal"], descending=True, limit=500, after=list(last))
+
+
 _CONFIG_JSON = FIXED.canonical_json().replace("'", "''")
 
 

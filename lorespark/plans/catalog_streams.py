@@ -40,12 +40,15 @@ e AS (SELECT *, min(CASE WHEN status IN ('queued', 'reserved', 'succeeded', 'fai
 SELECT job_id, event_id AS reserved_event, strftime(ts + INTERVAL 300 SECOND, '%Y-%m-%d %H:%M:%S.%f') AS expired_at,
   CASE WHEN ran <= ts + INTERVAL 300 SECOND THEN 'running' ELSE 'reserved' END AS previous,
   CASE WHEN ran <= ts + INTERVAL 300 SECOND THEN 'failed' ELSE 'released' END AS event_type
-FROM e WHERE status = 'reserved' AND (closed IS NULL OR closed > ts + INTERVAL 300 SECOND)
-  AND date_trunc('hour', ts) + INTERVAL 3900 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+FROM e WHERE status = 'reserved' AND (closed IS NULL OR closed > ts + INTERVAL 300 SECOND)""")
 def l2(t: Tables):
     folder = new_run_folder(t.spark, "l2")
     streams.lease_expiry(_job_stream(t), f"{folder}/expired", f"{folder}/progress")
-    out = t.spark.read.schema(streams.EXPIRY_SCHEMA).parquet(f"{folder}/expired")
+    events = v.job_events(t)
+    # the stream has written all that is older than its watermark, an hour's events and a lease
+    last = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    streams.flush_leases(events, f"{folder}/expired", since=F.lit(last) - F.expr("INTERVAL 4 HOURS"))
+    out = streams.expired_leases(t.spark, f"{folder}/expired")
     return out.withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -17,6 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from lorespark.functions import rules
 from lorespark.functions.ordered import with_neighbour
 from lorespark.operators.history import TERMINAL, hour_of, is_legal
+from lorespark.session import cut_lineage
 from lorespark.sources.sinks import append_new
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -140,7 +141,8 @@ def lease_expiry(
 
     An event close to the start of its hour also goes to the hour before,
     where it can still close a lease. ``groups`` is the number of job groups
-    per hour, by default one per shuffle partition.
+    per hour, by default one per shuffle partition. Hours that the watermark
+    has not passed when the input ends are left to ``flush_leases``.
     """
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -160,6 +162,55 @@ def lease_expiry(
     _run(found.writeStream.format("parquet").option("path", sink).outputMode("append"), progress)
 
 
+def flush_leases(
+    events: DataFrame, sink: str, ttl_seconds: int = rules.LEASE_TTL_SECONDS, since: Column | None = None
+) -> None:
+    """Append the leases that ``lease_expiry`` left open when its input ended.
+
+    ``events`` is the whole input as a batch. No event follows any more, so a
+    lease without a closing event within its time has run out, also where the
+    watermark never passed its hour. Leases that the sink has are not written
+    again, so a repeated flush adds nothing. ``since`` may leave out
+    reservations that are known to be written. Runs a job.
+    """
+    order, seg = ["ts", "event_id"], hour_of()
+    rows = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
+    if since is not None:
+        rows = rows.filter(F.col("ts") >= since)
+    ends = rows.filter(F.col("status").isin(*_ENDS_LEASE))
+    closed = with_neighbour(ends, "job_id", order, seg, {"__closed": "ts"}, forward=True).filter("status = 'reserved'")
+    # a run that follows another reservation comes after the lease was closed
+    runs = rows.filter(F.col("status").isin("reserved", "running"))
+    ran = with_neighbour(runs, "job_id", order, seg, {"__next": "status", "__ran": "ts"}, forward=True)
+    ran = ran.filter("status = 'reserved'").select("event_id", F.when(F.col("__next") == "running", F.col("__ran")).alias("__ran"))
+    deadline = F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds))
+    over = closed.filter(F.col("__closed").isNull() | (F.col("__closed") > deadline)).join(ran, "event_id")
+    running = F.coalesce(F.col("__ran") <= deadline, F.lit(False))
+    out = over.select(
+        "job_id", F.col("event_id").alias("reserved_event"), deadline.alias("expired_at"),
+        F.when(running, "running").otherwise("reserved").alias("previous"),
+        F.when(running, "failed").otherwise("released").alias("event_type"),
+    )
+    written = expired_leases(events.sparkSession, sink).select("reserved_event")
+    fresh = cut_lineage(out.join(written, "reserved_event", "left_anti").select(*EXPIRY_SCHEMA.names))
+    fresh.write.mode("append").parquet(_flushed(sink))
+
+
+def _flushed(sink: str) -> str:
+    # readers of a stream's own folder see only what the stream committed
+    return f"{sink.rstrip('/')}-flushed"
+
+
+def expired_leases(spark: SparkSession, sink: str) -> DataFrame:
+    """All leases written by ``lease_expiry`` and ``flush_leases``."""
+    read = spark.read.schema(EXPIRY_SCHEMA)
+    found = read.parquet(sink)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_flushed(sink))
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        found = found.unionByName(read.parquet(_flushed(sink)))
+    return found
+
+
 # --- job states ----------------------------------------------------------------------------
 
 

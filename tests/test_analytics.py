@@ -10,6 +10,7 @@ from lorespark.functions.ordered import with_neighbour, with_running
 from lorespark.operators import graph, history, knowledge, learning, quality
 from lorespark.plans import catalog_history as ch, views
 from lorespark.plans.catalog_learning import lesson_events
+from lorespark.streaming import streams
 from lorespark.plans.registry import Tables
 
 START = datetime(2024, 1, 1)
@@ -226,3 +227,34 @@ def test_stream_dedup_over_batches(spark, tmp_path):
         streams.dedup_ingest(source, "text", str(tmp_path / "out"), str(progress))
     stored = [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(stored) == ["a", "b", "c", "d"]
+
+
+def test_leases_of_the_last_hours_are_flushed(spark, tmp_path):
+    rng = random.Random(6)
+    start = datetime(2024, 1, 1)
+    statuses = ["queued", "reserved", "running", "succeeded", "reserved", "retrying", "running"]
+    rows = [(rng.randrange(12), start + timedelta(seconds=rng.randrange(6 * 3600)), i, rng.choice(statuses)) for i in range(900)]
+    rows += [(0, start + timedelta(hours=6), 900 + i, "reserved") for i in range(3)]
+    df = spark.createDataFrame(rows, "job_id long, ts timestamp, event_id long, status string")
+    folder, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    df.coalesce(2).write.parquet(f"{folder}/events.parquet")
+    streamed = streams.read_stream(spark, f"{folder}/events.parquet", "", df.schema)
+    streams.lease_expiry(streamed, sink, str(tmp_path / "progress"), groups=2)
+    read = lambda: streams.expired_leases(spark, sink)
+    before = read().count()
+    streams.flush_leases(df, sink, since=F.lit(start + timedelta(hours=2)))
+    got = {tuple(r) for r in read().collect()}
+    streams.flush_leases(df, sink)
+    assert read().count() == len(got) > before > 0
+    want = set()
+    ttl = timedelta(seconds=300)
+    for job, ts, event, status in rows:
+        if status != "reserved":
+            continue
+        later = sorted((t, e, s) for j, t, e, s in rows if j == job and (t, e) > (ts, event))
+        closed = next((t for t, _, s in later if s in ("queued", "reserved", "succeeded", "failed", "cancelled")), None)
+        ran = next((t for t, _, s in later if s == "running"), None)
+        if closed is None or closed > ts + ttl:
+            live = ran is not None and ran <= ts + ttl
+            want.add((job, event, ts + ttl, "running" if live else "reserved", "failed" if live else "released"))
+    assert got == want
