@@ -16,7 +16,7 @@ from lorespark.functions.ordered import first_arrivals
 from lorespark.operators import search
 from lorespark.operators.chunking import let
 from lorespark.operators.sections import LINE_BREAK
-from lorespark.session import prepare
+from lorespark.session import cut_lineage, prepare
 
 _W = tx.WORD
 _WORD_END = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -196,12 +196,13 @@ def candidates(
 
     Dictionary hits, phrases, terms and bigrams in this order; aliases become
     canonical titles and keys are unique. All titles are kept, ranked; a
-    caller that wants the first ones only passes ``cap``.
+    caller that wants the first ones only passes ``cap``. Term counts are
+    written once for the parts that read them. Runs a job.
     """
     prepare(docs.sparkSession)
     docs = docs.select(id_col, text).repartition(F.col(id_col))
     tokens = terms(docs, id_col, text)
-    counts = term_counts(tokens, id_col)
+    counts = cut_lineage(term_counts(tokens, id_col))  # three parts read it
     one = F.lit(1).cast("bigint")
 
     def part(df: DataFrame, source: int, weight: Column) -> DataFrame:
@@ -294,6 +295,41 @@ def difficulty(summary: Column) -> Column:
     return F.when(search.any_term(summary, rules.ADVANCED_TERMS), "advanced").otherwise("beginner")
 
 
+def grams(sentence: Column) -> tuple[Column, Column]:
+    """Words and the texts between them, of a lower-case sentence."""
+    return F.regexp_extract_all(sentence, F.lit(f"({_W}+)"), 1), F.split(sentence, f"{_W}+")
+
+
+def mentions(sents: DataFrame, items: DataFrame, id_col: str) -> DataFrame:
+    """``items`` joined to the sentences (id, pos, statement) that mention them.
+
+    ``items`` has the id, an ``alias`` of ``alias_items`` and other columns; the
+    result has those columns and ``pos``, a row per sentence and alias. A text
+    that holds an alias as a whole term also holds the alias's first two words
+    (or its one word) with what stands between them, so both sides are joined
+    on the document and the 64-bit hash of that gram. Aliases of more than one
+    word are then tested in their sentence.
+    """
+    low = sents.select(id_col, "pos", F.lower("statement").alias("__low"))
+    words, between = grams(F.col("__low"))
+    cut = low.select(id_col, "pos", words.alias("__w"), between.alias("__b"))
+    words = F.transform("__w", lambda w: F.xxhash64(w))
+    pairs = F.transform(
+        F.slice("__w", 1, F.greatest(F.size("__w") - 1, F.lit(0))),
+        lambda w, i: F.xxhash64(F.concat(w, F.get("__b", i + 1), F.get("__w", i + 1))),
+    )
+    index = cut.select(id_col, "pos", F.explode(F.array_distinct(F.concat(words, pairs))).alias("gram"))
+    first, gap = grams(F.col("alias.low"))
+    gram = F.when(F.size(first) < 2, F.get(first, F.lit(0))).otherwise(
+        F.concat(F.get(first, F.lit(0)), F.get(gap, F.lit(1)), F.get(first, F.lit(1)))
+    )
+    met = index.join(items.withColumn("gram", F.xxhash64(gram)), [id_col, "gram"]).drop("gram")
+    plain = met.filter("alias.simple")
+    tested = met.filter("NOT alias.simple").join(sents.select(id_col, "pos", "statement"), [id_col, "pos"])
+    tested = tested.filter(_mentions(sentence_item(F.col("statement")), F.col("alias"))).drop("statement")
+    return plain.unionByName(tested)
+
+
 def described(
     docs: DataFrame, found: DataFrame, id_col: str, text: str,
     concepts: Mapping[str, Sequence[str]] = rules.KNOWN_CONCEPTS,
@@ -301,34 +337,18 @@ def described(
 ) -> DataFrame:
     """(id, rank, title, slug, summary, difficulty, category) of each candidate.
 
-    The candidate list is attached to its document row,
-    so sentences are tested in place and no sentence-candidate pairs exist.
+    Candidates meet their sentences through ``mentions``; the first sentence
+    is the summary. Runs a job.
     """
-    item = F.struct("rank", "title", alias_items(aliases_of(F.col("title"), concepts)).alias("aliases"))
-    lists = found.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("__c"))
-    rows = docs.select(
-        id_col,
-        F.transform(sentence_array(tx.nfkc(F.col(text)), 3, 15), sentence_item).alias("__s"),
-        search.detect_categories(F.col(text), category_rules).alias("__categories"),
-    ).join(lists, id_col)
-    first = lambda c: F.get(
-        F.filter("__s", lambda s: F.exists(c["aliases"], lambda a: _mentions(s, a))), F.lit(0)
-    )["s"]
-    rows = rows.select(
-        id_col, "__categories",
-        F.explode(
-            F.transform(
-                "__c",
-                lambda c: F.struct(
-                    c["rank"].alias("rank"), c["title"].alias("title"),
-                    F.coalesce(
-                        first(c),
-                        F.concat(c["title"], F.lit(" is a concept identified in the imported document.")),
-                    ).alias("summary"),
-                ),
-            )
-        ).alias("c"),
-    ).select(id_col, "__categories", "c.*")
+    items = found.select(id_col, "rank", F.explode(alias_items(aliases_of(F.col("title"), concepts))).alias("alias"))
+    # the index, the tests and the summaries read them
+    sents = cut_lineage(sentences(docs, id_col, text, 3, 15).withColumnRenamed("sentence", "statement"))
+    first = mentions(sents, items, id_col).groupBy(id_col, "rank").agg(F.min("pos").alias("pos"))
+    first = first.join(sents, [id_col, "pos"]).select(id_col, "rank", F.col("statement").alias("__first"))
+    categories = docs.select(id_col, search.detect_categories(F.col(text), category_rules).alias("__categories"))
+    rows = found.select(id_col, "rank", "title").join(first, [id_col, "rank"], "left").join(categories, id_col)
+    default = F.concat("title", F.lit(" is a concept identified in the imported document."))
+    rows = rows.withColumn("summary", F.coalesce("__first", default))
     category = search.primary_category(F.concat_ws(" ", "title", "summary"), category_rules)
     rows = rows.withColumn("category", category)
     return rows.select(
@@ -390,39 +410,15 @@ def claims(
 
     A sentence belongs to the document's concept with the longest alias it
     holds (earlier concept on a tie); a statement is stored once, globally.
+    Runs a job.
     """
-    item = F.struct("concept_order", "slug", alias_items(aliases_of(F.col("concept"), concepts)).alias("aliases"))
-    lists = doc_concepts.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("__c"))
-    rows = docs.select(id_col, sentence_array(tx.nfkc(F.col(text))).alias("__s")).join(lists, id_col)
-
-    def best(s: Column) -> Column:
-        return let(
-            sentence_item(s),
-            lambda item: F.array_max(
-                F.filter(
-                    F.transform(
-                        "__c",
-                        lambda c, i: F.struct(
-                            F.array_max(
-                                F.transform(
-                                    F.filter(c["aliases"], lambda a: _mentions(item, a)),
-                                    lambda a: F.length(a["alias"]),
-                                )
-                            ).alias("n"),
-                            (-i).alias("earlier"), c["slug"].alias("slug"),
-                        ),
-                    ),
-                    lambda m: m["n"].isNotNull(),
-                )
-            ),
-        )
-
-    picked = rows.select(
-        id_col,
-        F.posexplode(
-            F.transform("__s", lambda s: F.struct(s.alias("statement"), best(s)["slug"].alias("concept")))
-        ).alias("pos", "x"),
-    ).select(id_col, "pos", "x.*").filter("concept IS NOT NULL")
+    items = doc_concepts.select(
+        id_col, "concept_order", "slug", F.explode(alias_items(aliases_of(F.col("concept"), concepts))).alias("alias")
+    )
+    sents = cut_lineage(sentences(docs, id_col, text).withColumnRenamed("sentence", "statement"))
+    rank = F.struct((-F.length("alias.alias")).alias("n"), "concept_order")
+    best = mentions(sents, items, id_col).groupBy(id_col, "pos").agg(F.min_by("slug", rank).alias("concept"))
+    picked = sents.join(best, [id_col, "pos"])
     picked = picked.withColumn("claim_key", tx.key_of(F.col("statement")))
     if existing is not None:
         picked = picked.join(existing.select("claim_key").distinct(), "claim_key", "left_anti")
