@@ -100,11 +100,12 @@ KNOWN_CONCEPTS: dict[str, tuple[str, ...]] = {
 }
 
 STOPWORDS = (
-    "about after again against also and are because been before being between both but "
-    "can could does each for from have into its more most not often other our should that "
-    "the their then there these they this through under use used using very was were when "
-    "where which while with would you your"
-).split()
+    "about", "after", "again", "against", "also", "and", "are", "because", "been", "before",
+    "being", "between", "both", "but", "can", "could", "does", "each", "for", "from", "have",
+    "into", "its", "more", "most", "not", "often", "other", "our", "should", "that", "the", "their",
+    "then", "there", "these", "they", "this", "through", "under", "use", "used", "using", "very",
+    "was", "were", "when", "where", "which", "while", "with", "would", "you", "your",
+)
 
 #: (source concept, relationship type, target concept)
 RELATION_RULES = (
@@ -180,7 +181,7 @@ MIME_BY_EXTENSION = {
     "htm": ("text/html", "application/xhtml+xml"),
     "json": ("application/json", "text/json"),
 }
-ALLOWED_EXTENSIONS = "pdf,docx,txt,csv,md,markdown,html,htm,json".split(",")
+ALLOWED_EXTENSIONS = ("pdf", "docx", "txt", "csv", "md", "markdown", "html", "htm", "json")
 ALLOWED_MIME_TYPES = (
     "application/pdf",
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
