@@ -78,12 +78,15 @@ class Encoder(dict):
     texts with one are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model.encode_special_tokens = literal
+        added = self.model.get_added_tokens_decoder().values()
+        #: texts with one of these are encoded whole
+        self.markers = [x.content for x in added if not (literal and x.special)]
         self.plain = _plain_bpe(path)
         self.line = self._encode(["\n"])[0]
 
@@ -132,7 +135,8 @@ class Encoder(dict):
         self.update(zip(new, self._encode_parts(new)))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [None if "\0" in x else x.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for x in texts]
+        whole = lambda x: "\0" in x or any(m in x for m in self.markers)
+        parts = [None if whole(x) else x.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for x in texts]
         missing: set[str] = set()
         for p in parts:
             missing.update(p or ())
@@ -148,17 +152,17 @@ class Encoder(dict):
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _pieces(path: str, size: int, end_id: int):
+def _pieces(path: str, size: int, end_id: int, literal: bool):
     """Pieces of each text: start, length, number among the task's pieces of that length, and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
+        encoder = _encoders.get((path, literal)) or _encoders.setdefault((path, literal), Encoder(path, literal))
         tail = np.array([end_id], "<u4").tobytes()
         seen = [0] * (size + 1)
         for batch in batches:
@@ -286,21 +290,25 @@ def _place(plan: np.ndarray, size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = 0) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, ident: str = "doc_id", text: str = "text", size: int = SIZE, end_id: int = 0, literal: bool = False
+) -> DataFrame:
     """Pieces with their place: id, piece, start, length, ids, sequence_id, offset, ids_crc32.
 
     ``ids`` has four little-endian bytes a token: the pieces of a
     ``sequence_id`` by ``offset`` are the sequence. A text's ids end with
     ``end_id``; null counts as empty, which gives one piece of one token.
     Longer texts are cut from the end, so the first piece may be shorter.
-    Repeated rows are packed once each; an empty table gives an empty table.
+    Special tokens written out in a text get their ids, as the tokenizer has
+    it; with ``literal`` they are encoded like other text. Other columns are
+    not read. Repeated rows are packed once each; an empty table gives an empty table.
     Runs jobs; the driver sees one count for each length.
     """
     spark = prepare(docs.sparkSession)
     plain = docs.select(named(docs, ident).alias("id"), text_of(docs, text).alias("_t"))
     kind = plain.schema["id"].dataType.simpleString()
     columns = f"id {kind}, piece int, start long, length long"
-    made = plain.mapInArrow(_pieces(tokenizer, size, end_id), f"{columns}, nth long, ids binary")
+    made = plain.mapInArrow(_pieces(tokenizer, size, end_id, literal), f"{columns}, nth long, ids binary")
     pieces = stage(made.withColumn("part", F.spark_partition_id()), "pieces")
 
     per_part = pieces.groupBy("length", "part").count()

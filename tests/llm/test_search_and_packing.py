@@ -77,7 +77,6 @@ def test_plan_equals_best_fit_decreasing(size):
 @pytest.mark.parametrize("size", [2048, 16])
 def test_pieces_are_the_texts(edge_docs, edge_rows, size):
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
     want = Counter()
     for r in edge_rows:
         ids = model.encode(r[1] or "", add_special_tokens=False).ids + [0]
@@ -98,7 +97,6 @@ def test_pieces_are_the_texts(edge_docs, edge_rows, size):
 @pytest.mark.parametrize("size", [2048, 16])
 def test_sequences_hold_the_token_ids(spark, edge_docs, edge_rows, size):
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
     rows = pack(edge_docs.repartition(3), TOKENIZER, size=size).collect()
     sequences = defaultdict(list)
     for r in sorted(rows, key=lambda r: r.offset):
@@ -126,12 +124,14 @@ def test_pipeline_ends_in_token_ids(spark):
     }
 
 
-def test_odd_white_space_is_encoded_whole(spark):
-    texts = ["a  b", " lead", "tail ", "x \n y", "tab\there", "nul\0 x", " nb sp", "it's, ok.\nNew...", "a\n\nb", "<|endoftext|> x", "w" * 500 + " z", "3,4. 5.", "é, ñ."]
+@pytest.mark.parametrize("literal", [False, True])
+def test_odd_white_space_and_special_tokens(spark, literal):
     model = Tokenizer.from_file(TOKENIZER)
-    model.encode_special_tokens = True
+    model.encode_special_tokens = literal
+    texts = ["a  b", " lead", "tail ", "x \n y", "tab\there", "nul\0 x", " nb sp", "it's, ok.\nNew...", "a\n\nb", "<|endoftext|> x", "w" * 500 + " z", "3,4. 5.", "é, ñ."]
+    texts += ["a <|endoftext|> b", "a<|endoftext|><|endoftext|>\nb  c"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.id: r.ids_crc32 for r in pack(docs, TOKENIZER).collect()}
+    got = {r.id: r.ids_crc32 for r in pack(docs, TOKENIZER, literal=literal).collect()}
     assert got == {i: zlib.crc32(np.array(model.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes()) for i, t in enumerate(texts)}
 
 
