@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from lorespark.session import prepare
 SIZE = 2048
 #: Bytes of token ids that a worker hands on at once.
 HANDED = 1 << 24
+#: Characters of the texts that are encoded together; a longer text stands alone.
+BLOCK = 1 << 22
 #: Cached words of a worker; the cache starts anew when full.
 CACHE = 800_000
 
@@ -73,8 +76,8 @@ class Encoder(dict):
     """Token ids as little-endian bytes, by word.
 
     The byte-level pattern starts a token at every single space or line feed,
-    and between a letter and a comma or full stop, so the ids of a text are
-    those of such parts joined. A part with other white space is held as None;
+    after a line feed, and between a letter and a comma or full stop, so the
+    ids of a text are those of such parts joined. A part with other white space has no ids here;
     texts with one are encoded whole.
     """
 
@@ -89,67 +92,124 @@ class Encoder(dict):
         self.markers = [x.content for x in added if not (literal and x.special)]
         self.plain = _plain_bpe(path)
         self.line = self._encode(["\n"])[0]
+        #: two bytes hold any id of a small vocabulary
+        self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(parts, add_special_tokens=False)
         return [_le_bytes(x.ids) for x in found]
 
     def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        if self.plain is None:
+        """Ids of parts that begin with their only white space, a single space, or have none.
+
+        A line feed in front of such a part is always a token of its own, so
+        all parts are encoded as the lines of one text.
+        """
+        if self.plain is None or not parts:
+            return self._encode(parts)
+        ids = self.plain.encode_to_numpy("\n".join(parts)).astype("<u4")
+        ends = np.flatnonzero(ids == int.from_bytes(self.line, "little"))
+        if len(ends) != len(parts) - 1:
             return self._encode(parts)
-        encode = self.plain.encode_ordinary
-        return [_le_bytes(encode(x)) for x in parts]
+        at, data = [-4, *(4 * ends).tolist(), 4 * len(ids)], ids.tobytes()
+        return [data[lo + 4 : hi] for lo, hi in zip(at, at[1:])]
 
     def _split(self, part: str) -> tuple[str, str] | None:
         if len(part) > 1 and part[-1] in ",." and part[-2].isalpha():
             return part[:-1], part[-1]
-        if len(part) > 1 and part[0] == "\n" and part[1].isalpha():
+        if len(part) > 1 and part[0] == "\n":
             return part[0], part[1:]
         return None
 
-    def __missing__(self, part: str) -> bytes | None:
+    def __missing__(self, part: str) -> bytes:
         if not part[1:].isalpha() and _odd(part):
-            return None
+            return b""
         cut = self._split(part)
-        if cut:
+        if not part:
+            ids = b""
+        elif cut:
             ids = (self.line if cut[0] == "\n" else self[cut[0]]) + self[cut[1]]
+        elif part[0].isspace() and part[0] != " ":
+            ids = self._encode([part])[0]
         else:
             ids = self._encode_parts([part])[0]
         if len(part) <= 64:
             self[part] = ids
         return ids
 
-    def _learn(self, parts: set[str]) -> None:
+    def _learn(self, parts: list[str]) -> None:
+        """Cache the ids of parts that are not cached yet."""
         if len(self) + len(parts) > CACHE:
             self.clear()
         new = set()
         for part in parts:
+            if len(part) > 64 or not part:
+                continue
             if not part[1:].isalpha() and _odd(part):
-                if len(part) <= 64:
-                    self[part] = None
+                self[part] = b""
                 continue
             while cut := self._split(part):
                 part = cut[1] if part[0] == "\n" else cut[0]
-            new.add(part)
-        new = [x for x in new if x not in self and len(x) <= 64]
+            if part[0] == " " or not part[0].isspace():
+                new.add(part)
+        new = [x for x in new if x not in self]
         self.update(zip(new, self._encode_parts(new)))
 
+    def _parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Parts of the texts by number, first part of each text, and the ids and id bounds by number.
+
+        Every distinct part is looked up once for all texts; one with other
+        white space has number -1 in place of its own.
+        """
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        lists = pc.split_pattern(marked, "\0")
+        coded = lists.values.dictionary_encode()
+        number = coded.indices.to_numpy()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, distinct))
+        missing = [i for i, x in enumerate(found) if x is None]
+        self._learn([distinct[i] for i in missing])
+        for i in missing:
+            found[i] = self[distinct[i]]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        odd = (size == 0) & (pc.binary_length(coded.dictionary).to_numpy() > 0)
+        return np.where(odd[number], -1, number), lists.offsets.to_numpy(), np.frombuffer(b"".join(found), "<u4").astype(self.kind), np.append(0, np.cumsum(size))
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and the bounds of each text's ids."""
+        whole = pc.match_substring(texts, "\0")
+        for marker in self.markers:
+            whole = pc.or_(whole, pc.match_substring(texts, marker))
+        whole = whole.to_numpy(zero_copy_only=False)
+        empty = pa.scalar("", texts.type)
+        number, first, ids, bounds = self._parts(pc.if_else(pa.array(whole), empty, texts))
+        # a text holds one part or more
+        whole |= np.minimum.reduceat(number, first[:-1]) < 0
+        size = np.where(number < 0, 0, np.diff(bounds)[number])
+        size[np.repeat(whole, np.diff(first))] = 0
+        ends = np.cumsum(size)
+        at = np.repeat(bounds[:-1][number] - (ends - size), size)
+        at += np.arange(len(at))
+        flat, cuts = ids[at], np.append(0, ends)[first]
+        if not whole.any():
+            return flat, cuts
+        odd = np.flatnonzero(whole)
+        own = self._encode(texts.take(pa.array(odd)).to_pylist())
+        pieces, last = [], 0
+        for i, x in zip(odd.tolist(), own):
+            pieces += [flat[last : cuts[i]], np.frombuffer(x, "<u4").astype(self.kind)]
+            last = cuts[i]
+        sizes = np.diff(cuts)
+        sizes[odd] = [len(x) // 4 for x in own]
+        return np.concatenate([*pieces, flat[last:]]), np.append(0, np.cumsum(sizes))
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        whole = lambda x: "\0" in x or any(m in x for m in self.markers)
-        parts = [None if whole(x) else x.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for x in texts]
-        missing: set[str] = set()
-        for p in parts:
-            missing.update(p or ())
-        missing = {x for x in missing if x not in self}
-        if missing:
-            self._learn(missing)
-        out = []
-        for text, p in zip(texts, parts):
-            try:
-                out.append(b"".join(map(self.__getitem__, p)))
-            except TypeError:  # no parts, or None among them
-                out.append(self._encode([text])[0])
-        return out
+        """Four little-endian bytes for each id of each text."""
+        if not texts:
+            return []
+        flat, cuts = self.block(pa.array(texts, pa.string()))
+        wide = flat.astype("<u4")
+        return [wide[lo:hi].tobytes() for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -163,10 +223,11 @@ def _pieces(path: str, size: int, end_id: int, literal: bool):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = _encoders.get((path, literal)) or _encoders.setdefault((path, literal), Encoder(path, literal))
-        tail = np.array([end_id], "<u4").tobytes()
+        tail = np.array([end_id], encoder.kind)
+        width = tail.itemsize
         seen = [0] * (size + 1)
         for batch in batches:
-            texts, idents = batch.column("_t").to_pylist(), batch.column("id")
+            texts, idents = batch.column("_t"), batch.column("id")
             rows, numbers, ids, held = [], [], [], 0
 
             def made() -> pa.RecordBatch:
@@ -174,19 +235,20 @@ def _pieces(path: str, size: int, end_id: int, literal: bool):
                 arrays = [idents.take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, nth)), pa.array(ids, pa.binary())]
                 return pa.RecordBatch.from_arrays(arrays, names=["id", "piece", "start", "length", "nth", "ids"])
 
-            for lo in range(0, len(texts), 200):
-                for i, body in enumerate(encoder.ids(texts[lo : lo + 200]), lo):
-                    body += tail
-                    n = len(body) // 4
-                    at, number = 0, 0
+            for lo, hi in _blocks(pc.utf8_length(texts).to_pylist()):
+                flat, cuts = encoder.block(texts.slice(lo, hi - lo))
+                cuts = cuts.tolist()
+                for i in range(lo, hi):
+                    body = np.append(flat[cuts[i - lo] : cuts[i - lo + 1]], tail)
+                    n, at, number = len(body), 0, 0
                     while at < n:
                         # the first piece takes what does not fill a sequence
                         step = (n % size or size) if number == 0 else size
                         rows.append(i)
                         numbers.append((number, at, step, seen[step]))
-                        ids.append(body[4 * at : 4 * (at + step)])
+                        ids.append(body[at : at + step].tobytes())
                         seen[step] += 1
-                        at, number, held = at + step, number + 1, held + 4 * step
+                        at, number, held = at + step, number + 1, held + width * step
                         if held >= HANDED:
                             yield made()
                             rows, numbers, ids, held = [], [], [], 0
@@ -196,6 +258,28 @@ def _pieces(path: str, size: int, end_id: int, literal: bool):
     return run
 
 
+def _blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``BLOCK`` characters."""
+    lo, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and held + n > BLOCK:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if sizes:
+        yield lo, len(sizes)
+
+
+def _widened(ids: pa.BinaryArray, lengths: np.ndarray) -> pa.BinaryArray:
+    """Four bytes for each id, from two or four."""
+    bounds = np.append(0, np.cumsum(lengths))
+    data = b"".join(ids.to_pylist())
+    kind = "<u2" if len(data) == 2 * bounds[-1] else "<u4"
+    wide = np.frombuffer(data, kind).astype("<u4").tobytes()
+    offsets = pa.py_buffer((4 * bounds).astype(np.int32).tobytes())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, offsets, pa.py_buffer(wide)])
+
+
 class OpenBins:
     """Bins by remaining capacity, under a segment tree of what is open."""
 
@@ -281,9 +365,9 @@ def _place(plan: np.ndarray, size: int):
             beyond = rank - row[:, 1]
             sequence = row[:, 2] + beyond // row[:, 4]
             offset = row[:, 3] + beyond % row[:, 4] * length
-            columns = [batch.column(c) for c in ("id", "piece", "start", "length", "ids")]
+            columns = [batch.column(c) for c in ("id", "piece", "start", "length")]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(sequence), pa.array(offset)],
+                [*columns, _widened(batch.column("ids"), length), pa.array(sequence), pa.array(offset)],
                 names=["id", "piece", "start", "length", "ids", "sequence_id", "offset"],
             )
 
