@@ -27,6 +27,10 @@ HEAVY = 18
 STATES, PASSES = 6, 14
 #: Training texts are read in stretches of so many tokens.
 STRETCH = 128
+#: Stretches that are read in step.
+BLOCK = 2048
+#: Tokens whose emissions are summed by symbol at once.
+TOGETHER = 1 << 20
 #: Pseudo-tokens of a state, spread like the symbols overall.
 PRIOR = 200.0
 #: The end of a text among the counted words; no word is empty.
@@ -128,41 +132,54 @@ def stretches(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return first, np.minimum(STRETCH, bounds[text + 1] - first), within == 0
 
 
-def expect(model: Hmm, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, begins: np.ndarray, into: Counts) -> None:
-    """Add the Baum-Welch counts of stretches, all of them in step."""
+def expect(model: Hmm, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, begins: np.ndarray, into: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """Add the Baum-Welch counts of stretches, all of them in step, but for emissions.
+
+    Those are returned: symbols, and the state probabilities at each of them.
+    """
     order = np.argsort(-size, kind="stable")
     first, size, begins = first[order], size[order], begins[order]
     longest = int(size[0]) if len(size) else 0
-    active = [int((size > t).sum()) for t in range(longest)]
-    ahead, scale, seen = [], [], []
-    for t, n in enumerate(active):
-        emitted = model.emit[symbols[first[:n] + t]]
-        a = np.where(begins[:, None], model.start, model.later) * emitted if t == 0 else (ahead[-1][:n] @ model.move) * emitted
-        c = a.sum(axis=1)
-        a /= c[:, None]
-        ahead.append(a)
-        scale.append(c)
-        seen.append(emitted)
-    back = np.ones((len(first), into.move.shape[0]))
-    places, parts = [], []
+    states, kind = into.move.shape[0], model.emit.dtype
+    if not longest:
+        return np.zeros(0, np.int32), np.zeros((states, 0), kind)
+    # step by step, the stretches that still go on; a row for each state
+    active = len(size) - np.searchsorted(size[::-1], np.arange(longest), "right")
+    ends = np.cumsum(active)
+    step = [slice(end - n, end) for n, end in zip(active.tolist(), ends.tolist())]
+    places = symbols[np.concatenate([first[:n] + t for t, n in enumerate(active.tolist())])]
+    seen = np.ascontiguousarray(model.emit[places].T)
+    ahead, scale = np.empty_like(seen), np.empty(len(places), kind)
+    into_next = np.ascontiguousarray(model.move.T)
+    for t, here in enumerate(step):
+        if t == 0:
+            a = np.where(begins, model.start[:, None], model.later[:, None]) * seen[:, here]
+        else:
+            before = step[t - 1].start
+            a = (into_next @ ahead[:, before : before + here.stop - here.start]) * seen[:, here]
+        np.sum(a, axis=0, out=scale[here])
+        np.divide(a, scale[here], out=ahead[:, here])
+    seen /= scale
+    back = np.ones((states, len(first)), kind)
     for t in range(longest - 1, -1, -1):
-        n = active[t]
+        here = step[t]
         if t + 1 < longest:
-            m = active[t + 1]
-            follow = back[:m] * seen[t + 1] / scale[t + 1][:, None]
-            into.move += (ahead[t][:m].T @ follow) * model.move
-            back[:m] = follow @ model.move.T
-        part = ahead[t] * back[:n]
-        places.append(symbols[first[:n] + t])
-        parts.append(part)
-        if t == 0:
-            into.start += part[begins].sum(axis=0)
-            into.later += part[~begins].sum(axis=0)
-    if longest:
-        part = np.concatenate(parts)
-        used, where = np.unique(np.concatenate(places), return_inverse=True)
-        for k in range(part.shape[1]):
-            into.emit[used, k] += np.bincount(where, part[:, k], len(used))
+            then = step[t + 1]
+            m = then.stop - then.start
+            follow = back[:, :m] * seen[:, then]
+            into.move += (ahead[:, here.start : here.start + m] @ follow.T) * model.move
+            back[:, :m] = model.move @ follow
+        ahead[:, here] *= back[:, : here.stop - here.start]  # the earlier steps do not need it any more
+    into.start += ahead[:, step[0]][:, begins].sum(axis=1)
+    into.later += ahead[:, step[0]][:, ~begins].sum(axis=1)
+    return places, ahead
+
+
+def add_emissions(found: list[tuple[np.ndarray, np.ndarray]], into: Counts) -> None:
+    """Sum the state probabilities by symbol."""
+    places = np.concatenate([x for x, _ in found])
+    for k in range(into.emit.shape[1]):
+        into.emit[:, k] += np.bincount(places, np.concatenate([x[k] for _, x in found]), len(into.emit))
 
 
 def maximise(counts: Counts, shares: np.ndarray) -> Hmm:
@@ -186,12 +203,19 @@ def _expect_batches(shared, n_symbols: int, states: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Hmm = shared.value
         total = Counts.none(n_symbols, states)
+        found, held = [], 0
         for batch in batches:
             symbols, bounds = _lists(batch.column("symbols"))
             first, size, begins = stretches(symbols, bounds)
-            for lo in range(0, len(first), 2048):
-                cut = slice(lo, lo + 2048)
-                expect(model, symbols, first[cut], size[cut], begins[cut], total)
+            for lo in range(0, len(first), BLOCK):
+                cut = slice(lo, lo + BLOCK)
+                found.append(expect(model, symbols, first[cut], size[cut], begins[cut], total))
+                held += len(found[-1][0])
+                if held >= TOGETHER:
+                    add_emissions(found, total)
+                    found, held = [], 0
+        if found:
+            add_emissions(found, total)
         used = np.flatnonzero(total.emit.any(axis=1))
         # after the symbols: starts, later starts and the rows of transitions
         extra = np.stack([total.start, total.later, *total.move])

@@ -17,7 +17,7 @@ from lorespark.llm.common import held_out
 from lorespark.llm.op2_toxicity import toxicity
 from lorespark.llm.op4_language import build, grams_of, language, slots_of
 from lorespark.llm.op9_quality import quality_rules
-from lorespark.llm.op10_hmm import Counts, expect, first_model, log_likelihoods, maximise, score_texts
+from lorespark.llm.op10_hmm import Counts, add_emissions, expect, first_model, log_likelihoods, maximise, score_texts
 
 
 def test_mask_of_an_ngram_has_all_its_languages():
@@ -135,7 +135,7 @@ def test_baum_welch_raises_the_likelihood():
     before = log_likelihoods(model, symbols, bounds).sum()
     for _ in range(15):
         counts = Counts.none(8, 2)
-        expect(model, symbols, bounds[:-1], np.diff(bounds), np.ones(60, bool), counts)
+        add_emissions([expect(model, symbols, bounds[:-1], np.diff(bounds), np.ones(60, bool), counts)], counts)
         model = maximise(counts, shares / shares.sum())
     assert log_likelihoods(model, symbols, bounds).sum() > before + 50
 
@@ -154,7 +154,7 @@ def test_every_pass_reads_all_training_texts(spark):
     model = first_model(shares)
     for _ in range(14):
         counts = Counts.none(len(shares), len(model.start))
-        expect(model, symbols, bounds[:-1], size, np.ones(len(size), bool), counts)
+        add_emissions([expect(model, symbols, bounds[:-1], size, np.ones(len(size), bool), counts)], counts)
         model = maximise(counts, shares)
     want = log_likelihoods(model, symbols, bounds) / math.log(10)
     rows = score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True)).collect()
