@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lorespark.functions import rules
 from lorespark.plans import views as v
 from lorespark.plans.registry import Tables, query
 from lorespark.session import new_run_folder
 from lorespark.streaming import streams
 
+_LEGAL = ", ".join(f"'{a}>{b}'" for a, bs in rules.JOB_TRANSITIONS.items() for b in bs)
+
 
 def _table_stream(t: Tables, name: str):
     return streams.read_stream(t.spark, t.folder, name, getattr(t, name).schema)
@@ -52,11 +55,22 @@ def l2(t: Tables):
     return out.withColumn("expired_at", F.date_format("expired_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+def _segments(t: Tables) -> str:
+    folder = new_run_folder(t.spark, "l3")
+    streams.job_states(_job_stream(t), f"{folder}/segments", f"{folder}/progress")
+    return f"{folder}/segments"
+
+
 @query("l3_stream_job_states", f"""
 WITH {v.SQL_JOBS} SELECT job_id, arg_max(status, (ts, event_id)) AS status, count(*)::BIGINT AS events,
   count(*) FILTER (status = 'running')::BIGINT AS attempts, count(*) FILTER (status = 'retrying')::BIGINT AS retries
 FROM job_events GROUP BY job_id""")
 def l3(t: Tables):
-    folder = new_run_folder(t.spark, "l3")
-    streams.job_states(_job_stream(t), f"{folder}/states", f"{folder}/violations", f"{folder}/progress")
-    return streams.latest_states(t.spark, f"{folder}/states").select("job_id", "status", "events", "attempts", "retries")
+    return streams.latest_states(t.spark, _segments(t))
+
+
+@query("l3_stream_violations", f"""
+WITH {v.SQL_JOBS}, p AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY job_id ORDER BY ts, event_id), 'new') AS previous_status FROM job_events)
+SELECT job_id, event_id, previous_status, status FROM p WHERE previous_status || '>' || status NOT IN ({_LEGAL})""")
+def l3_violations(t: Tables):
+    return streams.illegal_transitions(t.spark, _segments(t))

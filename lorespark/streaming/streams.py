@@ -6,10 +6,10 @@ a query return after the available input is processed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -41,6 +41,20 @@ def _run(writer, progress: str) -> None:
     query.awaitTermination()
 
 
+def _run_keyed(spark: SparkSession, found: DataFrame, sink: str, progress: str) -> None:
+    """Run a query with keyed state; only this query gets the state store that it needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        _run(found.writeStream.format("parquet").option("path", sink).outputMode("append"), progress)
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 # --- first arrival per content -------------------------------------------------------
 
 
@@ -145,7 +159,6 @@ def lease_expiry(
     has not passed when the input ends are left to ``flush_leases``.
     """
     spark = events.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     parts = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
     second = F.unix_timestamp(F.col("ts"))
     hour = F.floor(second / 3600) * 3600
@@ -159,7 +172,7 @@ def lease_expiry(
     found = spread.groupBy("job_group", "hour").transformWithStateInPandas(
         LeaseExpiry(ttl_seconds), EXPIRY_SCHEMA, "append", "EventTime"
     )
-    _run(found.writeStream.format("parquet").option("path", sink).outputMode("append"), progress)
+    _run_keyed(spark, found, sink, progress)
 
 
 def flush_leases(
@@ -214,49 +227,104 @@ def expired_leases(spark: SparkSession, sink: str) -> DataFrame:
 # --- job states ----------------------------------------------------------------------------
 
 
-def job_states(events: DataFrame, states: str, violations: str, progress: str) -> None:
-    """Keep the latest status and counters per job; illegal transitions go aside.
+_LONG, _STRING = T.LongType(), T.StringType()
+_STEP = T.StructType([T.StructField("event_id", _LONG), T.StructField("previous_status", _STRING), T.StructField("status", _STRING)])
+SEGMENT_SCHEMA = T.StructType([
+    *[T.StructField(name, _LONG) for name in ("job_id", "hour", "events", "attempts", "retries", "first_event")],
+    T.StructField("first_status", _STRING), T.StructField("last_status", _STRING), T.StructField("illegal", T.ArrayType(_STEP)),
+])
+_LEGAL_STEPS = {(a, b) for a, follows in rules.JOB_TRANSITIONS.items() for b in follows}
+
+
+def judged_segments(events: pd.DataFrame, hour: int, jobs: Iterable[int]) -> pd.DataFrame:
+    """One row for each of ``jobs``: what its events of one hour amount to.
+
+    Every event but the first is judged against the one before it in event
+    time; the first one is judged by ``illegal_transitions``, which knows the
+    hour before.
+    """
+    rows = events[events.job_id.isin(set(jobs))].sort_values(["job_id", "ts", "event_id"])
+    before = rows.groupby("job_id").status.shift(1)
+    legal = [(a, b) in _LEGAL_STEPS for a, b in zip(before, rows.status)]
+    wrong = rows.assign(previous=before)[before.notna() & ~pd.Series(legal, rows.index, dtype=bool)]
+    steps = {
+        job: [{"event_id": e, "previous_status": a, "status": b} for e, a, b in zip(part.event_id, part.previous, part.status)]
+        for job, part in wrong.groupby("job_id")
+    }
+    grouped = rows.groupby("job_id")
+    return pd.DataFrame({
+        "events": grouped.size(),
+        "attempts": rows.status.eq("running").groupby(rows.job_id).sum(),
+        "retries": rows.status.eq("retrying").groupby(rows.job_id).sum(),
+        "first_event": grouped.event_id.first(), "first_status": grouped.status.first(),
+        "last_status": grouped.status.last(),
+    }).reset_index().assign(hour=hour, illegal=lambda x: [steps.get(job, []) for job in x.job_id])[SEGMENT_SCHEMA.names]
+
+
+class JobSegments(StatefulProcessor):
+    """Keeps the events of one (job group, hour); a batch revises the rows of its jobs."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getListState("events", _EVENT)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        jobs: set[int] = set()
+        for batch in rows:
+            jobs.update(batch.job_id)
+            self.events.appendList([
+                (int(job), ts.to_pydatetime(), int(event), status)
+                for job, ts, event, status in zip(batch.job_id, batch.ts, batch.event_id, batch.status)
+            ])
+        kept = pd.DataFrame(list(self.events.get()), columns=["job_id", "ts", "event_id", "status"])
+        yield judged_segments(kept, int(key[1]), jobs)
+
+    def close(self) -> None:
+        pass
+
+
+def job_states(events: DataFrame, sink: str, progress: str, groups: int | None = None) -> None:
+    """Keep status, counters and illegal transitions per job, in hourly segments.
 
-    Every micro-batch is first reduced per job on the map side, so a hot job
-    costs one row per task. Each batch writes ``states/batch=<n>`` from the
-    version before it, which makes a replayed batch overwrite its own result.
+    A batch appends one revised row for each (job, hour) that it touches, so
+    nothing else is written again, and a busy job is spread over its hours. An
+    event that comes late, in whatever batch, is put in its place in event
+    time, and the events beside it are judged again; none is dropped. Read the
+    result by ``latest_states`` and ``illegal_transitions``. ``groups`` is the
+    number of job groups per hour, by default one per shuffle partition.
     """
+    spark = events.sparkSession
+    parts = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = (
+        events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
+        .withColumn("job_group", F.pmod(F.xxhash64("job_id"), F.lit(parts)))
+        .withColumn("hour", F.floor(F.unix_timestamp("ts") / 3600) * 3600)
+    )
+    found = keyed.groupBy("job_group", "hour").transformWithStateInPandas(JobSegments(), SEGMENT_SCHEMA, "append", "None")
+    _run_keyed(spark, found, sink, progress)
+
+
+def _segments(spark: SparkSession, sink: str) -> DataFrame:
+    # events are only added, so the newest revision has most of them
+    rows = spark.read.schema(SEGMENT_SCHEMA).parquet(sink)
+    newest = rows.groupBy("job_id", "hour").agg(F.max_by(F.struct(*SEGMENT_SCHEMA.names), "events").alias("x"))
+    return newest.select("x.*")
+
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        at = F.struct("ts", "event_id")
-        batch = batch.persist()
-        newest = batch.groupBy("job_id").agg(
-            F.max_by("status", at).alias("status"), F.max(at).alias("seen_at"),
-            F.count(F.lit(1)).alias("events"),
-            F.count_if(F.col("status") == "running").alias("attempts"),
-            F.count_if(F.col("status") == "retrying").alias("retries"),
-        )
-        before = None
-        if number > 0:
-            before = spark.read.parquet(f"{states}/batch={number - 1}")
-            newest = before.unionByName(newest).groupBy("job_id").agg(
-                F.max_by("status", "seen_at").alias("status"), F.max("seen_at").alias("seen_at"),
-                F.sum("events").alias("events"), F.sum("attempts").alias("attempts"),
-                F.sum("retries").alias("retries"),
-            )
-        steps = with_neighbour(batch, "job_id", ["ts", "event_id"], hour_of(), {"previous_status": "status"})
-        if before is not None:
-            steps = steps.join(before.select("job_id", F.col("status").alias("__s")), "job_id", "left")
-            steps = steps.withColumn("previous_status", F.coalesce("previous_status", "__s")).drop("__s")
-        steps = steps.withColumn("previous_status", F.coalesce("previous_status", F.lit("new")))
-        illegal = steps.filter(~is_legal(F.col("previous_status"), F.col("status")))
-        illegal.select("job_id", "event_id", "previous_status", "status").write.mode("overwrite").parquet(
-            f"{violations}/batch={number}"
-        )
-        newest.write.mode("overwrite").parquet(f"{states}/batch={number}")
-        batch.unpersist()
-
-    _run(events.writeStream.foreachBatch(merge), progress)
-
-
-def latest_states(spark: SparkSession, states: str) -> DataFrame:
-    """The newest version written by ``job_states``."""
-    versions = spark.read.option("basePath", states).parquet(states)
-    newest = versions.agg(F.max("batch").alias("batch"))
-    return versions.join(newest, "batch", "left_semi").drop("batch")
+def latest_states(spark: SparkSession, sink: str) -> DataFrame:
+    """(job_id, status, events, attempts, retries) from the rows of ``job_states``."""
+    return _segments(spark, sink).groupBy("job_id").agg(
+        F.max_by("last_status", "hour").alias("status"),
+        *[F.sum(c).alias(c) for c in ("events", "attempts", "retries")],
+    )
+
+
+def illegal_transitions(spark: SparkSession, sink: str, initial: str = "new") -> DataFrame:
+    """(job_id, event_id, previous_status, status): inside hours, and from one hour to the next."""
+    segments = _segments(spark, sink)
+    inside = segments.select("job_id", F.explode("illegal").alias("x")).select("job_id", "x.*")
+    before = F.lag("last_status").over(Window.partitionBy("job_id").orderBy("hour"))
+    edges = segments.select(
+        "job_id", F.col("first_event").alias("event_id"), F.coalesce(before, F.lit(initial)).alias("previous_status"),
+        F.col("first_status").alias("status"),
+    )
+    return inside.unionByName(edges.filter(~is_legal(F.col("previous_status"), F.col("status"))))

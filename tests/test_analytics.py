@@ -152,22 +152,39 @@ def test_stream_leases_follow_the_batch_rule(spark):
     assert [(r.job_id, r.reserved_event, r.previous) for r in out.itertuples()] == [(1, 1, "running"), (2, 6, "reserved")]
 
 
-def test_job_states_over_several_batches(spark, small, tmp_path):
+def test_job_states_over_several_batches_in_any_order(spark, small, tmp_path):
     from lorespark.streaming import streams
 
     t = Tables(spark, small)
     batch = views.job_events(t).withColumn("ts", F.col("ts").cast("timestamp")).drop("props")
-    thirds = batch.withColumn("part", F.ntile(3).over(Window.orderBy("ts", "event_id")))
-    for part in (1, 2, 3):
-        piece = thirds.filter(F.col("part") == part).drop("part").coalesce(1)
+    dealt = batch.withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    for part in (0, 1, 2):
+        piece = dealt.filter(F.col("part") == part).drop("part").coalesce(1)
         piece.write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.job_states(source, str(tmp_path / "s"), str(tmp_path / "v"), str(tmp_path / "p"))
-    got = {(r.job_id, r.status, r.events) for r in streams.latest_states(spark, str(tmp_path / "s")).collect()}
+    sink = str(tmp_path / "s")
+    streams.job_states(source, sink, str(tmp_path / "p"))
+    got = {(r.job_id, r.status, r.events) for r in streams.latest_states(spark, sink).collect()}
     want = {(r.job_id, r.status, r.events) for r in history.current_states(batch.withColumn("e", F.lit("")), "e").collect()}
     assert got == want
-    illegal = spark.read.parquet(str(tmp_path / "v")).select("event_id").distinct().count()
-    assert illegal == history.transitions(batch).filter("NOT legal").count()
+    columns = ["job_id", "event_id", "previous_status", "status"]
+    illegal = streams.illegal_transitions(spark, sink).select(*columns).collect()
+    wanted = history.transitions(batch).filter("NOT legal").select(*columns).collect()
+    assert sorted(illegal) == sorted(wanted)
+
+
+def test_a_late_event_makes_its_neighbours_legal():
+    import pandas as pd
+
+    from lorespark.streaming.streams import judged_segments
+
+    rows = [(1, 10, 1, "queued"), (1, 30, 3, "running"), (2, 5, 4, "queued")]
+    make = lambda r: pd.DataFrame(r, columns=["job_id", "ts", "event_id", "status"])
+    early = judged_segments(make(rows), 0, [1])
+    assert early[["job_id", "events", "last_status"]].values.tolist() == [[1, 2, "running"]]
+    assert [x["event_id"] for x in early.illegal[0]] == [3]
+    late = judged_segments(make([*rows, (1, 20, 2, "reserved")]), 0, [1])
+    assert late.events.tolist() == [3] and late.illegal.tolist() == [[]]
 
 
 KNOWLEDGE = (
