@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,6 +29,54 @@ def identity_is(id_col: str, names: Sequence[str], value: int | str) -> Column:
     return hit
 
 
+def having(rows: DataFrame, key: str, related: DataFrame, test: Column) -> DataFrame:
+    """Rows with at least one related row that passes ``test``: a semi-join on ``key``."""
+    return rows.join(related.filter(test).select(key).distinct(), key, "left_semi")
+
+
+def search_registry(
+    rows: DataFrame,
+    key: str,
+    q: str | None = None,
+    columns: Sequence[str] = (),
+    related: Sequence[tuple[DataFrame, Sequence[str]]] = (),
+    contains: Sequence[tuple[Sequence[str], str]] = (),
+    equals: Mapping[str, str | int | bool] | None = None,
+    identities: Sequence[tuple[str, Sequence[str], int | str]] = (),
+    tag: int | str | None = None,
+    tags: DataFrame | None = None,
+) -> DataFrame:
+    """Rows of a registry of sources or documents that pass all given filters.
+
+    ``q`` must be part of one of ``columns``, or of a column of a ``related``
+    table (aliases, identifiers), whose rows belong to a row by ``key``.
+    ``contains`` asks for a text in one of some columns (own author or that of
+    the source), ``equals`` for values, texts in any case, ``identities`` for
+    an id or a name, and ``tag`` for a row of ``tags`` (key, tag, slug, name)
+    by id, slug or name. Related rows are reduced to distinct keys before they
+    are joined, so many aliases of one row do not multiply it. A blank ``q``
+    filters nothing; null columns hold nothing.
+    """
+    out = rows
+    for name, value in (equals or {}).items():
+        column = F.lower(name) == value.casefold() if isinstance(value, str) else F.col(name) == F.lit(value)
+        out = out.filter(column)
+    for names, text in contains:
+        out = out.filter(matches_any(names, text))
+    for id_col, names, value in identities:
+        out = out.filter(identity_is(id_col, names, value))
+    if tag is not None and tags is not None:
+        out = having(out, key, tags, identity_is("tag", ["slug", "name"], tag))
+    if q and q.strip():
+        hit = matches_any(columns, q)
+        for i, (table, names) in enumerate(related):
+            found = table.filter(matches_any(names, q)).select(key).distinct()
+            out = out.join(found.withColumn(f"__hit{i}", F.lit(True)), key, "left")
+            hit = hit | F.col(f"__hit{i}").isNotNull()
+        out = out.filter(hit).drop(*[f"__hit{i}" for i in range(len(related))])
+    return out
+
+
 def current_versions(versions: DataFrame, document: str, version: str, order: Sequence[str], flag: str) -> DataFrame:
     """(document, current_version, versions): replayed as one aggregate.
 

@@ -196,6 +196,52 @@ def h2(t: Tables):
     return ct.listing(rows.filter(rg.matches_any(["author"], "1")), "o_totalprice", "o_orderkey", offset=10, limit=50)
 
 
+def _source_rows(t: Tables) -> DataFrame:
+    rows = t.supplier.join(t.nation.withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
+    return rows.select("s_suppkey", "s_name", "s_nationkey", "n_name", "s_acctbal", (F.col("s_acctbal") > 0).alias("active"))
+
+
+@query("h1_source_search_by_alias", """
+SELECT s_suppkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey
+WHERE contains(lower(s_name), '#2 small ring') OR contains(lower(n_name), '#2 small ring') OR EXISTS (
+  SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey
+  WHERE l_suppkey = s_suppkey AND l_quantity = 50 AND contains(lower(p_brand || ' ' || p_name), '#2 small ring'))""")
+def h1_alias(t: Tables):
+    """Names of delivered parts serve as aliases of a source."""
+    delivered = t.lineitem.filter("l_quantity = 50").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    aliases = delivered.select(F.col("l_suppkey").alias("s_suppkey"), F.concat_ws(" ", "p_brand", "p_name").alias("alias"))
+    out = rg.search_registry(_source_rows(t), "s_suppkey", q=" #2 SMALL ring ", columns=["s_name", "n_name"], related=[(aliases, ["alias"])])
+    return out.select("s_suppkey", "s_name")
+
+
+@query("h1_source_search_by_tag", """
+SELECT s_suppkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0 AND EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE l_suppkey = s_suppkey AND l_quantity = 50 AND lower(p_type) = 'economy' AND p_size = 11)""")
+def h1_tag(t: Tables):
+    """Kinds of delivered parts serve as tags; only active sources."""
+    delivered = t.lineitem.filter("l_quantity = 50").join(t.part, F.col("p_partkey") == F.col("l_partkey")).filter("p_size = 11")
+    tags = delivered.select(F.col("l_suppkey").alias("s_suppkey"), F.col("p_size").alias("tag"), F.col("p_type").alias("slug"), F.col("p_brand").alias("name"))
+    out = rg.search_registry(_source_rows(t), "s_suppkey", equals={"active": True}, tag=" Economy ", tags=tags)
+    return out.select("s_suppkey", "s_name")
+
+
+@query("h2_document_search_by_identifier", """
+SELECT o_orderkey, c_name AS author FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE lower(o_orderstatus) = 'f' AND year(o_orderdate) = 1997 AND contains(lower(c_name), '1')
+  AND (contains(lower(o_orderpriority), 'brand#17') OR EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey
+    WHERE l_orderkey = o_orderkey AND (contains(lower(p_brand), 'brand#17') OR contains(lower(p_name), 'brand#17'))))""")
+def h2_identifier(t: Tables):
+    """Brand and name of the parts of an order serve as its identifiers."""
+    rows = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("author")), "o_custkey")
+    rows = rows.withColumn("publication_year", F.year("o_orderdate"))
+    parts = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    identifiers = parts.select(F.col("l_orderkey").alias("o_orderkey"), F.col("p_brand").alias("identifier_type"), F.col("p_name").alias("identifier_value"))
+    out = rg.search_registry(
+        rows, "o_orderkey", q="Brand#17", columns=["o_orderpriority"], related=[(identifiers, ["identifier_type", "identifier_value"])],
+        contains=[(["author"], "1")], equals={"o_orderstatus": "f", "publication_year": 1997})
+    return out.select("o_orderkey", "author")
+
+
 def versions(t: Tables) -> DataFrame:
     return t.orders.select(
         F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("version"), "o_orderdate",
