@@ -225,9 +225,12 @@ def listing(
     limit: int = 50,
     allowed: Sequence[str] | None = None,
     after: Sequence[object] | None = None,
+    tie_descending: bool | None = None,
 ) -> DataFrame:
     """One page of ``df`` plus the ``total`` before paging.
 
+    Ties run like the sort column unless ``tie_descending`` says otherwise.
+
     The page is a top-k (no full sort); the total is a second, pruned pass.
     ``after`` holds the sort value and ties of the last row of the page before:
     the next page then starts behind that row, by a filter that reaches the
@@ -240,24 +243,29 @@ def listing(
     if allowed is not None and sort_by not in allowed:
         raise ValueError(f"cannot sort by {sort_by}")
     names = [sort_by, *([tie] if isinstance(tie, str) else tie)]
-    keys = [F.desc_nulls_last(c) if descending else F.asc_nulls_last(c) for c in names]
+    falls = [descending] + [descending if tie_descending is None else tie_descending] * (len(names) - 1)
+    keys = [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in zip(names, falls)]
     total = df.agg(F.count(F.lit(1)).alias("total"))
-    rows = df if after is None else df.filter(behind(names, after, descending))
+    rows = df if after is None else df.filter(behind(names, after, falls))
     page = rows.orderBy(*keys).offset(offset).limit(limit)
     return page.withColumn("total", total.scalar())
 
 
-def behind(names: Sequence[str], last: Sequence[object], descending: bool = False) -> Column:
-    """Rows that come after the key ``last`` in the order of ``names``, nulls last."""
+def behind(names: Sequence[str], last: Sequence[object], descending: bool | Sequence[bool] = False) -> Column:
+    """Rows that come after the key ``last`` in the order of ``names``, nulls last.
+
+    ``descending`` holds for all columns or lists one direction for each.
+    """
     if len(names) != len(last):
         raise ValueError("need one value for each sort column")
+    falls = [descending] * len(names) if isinstance(descending, bool) else list(descending)
     out = F.lit(False)
-    for name, value in reversed(list(zip(names, last))):
+    for name, value, down in reversed(list(zip(names, last, falls))):
         column = F.col(name)
         if value is None:
             out = column.isNull() & out
             continue
-        beyond = column < F.lit(value) if descending else column > F.lit(value)
+        beyond = column < F.lit(value) if down else column > F.lit(value)
         out = beyond | column.isNull() | ((column == F.lit(value)) & out)
     return out
 

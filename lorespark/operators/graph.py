@@ -304,3 +304,96 @@ def resolve_aliases(phrases: DataFrame, aliases: DataFrame, key: str) -> DataFra
         F.min_by("concept", F.struct((~F.col("preferred")).alias("p"), "alias_id")).alias("concept")
     )
     return phrases.join(best, key, "left")
+
+
+def matching_claims(
+    claims: DataFrame,
+    concept: object = None,
+    claim_type: str | None = None,
+    status: str | None = None,
+    min_confidence: float | None = None,
+    q: str | None = None,
+) -> DataFrame:
+    """Claims (concept, claim_type, status, confidence, statement) by exact values,
+    a least confidence and a pattern in the statement (``%`` and ``_`` are wild)."""
+    out = claims
+    for name, value in (("concept", concept), ("claim_type", claim_type or None), ("status", status or None)):
+        if value is not None:
+            out = out.filter(F.col(name) == value)
+    if min_confidence is not None:
+        out = out.filter(F.col("confidence") >= min_confidence)
+    return out.filter(F.col("statement").ilike(f"%{q}%")) if q else out
+
+
+def matching_evidence(
+    evidence: DataFrame,
+    claim: object = None,
+    source: object = None,
+    evidence_type: str | None = None,
+    strength: float | None = None,
+) -> DataFrame:
+    """Evidence (claim, source, evidence_type, strength) by exact values."""
+    out = evidence
+    for name, value in (("claim", claim), ("source", source), ("evidence_type", evidence_type or None), ("strength", strength)):
+        if value is not None:
+            out = out.filter(F.col(name) == value)
+    return out
+
+
+def evidence_chain(
+    concepts: DataFrame, claims: DataFrame, evidence: DataFrame, sources: DataFrame
+) -> DataFrame:
+    """concept → claim → evidence → source, one row per piece of evidence.
+
+    Concepts have ``concept`` and any further columns, claims ``claim`` and
+    ``concept``, evidence ``claim`` and ``source``, sources ``source``.
+    Evidence without a known source stays, with nulls for its columns. Each
+    join is on the unique key of one side. Tables that are filtered before
+    shrink the chain from either end; evidence is reduced to its claims first.
+    """
+    chain = claims.join(concepts, "concept")
+    return evidence.join(chain, "claim").join(sources, "source", "left")
+
+
+def nested(
+    parents: DataFrame,
+    key: str,
+    children: dict[str, tuple[DataFrame, str, str, Sequence[str]]],
+    most: int = 10_000,
+) -> DataFrame:
+    """Parents with their children inside, in position order.
+
+    ``children`` maps a name to (table, parent column, position column, further
+    columns). Each name becomes an array of structs, with ``<name>_count`` and
+    ``<name>_repeated``, the positions that come more than once (ascending).
+    Equal positions are ordered by the further columns; without children the
+    arrays are empty. Deeper trees are built from the leaves up, as a table may
+    be the result of another call.
+
+    A parent with over ``most`` children keeps its count, and its arrays are
+    null: they would not fit a row, and ``outline`` lists them as rows. Such
+    children leave before anything is collected.
+    """
+    out = parents
+    for name, (table, parent, position, fields) in children.items():
+        rows = table.filter(F.col(parent).isNotNull())
+        count = rows.groupBy(parent).agg(F.count(F.lit(1)).alias("__n"))
+        crowded = count.filter(F.col("__n") > most).select(parent)
+        packed = rows.join(crowded, parent, "left_anti").groupBy(parent).agg(
+            F.array_sort(F.collect_list(F.struct(position, *fields))).alias("__c")
+        )
+        at = F.transform("__c", lambda x: x[position])
+        again = F.array_distinct(F.filter(at, lambda x, i: (i > 0) & x.eqNullSafe(F.get(at, i - 1))))
+        found = count.join(packed, parent, "left").select(
+            F.col(parent).alias("__k"), F.col("__n"), F.col("__c"), again.alias("__r")
+        )
+        joined = out.join(found, F.col(key) == F.col("__k"), "left")
+        kinds = found.schema
+        none = F.col("__n").isNull()
+        out = joined.select(
+            *out.columns,
+            F.when(none, F.array().cast(kinds["__c"].dataType)).otherwise(F.col("__c")).alias(name),
+            F.coalesce("__n", F.lit(0)).alias(f"{name}_count"),
+            F.when(none, F.array().cast(kinds["__r"].dataType)).otherwise(F.col("__r")).alias(f"{name}_repeated"),
+        )
+    return out

@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lorespark.functions import hashing
+from lorespark.operators.chunk_tables import listing
 from lorespark.sources.corpus import reasons
 
 
@@ -169,3 +171,134 @@ def determinism(first: DataFrame, second: DataFrame, identity: Sequence[str], di
     return first.join(again, list(identity)).select(
         *identity, (F.col(digest) == F.col("__again")).alias("same")
     )
+
+
+#: Parts that are folded in one array: a part of any size is a tree of this fan-out.
+FOLD = 1024
+
+
+def _fold(rows: DataFrame, keys: Sequence[str], position: str, digest: str) -> DataFrame:
+    """One digest per key over the digests of its rows in order of position.
+
+    Rows are folded in stretches of ``FOLD`` positions first, so that a key
+    with very many rows gathers one digest per stretch only.
+    """
+
+    def joined(at: str) -> Column:
+        ordered = F.array_sort(F.collect_list(F.struct(at, digest)))
+        return F.sha2(F.array_join(F.transform(ordered, lambda x: x[digest]), ""), 256).alias(digest)
+
+    stretches = rows.withColumn("__s", F.floor(F.col(position) / FOLD)).groupBy(*keys, "__s").agg(joined(position))
+    return stretches.groupBy(*keys).agg(joined("__s"))
+
+
+def hash_tree(
+    blocks: DataFrame, id_col: str, section: str, position: str, fields: Sequence[str]
+) -> dict[str, DataFrame]:
+    """Canonical hashes of a document's blocks, sections and whole: three tables.
+
+    A block is hashed as canonical JSON of its position and ``fields``; a
+    section over its blocks and a document over its sections, both in order.
+    Equal trees have equal documents. ``section`` and ``position`` are whole
+    numbers, and a position comes once in a section.
+    """
+    values = {name: F.col(name) for name in fields}
+    leaves = blocks.select(
+        id_col, section, position, hashing.sha256_json(position=F.col(position), **values).alias("sha256")
+    )
+    sections = _fold(leaves, [id_col, section], position, "sha256")
+    return {"block": leaves, "section": sections, "document": _fold(sections, [id_col], section, "sha256")}
+
+
+def changed_parts(
+    stored: dict[str, DataFrame], again: dict[str, DataFrame], id_col: str, section: str, position: str
+) -> DataFrame:
+    """(id, level, section, position, finding): where two hash trees part.
+
+    Findings are ``changed``, ``missing`` (only stored) and ``added`` (only
+    recomputed). Sections are compared in changed documents only, and blocks
+    in changed sections only; what is missing or added as a whole is one row.
+    """
+    keys = [id_col, section, position]
+    parent: DataFrame | None = None
+    out: DataFrame | None = None
+    for depth, level in enumerate(("document", "section", "block"), 1):
+        old, new = stored[level], again[level]
+        if parent is not None:
+            old, new = (x.join(parent, keys[: depth - 1], "left_semi") for x in (old, new))
+        both = old.withColumnRenamed("sha256", "__old").join(
+            new.withColumnRenamed("sha256", "__new"), keys[:depth], "full_outer"
+        )
+        finding = F.when(F.col("__new").isNull(), "missing").when(F.col("__old").isNull(), "added").otherwise("changed")
+        found = both.filter(~F.col("__old").eqNullSafe(F.col("__new"))).withColumn("finding", finding)
+        parent = found.filter("finding = 'changed'").select(*keys[:depth])
+        rows = found.select(
+            id_col, F.lit(level).alias("level"),
+            *[(F.col(k) if i < depth else F.lit(None)).cast("bigint").alias(k) for i, k in enumerate(keys[1:], 1)],
+            "finding",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def completed_runs(runs: DataFrame, outputs: DataFrame, key: str) -> DataFrame:
+    """(key, reasons, accepted): may a parse run be completed with this output?
+
+    runs: key, status, parser_name, parser_version, content_hash (null until
+    it succeeds); outputs: key, parser_name, parser_version, content_hash as
+    recomputed. A run that has succeeded is never changed: its output must
+    have the stored hash again. Whatever cannot be shown is refused, so a run
+    without output is, too.
+    """
+    new = outputs.select(
+        key, F.col("parser_name").alias("__name"), F.col("parser_version").alias("__version"),
+        F.col("content_hash").alias("__hash"),
+    )
+    done = F.col("status") == "succeeded"
+    same_parser = F.col("parser_name").eqNullSafe(F.col("__name")) & F.col("parser_version").eqNullSafe(F.col("__version"))
+    why = reasons(
+        (~F.coalesce(F.col("status").isin("parsing", "succeeded"), F.lit(False)), "run is not being parsed"),
+        (F.col("__hash").isNull(), "no output"),
+        (F.col("__hash").isNotNull() & ~same_parser, "output of another parser"),
+        (F.coalesce(done, F.lit(False)) & F.col("__hash").isNotNull() & ~F.col("content_hash").eqNullSafe(F.col("__hash")),
+         "output differs from the stored result"),
+    )
+    return runs.join(new, key, "left").select(key, why.alias("reasons")).withColumn("accepted", F.size("reasons") == 0)
+
+
+def run_listing(
+    runs: DataFrame,
+    tie: str,
+    created: str = "created_at",
+    equals: dict[str, object] | None = None,
+    hashes: dict[str, str] | None = None,
+    status: str | None = None,
+    created_from: object = None,
+    created_to: object = None,
+    sort_by: str | None = None,
+    sortable: Sequence[str] | None = None,
+    **page,
+) -> DataFrame:
+    """One page of runs (parse results, chunk sets, import batches), newest first.
+
+    ``equals`` are exact values (texts trimmed), ``hashes`` SHA-256 values in
+    any case, ``status`` is compared without case, and both ends of the time
+    range belong to it. ``page`` goes to ``listing``. A hash that is none
+    raises ValueError, as does a sort column outside ``sortable``.
+    """
+    out = runs
+    for name, value in (equals or {}).items():
+        out = out.filter(F.col(name) == (value.strip() if isinstance(value, str) else value))
+    for name, value in (hashes or {}).items():
+        digest = value.strip().lower()
+        if len(digest) != 64 or set(digest) - set("0123456789abcdef"):
+            raise ValueError(f"{name} needs a SHA-256 value")
+        out = out.filter(F.col(name) == digest)
+    if status is not None:
+        out = out.filter(F.lower("status") == status.strip().casefold())
+    if created_from is not None:
+        out = out.filter(F.col(created) >= F.lit(created_from))
+    if created_to is not None:
+        out = out.filter(F.col(created) <= F.lit(created_to))
+    page.setdefault("descending", True)
+    return listing(out, sort_by or created, tie, allowed=sortable, **page)

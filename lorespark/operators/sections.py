@@ -197,23 +197,36 @@ def with_offsets(blocks: DataFrame, id_col: str, text: str = "text") -> DataFram
 
 
 def document_statistics(
-    docs: DataFrame, id_col: str, text: str, children: dict[str, DataFrame]
+    docs: DataFrame, id_col: str, text: str, children: dict[str, DataFrame],
+    pages: str | None = None, stored: DataFrame | None = None,
 ) -> DataFrame:
-    """Per document: word and char counts, child counts, and ``valid``.
-
-    ``children`` maps count names (``paragraph_count``, …) to tables keyed by
-    the document id; each is pre-aggregated before the join.
+    """Per document: page, word, char and child counts, and ``valid``.
+
+    ``children`` maps count names (``section_count``, ``paragraph_count``,
+    ``table_count``, ``image_count``, ``reference_count``) to tables keyed by
+    the document id; each is pre-aggregated before the join. ``pages`` names
+    the column with the number of pages. A document is valid if it has a page,
+    a text and a paragraph, as far as these are given, and its counts equal
+    those of ``stored`` where that table is given (no stored row: not valid).
     """
     out = docs.select(
         id_col,
         tx.word_count(F.col(text)).alias("word_count"),
         F.length(text).cast("bigint").alias("character_count"),
         (tx.strip(F.col(text)) != "").alias("__text"),
+        *([F.col(pages).cast("bigint").alias("page_count")] if pages else []),
     )
     for name, child in children.items():
         counts = child.groupBy(id_col).agg(F.count(F.lit(1)).alias(name))
         out = out.join(counts, id_col, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     valid = F.col("__text")
-    if "paragraph_count" in children:
-        valid = valid & (F.col("paragraph_count") > 0)
-    return out.withColumn("valid", valid).drop("__text")
+    for name in ("page_count", "paragraph_count"):
+        if name in out.columns:
+            valid = valid & (F.coalesce(name, F.lit(0)) > 0)
+    if stored is not None:
+        counted = [c for c in out.columns if c not in (id_col, "__text")]
+        kept = stored.select(id_col, F.struct(*counted).alias("__stored"))
+        out = out.join(kept, id_col, "left")
+        for name in counted:
+            valid = valid & F.col(name).eqNullSafe(F.col(f"__stored.{name}"))
+    return out.withColumn("valid", valid).drop("__text", "__stored")

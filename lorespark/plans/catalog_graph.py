@@ -72,14 +72,47 @@ SELECT p_name AS concept, l_orderkey AS claim, l_extendedprice AS strength, s_na
 FROM lineitem JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey AND l_returnflag <> 'R'
 WHERE l_discount >= 0.05 AND l_quantity > 40 AND contains(lower(p_name), 'blue')""")
 def g4(t: Tables):
-    evidence = t.lineitem.filter("l_discount >= 0.05 AND l_quantity > 40").select(
-        F.col("l_partkey").alias("p_partkey"), F.col("l_orderkey").alias("claim"),
-        F.col("l_extendedprice").alias("strength"),
-        F.when(F.col("l_returnflag") != "R", F.col("l_suppkey")).alias("s_suppkey"))
-    concepts = t.part.filter(F.contains(F.lower("p_name"), F.lit("blue"))).select("p_partkey", F.col("p_name").alias("concept"))
-    sources = t.supplier.select("s_suppkey", F.col("s_name").alias("source"))
-    return evidence.join(concepts, "p_partkey").join(sources, "s_suppkey", "left").select(
-        "concept", "claim", "strength", "source")
+    concepts = t.part.filter(F.contains(F.lower("p_name"), F.lit("blue"))).select(
+        F.col("p_partkey").alias("concept"), F.col("p_name").alias("title"))
+    # each line is one claim on its part with one piece of evidence
+    line = F.struct("l_orderkey", "l_linenumber", F.monotonically_increasing_id().alias("row"))
+    lines = t.lineitem.filter("l_discount >= 0.05 AND l_quantity > 40").select(
+        line.alias("claim"), F.col("l_partkey").alias("concept"), F.col("l_extendedprice").alias("strength"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_suppkey")).alias("source"))
+    sources = t.supplier.select(F.col("s_suppkey").alias("source"), F.col("s_name").alias("name"))
+    chain = gr.evidence_chain(concepts, lines.select("claim", "concept"), lines.select("claim", "source", "strength"), sources)
+    return chain.select(F.col("title").alias("concept"), F.col("claim.l_orderkey").alias("claim"), "strength", F.col("name").alias("source"))
+
+
+@query("g4_claims", """
+SELECT o_orderkey AS claim, o_custkey AS concept FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE o_orderstatus = 'F' AND o_totalprice >= 150000 AND o_orderpriority = '2-HIGH'
+  AND c_name || ': ' || o_orderpriority ILIKE '%customer_0%high%'""")
+def g4_claims(t: Tables):
+    """Orders read as claims on their customer."""
+    named = t.orders.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    claims = named.select(
+        F.col("o_orderkey").alias("claim"), F.col("o_custkey").alias("concept"), F.col("o_orderpriority").alias("claim_type"),
+        F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("confidence"),
+        F.concat("c_name", F.lit(": "), "o_orderpriority").alias("statement"))
+    out = gr.matching_claims(claims, claim_type="2-HIGH", status="F", min_confidence=150000.0, q="customer_0%high")
+    return out.select("claim", "concept")
+
+
+@query("g4_evidence", """
+SELECT l_orderkey AS claim, l_suppkey AS source, l_returnflag AS evidence_type, l_discount AS strength, o_orderstatus, s_name
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0
+WHERE l_returnflag = 'A' AND l_discount = 0.05""")
+def g4_evidence(t: Tables):
+    """Evidence by type and strength; sources without credit are unknown but keep their evidence."""
+    evidence = t.lineitem.select(
+        F.col("l_orderkey").alias("claim"), F.col("l_suppkey").alias("source"),
+        F.col("l_returnflag").alias("evidence_type"), F.col("l_discount").alias("strength"))
+    claims = t.orders.select(F.col("o_orderkey").alias("claim"), F.col("o_orderstatus").alias("concept"))
+    concepts = claims.select("concept").distinct().withColumn("o_orderstatus", F.col("concept"))
+    sources = t.supplier.filter("s_acctbal > 0").select(F.col("s_suppkey").alias("source"), "s_name")
+    chain = gr.evidence_chain(concepts, claims, gr.matching_evidence(evidence, evidence_type="A", strength=0.05), sources)
+    return chain.select("claim", "source", "evidence_type", "strength", "o_orderstatus", "s_name")
 
 
 @query("g5_conflict_pairs", """
@@ -313,3 +346,37 @@ def k0(t: Tables):
         people.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
     out = qa.redacted(rows, F.col("c_mktsegment"), ["BUILDING", "MACHINERY"], ["o_totalprice"])
     return out.select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("g9_nested_articles", """
+WITH sc AS (SELECT l_orderkey, to_json(list({'l_linenumber': l_linenumber, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey}
+    ORDER BY l_linenumber, l_partkey, l_suppkey))::VARCHAR AS sections, count(*) AS n FROM lineitem GROUP BY ALL),
+sr AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS again FROM
+    (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL),
+fq AS (SELECT l_orderkey, to_json(list({'l_linenumber': l_linenumber, 'l_returnflag': l_returnflag, 'l_partkey': l_partkey}
+    ORDER BY l_linenumber, l_returnflag, l_partkey))::VARCHAR AS faqs FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)
+SELECT o_orderkey, o_orderpriority, coalesce(sections, '[]') AS sections, coalesce(n, 0)::BIGINT AS sections_count,
+  coalesce(array_to_string(again, ','), '') AS sections_repeated, coalesce(faqs, '[]') AS faqs
+FROM orders LEFT JOIN sc ON sc.l_orderkey = o_orderkey LEFT JOIN sr ON sr.l_orderkey = o_orderkey LEFT JOIN fq ON fq.l_orderkey = o_orderkey""")
+def g9_articles(t: Tables):
+    """Orders as articles: their lines are sections, returned and accepted lines also questions."""
+    out = gr.nested(t.orders.select("o_orderkey", "o_orderpriority"), "o_orderkey", {
+        "sections": (t.lineitem, "l_orderkey", "l_linenumber", ["l_partkey", "l_suppkey"]),
+        "faqs": (t.lineitem.filter("l_returnflag <> 'N'"), "l_orderkey", "l_linenumber", ["l_returnflag", "l_partkey"])})
+    return out.select("o_orderkey", "o_orderpriority", F.to_json("sections").alias("sections"), "sections_count",
+                      F.array_join("sections_repeated", ",").alias("sections_repeated"), F.to_json("faqs").alias("faqs"))
+
+
+@query("g9_nested_courses", """
+WITH le AS (SELECT l_orderkey, list({'l_linenumber': l_linenumber, 'l_partkey': l_partkey} ORDER BY l_linenumber, l_partkey) AS lessons
+  FROM lineitem GROUP BY ALL),
+mo AS (SELECT o_custkey, to_json(list({'o_orderkey': o_orderkey, 'o_orderpriority': o_orderpriority, 'lessons': coalesce(lessons, [])}
+    ORDER BY o_orderkey))::VARCHAR AS modules, count(*) AS n FROM orders LEFT JOIN le ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT c_custkey, c_name, coalesce(modules, '[]') AS modules, coalesce(n, 0)::BIGINT AS modules_count FROM customer LEFT JOIN mo ON o_custkey = c_custkey""")
+def g9_courses(t: Tables):
+    """Customers as courses, their orders as modules, the lines of these as lessons."""
+    modules = gr.nested(t.orders.select("o_custkey", "o_orderkey", "o_orderpriority"), "o_orderkey",
+                        {"lessons": (t.lineitem, "l_orderkey", "l_linenumber", ["l_partkey"])})
+    out = gr.nested(t.customer.select("c_custkey", "c_name"), "c_custkey",
+                    {"modules": (modules, "o_custkey", "o_orderkey", ["o_orderpriority", "lessons"])})
+    return out.select("c_custkey", "c_name", F.to_json("modules").alias("modules"), "modules_count")

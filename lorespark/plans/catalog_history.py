@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from datetime import datetime
+
 from pyspark.sql import DataFrame, functions as F
 
 from lorespark.functions import hashing, rules
@@ -9,6 +12,7 @@ from lorespark.operators import chunk_tables as ct
 from lorespark.operators import history as hi
 from lorespark.operators import registry as rg
 from lorespark.plans import views as v
+from lorespark.plans.catalog_sections import SQL_PARAGRAPHS, paragraphs
 from lorespark.plans.registry import Tables, query
 from lorespark.sources import corpus
 
@@ -350,3 +354,106 @@ def h9(t: Tables):
     out = ct.listing(runs.select("run_id", "parent", "status", "completed_at"), "completed_at", "run_id",
                      descending=True, offset=100, limit=200)
     return out.withColumn("completed_at", _text("completed_at"))
+
+
+#: the second parser version spells a word otherwise and leaves out single signs
+_SQL_TREES = f"""
+{SQL_PARAGRAPHS},
+runs2 AS MATERIALIZED (SELECT 'old' AS run, doc_id, section, paragraph, text FROM paragraphs
+  UNION ALL SELECT 'new', doc_id, section, paragraph, replace(text, 'license', 'licence') FROM paragraphs WHERE length(text) > 3),
+bl AS (SELECT run, doc_id, section, paragraph, sha256('{{"position":' || paragraph || ',"text":' || to_json(text)::VARCHAR || '}}') AS h FROM runs2),
+s1 AS (SELECT run, doc_id, section, paragraph // 1024 AS st, sha256(string_agg(h, '' ORDER BY paragraph)) AS h FROM bl GROUP BY ALL),
+se AS (SELECT run, doc_id, section, sha256(string_agg(h, '' ORDER BY st)) AS h FROM s1 GROUP BY ALL),
+d1 AS (SELECT run, doc_id, section // 1024 AS st, sha256(string_agg(h, '' ORDER BY section)) AS h FROM se GROUP BY ALL),
+dc AS (SELECT run, doc_id, sha256(string_agg(h, '' ORDER BY st)) AS h FROM d1 GROUP BY ALL)"""
+
+
+def _trees(t: Tables) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    rows = paragraphs(t).select("doc_id", "section", "paragraph", "text")
+    again = rows.filter(F.length("text") > 3).withColumn("text", F.replace("text", F.lit("license"), F.lit("licence")))
+    return tuple(rg.hash_tree(x, "doc_id", "section", "paragraph", ["text"]) for x in (rows, again))
+
+
+def _sql_parts(table: str, keys: str, level: str, columns: str, inside: str) -> str:
+    return f"""SELECT doc_id, '{level}' AS level, {columns}, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'added' ELSE 'changed' END AS finding
+FROM (SELECT * FROM {table} WHERE run = 'old') a FULL JOIN (SELECT * FROM {table} WHERE run = 'new') b USING ({keys})
+WHERE a.h IS DISTINCT FROM b.h {inside}"""
+
+
+_IN_BOTH = "SELECT DISTINCT {k} FROM {t} WHERE run = 'old' INTERSECT SELECT {k} FROM {t} WHERE run = 'new'"
+
+
+@query("h8_changed_parts", f"""
+WITH {_SQL_TREES}
+{_sql_parts('dc', 'doc_id', 'document', 'NULL::BIGINT AS section, NULL::BIGINT AS paragraph', '')}
+UNION ALL {_sql_parts('se', 'doc_id, section', 'section', 'section::BIGINT, NULL::BIGINT',
+                      "AND doc_id IN (" + _IN_BOTH.format(k='doc_id', t='dc') + ")")}
+UNION ALL {_sql_parts('bl', 'doc_id, section, paragraph', 'block', 'section::BIGINT, paragraph::BIGINT',
+                      "AND (doc_id, section) IN (" + _IN_BOTH.format(k='(doc_id, section)', t='se') + ")")}""")
+def h8_parts(t: Tables):
+    old, new = _trees(t)
+    return rg.changed_parts(old, new, "doc_id", "section", "paragraph")
+
+
+@query("h8_completed_runs", f"""
+WITH {_SQL_TREES},
+r AS (SELECT d.doc_id, CASE lang WHEN 'en' THEN 'succeeded' WHEN 'fr' THEN 'parsing' WHEN 'de' THEN 'succeeded' ELSE 'failed' END AS status,
+    CASE WHEN lang = 'de' THEN '1' ELSE '2' END AS version, o.h AS old, n.h AS new FROM documents d
+  LEFT JOIN (SELECT * FROM dc WHERE run = 'old') o ON o.doc_id = d.doc_id LEFT JOIN (SELECT * FROM dc WHERE run = 'new') n ON n.doc_id = d.doc_id)
+SELECT doc_id, array_to_string(list_filter([
+    CASE WHEN status = 'failed' THEN 'run is not being parsed' END, CASE WHEN new IS NULL THEN 'no output' END,
+    CASE WHEN new IS NOT NULL AND version <> '2' THEN 'output of another parser' END,
+    CASE WHEN status = 'succeeded' AND new IS NOT NULL AND old IS DISTINCT FROM new THEN 'output differs from the stored result' END],
+  lambda x: x IS NOT NULL), '; ') AS reasons,
+  status <> 'failed' AND new IS NOT NULL AND version = '2' AND (status <> 'succeeded' OR old IS NOT DISTINCT FROM new) AS accepted FROM r""")
+def h8_runs(t: Tables):
+    old, new = _trees(t)
+    status = F.when(F.col("lang").isin("en", "de"), "succeeded").when(F.col("lang") == "fr", "parsing").otherwise("failed")
+    version = F.when(F.col("lang") == "de", "1").otherwise("2")
+    runs = t.documents.select("doc_id", status.alias("status"), F.lit("text").alias("parser_name"), version.alias("parser_version"))
+    runs = runs.join(old["document"].withColumnRenamed("sha256", "content_hash"), "doc_id", "left")
+    outputs = new["document"].select("doc_id", F.lit("text").alias("parser_name"), F.lit("2").alias("parser_version"),
+                                     F.col("sha256").alias("content_hash"))
+    out = rg.completed_runs(runs, outputs, "doc_id")
+    return out.select("doc_id", F.array_join("reasons", "; ").alias("reasons"), "accepted")
+
+
+@query("h9_parse_results", f"""
+WITH {SQL_RUNS}, f AS (SELECT run_id, parent, content_hash, {_sql_text('completed_at')} AS completed_at FROM runs WHERE status = 'succeeded'
+  AND content_hash = sha256('{{"k": 39}}') AND completed_at >= TIMESTAMP '2024-01-03')
+SELECT *, (SELECT count(*) FROM f)::BIGINT AS total FROM f ORDER BY completed_at DESC, run_id DESC LIMIT 200""")
+def h9_results(t: Tables):
+    """Successful results with one output hash, given in capitals."""
+    digest = "\t" + hashlib.sha256(b'{"k": 39}').hexdigest().upper() + " "
+    out = rg.run_listing(
+        parse_runs(t).select("run_id", "parent", "content_hash", "completed_at", "status"), "run_id", created="completed_at",
+        hashes={"content_hash": digest}, status=" Succeeded", created_from=datetime(2024, 1, 3),
+        sortable=("completed_at", "run_id", "status"), limit=200)
+    return out.withColumn("completed_at", _text("completed_at")).drop("status")
+
+
+@query("h9_chunk_sets", f"""
+WITH f AS (SELECT o_orderkey, o_custkey, sha256(o_orderpriority) AS configuration_hash, o_orderstatus AS status, {_sql_text('o_orderdate')} AS created_at
+  FROM orders WHERE sha256(o_orderpriority) = sha256('2-HIGH') AND o_orderstatus = 'F'
+  AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-06-30')
+SELECT *, (SELECT count(*) FROM f)::BIGINT AS total FROM f ORDER BY o_custkey, o_orderkey LIMIT 200 OFFSET 20""")
+def h9_sets(t: Tables):
+    """Orders read as chunk sets of their customers; the priority is the configuration."""
+    sets = t.orders.select("o_orderkey", "o_custkey", F.sha2("o_orderpriority", 256).alias("configuration_hash"),
+                           F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    out = rg.run_listing(
+        sets, "o_orderkey", equals={"status": "F "}, hashes={"configuration_hash": hashlib.sha256(b"2-HIGH").hexdigest()},
+        created_from=datetime(1995, 1, 1), created_to=datetime(1998, 6, 30), sort_by="o_custkey",
+        sortable=("created_at", "o_custkey"), descending=False, offset=20, limit=200)
+    return out.withColumn("created_at", _text("created_at"))
+
+
+@query("h9_import_batches", f"""
+WITH f AS (SELECT o_orderkey, o_orderstatus AS status, o_orderdate FROM orders WHERE lower(o_orderstatus) = 'o')
+SELECT o_orderkey, status, {_sql_text('o_orderdate')} AS created_at, (SELECT count(*) FROM f)::BIGINT AS total
+FROM f ORDER BY o_orderdate DESC, o_orderkey LIMIT 200""")
+def h9_batches(t: Tables):
+    """Newest batches first, equal times by ascending id."""
+    batches = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    out = rg.run_listing(batches, "o_orderkey", status="o", tie_descending=False, limit=200)
+    return out.withColumn("created_at", _text("created_at"))

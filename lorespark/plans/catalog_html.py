@@ -171,3 +171,39 @@ SELECT page_id, pos::BIGINT AS pos, s::BIGINT AS char_start, (s + n)::BIGINT AS
 def c13h(t: Tables):
     out = sections.with_offsets(page_blocks(t), "page_id")
     return out.select("page_id", *[F.col(c).cast("bigint").alias(c) for c in ("pos", "char_start", "char_end")])
+
+
+def _more_markup(html_col: str = "html") -> F.Column:
+    """Navigation lists as tables, and an image behind every link."""
+    markup = F.col(html_col)
+    for old, new in _AS_TABLE:
+        markup = F.replace(markup, F.lit(old), F.lit(new))
+    return F.regexp_replace(markup, r'(<a href="([^"]*)">([^<]*)</a>)', '$1<img src="$2" alt="$3">')
+
+
+@query("c14_page_statistics", rf"""
+WITH {SQL_HTML_BLOCKS},
+bt AS (SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS content, count(*) FILTER (block_type = 'heading') AS s,
+  count(*) FILTER (block_type <> 'heading') AS p FROM hblocks GROUP BY page_id),
+ac AS (SELECT page_id, count(*) AS a FROM tk WHERE name = 'a' AND opens GROUP BY page_id),
+xp AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>', '', 'g') AS h FROM pages),
+c AS (SELECT q.page_id, coalesce(content, '') AS content, 1 AS page_count, coalesce(s, 0) AS section_count, coalesce(p, 0) AS paragraph_count,
+  len(regexp_extract_all(h, '<nav>')) AS table_count, len(regexp_extract_all(h, '<a href="[^"]*">[^<]*</a>')) AS image_count,
+  coalesce(a, 0) AS reference_count FROM pages q JOIN xp ON xp.page_id = q.page_id
+  LEFT JOIN bt ON bt.page_id = q.page_id LEFT JOIN ac ON ac.page_id = q.page_id)
+SELECT page_id, page_count::BIGINT AS page_count, section_count::BIGINT AS section_count, paragraph_count::BIGINT AS paragraph_count,
+  table_count::BIGINT AS table_count, image_count::BIGINT AS image_count, reference_count::BIGINT AS reference_count,
+  {v.sql_words('content')}::BIGINT AS word_count, length(content)::BIGINT AS character_count,
+  {v.sql_strip('content')} <> '' AND paragraph_count > 0 AS valid FROM c""")
+def c14_pages(t: Tables):
+    """All counts of a page; its content is that of its blocks."""
+    found = page_blocks(t)
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
+    content = found.groupBy("page_id").agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n\n").alias("content"))
+    docs = t.pages.select("page_id", F.lit(1).alias("pages")).join(content, "page_id", "left").withColumn(
+        "content", F.coalesce("content", F.lit("")))
+    rich = t.pages.select("page_id", _more_markup().alias("html"))
+    return sections.document_statistics(docs, "page_id", "content", {
+        "section_count": found.filter("block_type = 'heading'"), "paragraph_count": found.filter("block_type <> 'heading'"),
+        "table_count": html.tables(rich, "page_id", "html"), "image_count": html.images(rich, "page_id", "html"),
+        "reference_count": html.links(t.pages, "page_id", "html")}, pages="pages")
