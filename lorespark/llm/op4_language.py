@@ -1,8 +1,8 @@
 """Language ID by n-gram filters over language bitmasks.
 
 All languages share one bit-sliced Bloom filter: every slot holds a mask with
-one bit for each language, and the AND of an n-gram's slots gives all the
-languages that contain it. A text's language is the one whose bit is set most
+one bit for each language, in as many words of 64 bits as there are languages for,
+and the AND of an n-gram's slots gives all the languages that contain it. A text's language is the one whose bit is set most
 often among its n-grams, after the expected false positives are taken off.
 """
 
@@ -25,7 +25,7 @@ GRAM = 4
 SHARE = 2e-5
 #: Least share in a language against the language where the n-gram is most frequent.
 RATIO = 0.2
-#: Slots of the filter, hashes of an n-gram, and bits of a mask.
+#: Slots of the filter, hashes of an n-gram, and bits of a word of the mask.
 SLOTS, HASHES, MASK = 1 << 21, 3, 64
 
 _letters: list[np.ndarray] = []
@@ -73,7 +73,10 @@ def slots_of(keys: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Filters:
-    """Languages in code point order, the slots' masks and false positive rates."""
+    """Languages in code point order, their false positive rates, and the masks.
+
+    ``masks`` has one row of ``SLOTS`` words for every ``MASK`` languages.
+    """
 
     languages: list[str]
     masks: np.ndarray
@@ -83,24 +86,40 @@ class Filters:
         """Corrected share of each text's n-grams in each language."""
         keys, row = grams_of(texts)
         slots = slots_of(keys)
-        mask = self.masks[slots[0]]
-        for s in slots[1:]:
-            mask &= self.masks[s]
         total = np.maximum(1, np.bincount(row, minlength=len(texts)))
         out = np.zeros((len(texts), len(self.languages)))
-        for i in range(len(self.languages)):
-            hits = np.bincount(row, (mask >> np.uint64(i)) & np.uint64(1), len(texts)) / total
-            out[:, i] = (hits - self.wrong[i]) / (1 - self.wrong[i])
+        for first, words in zip(range(0, len(self.languages), MASK), self.masks):
+            mask = words[slots[0]]
+            for s in slots[1:]:
+                mask &= words[s]
+            for i in range(first, min(first + MASK, len(self.languages))):
+                hits = np.bincount(row, (mask >> np.uint64(i - first)) & np.uint64(1), len(texts)) / total
+                out[:, i] = (hits - self.wrong[i]) / (1 - self.wrong[i])
         return np.clip(out, 0, 1)
 
 
+def filters_of(languages: list[str], masks: np.ndarray) -> Filters:
+    """Filters with the false positive rates that follow from their filled bits."""
+    filled = [np.count_nonzero(masks[i // MASK] & np.uint64(1 << i % MASK)) / SLOTS for i in range(len(languages))]
+    return Filters(languages, masks, np.minimum(0.999, np.array(filled) ** HASHES))
+
+
 def build(languages: list[str], keys: np.ndarray, members: np.ndarray) -> Filters:
-    """Filters from n-gram keys and the mask of the languages that have them."""
-    masks = np.zeros(SLOTS, np.uint64)
+    """Filters of at most ``MASK`` languages from n-gram keys and the mask of each."""
+    masks = np.zeros((1, SLOTS), np.uint64)
     for slots in slots_of(keys):
-        np.bitwise_or.at(masks, slots, members)
-    filled = np.array([np.count_nonzero(masks & np.uint64(1 << i)) / SLOTS for i in range(len(languages))])
-    return Filters(languages, masks, np.minimum(0.999, filled**HASHES))
+        np.bitwise_or.at(masks[0], slots, members)
+    return filters_of(languages, masks)
+
+
+def _slot_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, word, bits) of every hash of (gram, word, bits)."""
+    for batch in batches:
+        keys = batch.column("gram").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        for slots in slots_of(keys):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots.astype(np.int32)), batch.column("word"), batch.column("bits")], names=["slot", "word", "bits"]
+            )
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,27 +160,34 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def learn(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text") -> Filters:
-    """Count the n-grams of all training rows and fill the filters. Runs a job.
+    """Count the n-grams of all training rows and fill the filters. Runs jobs.
 
-    What reaches the driver is bounded: n-grams of at least ``SHARE`` of a
-    language's, for at most ``MASK`` languages.
+    Any number of languages is taken. The tasks OR the bits of each slot, so
+    the driver gets the masks alone: 16 MB for every 64 languages.
     """
     rows = docs.filter(train & named(docs, lang).isNotNull()).select(named(docs, lang).alias("lang"), text_of(docs, text).alias("_t"))
     counts = rows.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stage(counts, "gram_counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    languages = sorted(r["lang"] for r in totals.select("lang").limit(MASK + 1).collect())
-    if len(languages) > MASK:
-        raise ValueError(f"more than {MASK} languages: widen the mask")
-    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("p"))
-    best = shares.groupBy("gram").agg(F.max("p").alias("most"), F.collect_list(F.struct("lang", "p")).alias("langs"))
-    kept = best.filter(F.col("most") >= SHARE).select(
-        "gram",
-        F.transform(F.filter("langs", lambda x: (x["p"] >= SHARE) & (x["p"] >= RATIO * F.col("most"))), lambda x: x["lang"]).alias("langs"),
-    ).orderBy("gram").collect()
-    bit = {x: 1 << i for i, x in enumerate(languages)}
-    members = np.array([sum(bit[x] for x in r["langs"]) for r in kept], np.uint64)
-    return build(languages, np.array([r["gram"] for r in kept], np.int64).view(np.uint64), members)
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()
+    totals.sort(key=lambda r: r["lang"])
+    languages = [r["lang"] for r in totals]
+    masks = np.zeros((-(-len(languages) // MASK), SLOTS), np.uint64)
+    if not languages:
+        return filters_of(languages, masks)
+    places = counts.sparkSession.createDataFrame(
+        [(r["lang"], i // MASK, i % MASK, r["total"]) for i, r in enumerate(totals)], "lang string, word int, bit int, total long"
+    )
+    shares = counts.join(F.broadcast(places), "lang").select(
+        "gram", "word", F.expr("shiftleft(1L, bit)").alias("bits"), (F.col("n") / F.col("total")).alias("p")
+    ).filter(F.col("p") >= SHARE)
+    best = shares.groupBy("gram").agg(F.max("p").alias("most"), F.collect_list(F.struct("word", "bits", "p")).alias("langs"))
+    own = best.select("gram", F.explode(F.filter("langs", lambda x: x["p"] >= RATIO * F.col("most"))).alias("x"))
+    members = own.groupBy("gram", "x.word").agg(F.bit_or("x.bits").alias("bits"))
+    slots = members.mapInArrow(_slot_batches, "slot int, word int, bits long").groupBy("slot", "word").agg(F.bit_or("bits").alias("bits"))
+    found = slots.toArrow()
+    word, slot, bits = (found.column(c).to_numpy() for c in ("word", "slot", "bits"))
+    masks[word, slot] = bits.astype(np.int64).view(np.uint64)
+    return filters_of(languages, masks)
 
 
 def _predict_batches(shared):

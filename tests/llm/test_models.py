@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm import op9_quality
+from lorespark.llm import op4_language, op9_quality
 from lorespark.llm.common import held_out
 from lorespark.llm.op2_toxicity import toxicity
 from lorespark.llm.op4_language import build, grams_of, language, slots_of
@@ -24,7 +24,7 @@ def test_mask_of_an_ngram_has_all_its_languages():
     keys = np.unique(grams_of(["some words", "mots divers"])[0])
     members = np.array([1 + i % 3 for i in range(len(keys))], np.uint64)
     filters = build(["a", "b"], keys, members)
-    found = np.bitwise_and.reduce([filters.masks[s] for s in slots_of(keys)])
+    found = np.bitwise_and.reduce([filters.masks[0][s] for s in slots_of(keys)])
     assert ((found & members) == members).all()
 
 
@@ -39,6 +39,33 @@ def test_language_of_odd_texts(edge_docs, no_docs, spark):
     assert {r.lang_pred for r in language(edge_docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    """Filters give what exact sets of n-grams give, for 200 languages."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [["".join(rng.choices(letters, k=6)) for _ in range(12)] for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words[i % 200], k=30)), f"l{i % 200:03}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts: dict[str, Counter] = {}
+    for i, text, lang in rows:
+        if not held(i):
+            counts.setdefault(lang, Counter()).update(grams_of([text])[0].tolist())
+    share = {x: {g: n / c.total() for g, n in c.items() if n / c.total() >= op4_language.SHARE} for x, c in counts.items()}
+    most: dict[int, float] = {}
+    for own in share.values():
+        for g, p in own.items():
+            most[g] = max(p, most.get(g, 0))
+    sets = {x: {g for g, p in own.items() if p >= op4_language.RATIO * most[g]} for x, own in share.items()}
+    got = {r.id: r for r in language(docs, ~held_out("doc_id", 4, 2)).collect()}
+    assert len(got) == 600 and len(sets) > 150
+    for i, text, _ in rows:
+        grams = grams_of([text])[0].tolist()
+        exact = {x: sum(g in own for g in grams) / len(grams) for x, own in sets.items()}
+        assert got[i].lang_pred == min(exact, key=lambda x: (-exact[x], x))
+        assert abs(got[i].score - max(exact.values())) < 0.01
+
+
 def test_language_on_held_out_rows(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = language(docs, ~held_out("doc_id", 4, 2)).join(docs.withColumnRenamed("doc_id", "id"), "id")
