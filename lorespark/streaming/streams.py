@@ -25,12 +25,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType,
                 files_per_trigger: int = 1000) -> DataFrame:
-    """New parquet files of one table as a stream."""
+    """New parquet files of one table as a stream; a table may be a file, files or a folder of parts."""
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}*.parquet")
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
+        .parquet(f"{folder.rstrip('/')}/{name}*.parquet")
     )
 
 
