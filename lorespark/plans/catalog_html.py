@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import DataFrame, functions as F
 
 from lorespark.operators import html, sections
@@ -16,6 +19,28 @@ def _sql_decode(x: str) -> str:
     return _DECODE.format(x=x)
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+# HTML's own names: the longest one that starts behind an ampersand counts, and
+# some of them need no semicolon
+_NAMES = sorted(html5, key=lambda n: (-len(n), n))
+_NAMED = "MAP {" + ", ".join(f"'{n}': {_sql_text(html5[n])}" for n in _NAMES) + "}"
+_C1 = "MAP {" + ", ".join(f"{n}: {_sql_text(unescape(f'&#{n};'))}" for n in range(0x80, 0xA0)) + "}"
+_CHAR = (f"CASE WHEN n IS NULL OR n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n BETWEEN 128 AND 159 THEN {_C1}[n] "
+         "WHEN n < 9 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(n::INT) END")
+
+
+def _sql_unescape(x: str) -> str:
+    """Every reference of HTML in one pass, also one that lacks its semicolon."""
+    number = ("[try_cast(CASE WHEN e[2] IN ('x', 'X') THEN '0x' || rtrim(e[3:], ';') ELSE rtrim(e[2:], ';') END AS BIGINT)]")
+    one = (f"CASE WHEN e = '' THEN '&' WHEN e[1] = '#' THEN list_transform({number}, lambda n: {_CHAR})[1] ELSE {_NAMED}[e] END")
+    found = rf"regexp_extract(p, '^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|{'|'.join(_NAMES)})')"
+    part = f"list_transform([{found}], lambda e: {one} || p[len(e) + 1:])[1]"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {part} END), '')"
+
+
 def _sql_tidy(x: str) -> str:
     return (f"array_to_string(list_filter(list_transform(string_split(replace({x}, chr(13), chr(10)), chr(10)), "
             r"lambda z: regexp_replace(regexp_replace(z, '[ \t]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), "
@@ -45,6 +70,8 @@ hb0 AS (SELECT page_id, own AS pos, block_type, coalesce(string_agg(token, ' ' O
   FROM ob GROUP BY page_id, own, block_type),
 hb AS (SELECT page_id, pos, block_type, {_sql_tidy(_sql_decode('raw'))} AS text FROM hb0),
 hblocks AS (SELECT * FROM hb WHERE text <> '')"""
+# texts with every reference decoded; the counts of d3_content_types need none
+SQL_TEXT_BLOCKS = SQL_HTML_BLOCKS.replace(_sql_decode("raw"), _sql_unescape("raw"))
 
 
 def page_blocks(t: Tables) -> DataFrame:
@@ -64,7 +91,7 @@ def pages_with_metas(t: Tables) -> DataFrame:
 
 
 @query("c7_html_metadata", rf"""
-WITH m AS (SELECT page_id, {_sql_tidy(_sql_decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS title,
+WITH m AS (SELECT page_id, {_sql_tidy(_sql_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS title,
   nullif(regexp_extract(html, '(?i)<html[^>]*\slang="([^"]*)"', 1), '') AS language,
   list_filter(regexp_extract_all(html, '(?i)<meta [^>]*>'), lambda x: regexp_matches(x, '(?i)(name|property|http-equiv)=')) AS own
   FROM pages),
@@ -86,14 +113,14 @@ def c7(t: Tables):
 
 
 @query("c8_html_blocks", f"""
-WITH {SQL_HTML_BLOCKS} SELECT page_id, pos::BIGINT AS pos, block_type, text FROM hblocks""")
+WITH {SQL_TEXT_BLOCKS} SELECT page_id, pos::BIGINT AS pos, block_type, text FROM hblocks""")
 def c8(t: Tables):
     return page_blocks(t).select("page_id", F.col("pos").cast("bigint").alias("pos"), "block_type", "text")
 
 
 @query("c9_html_paths", f"""
-WITH {SQL_HTML_BLOCKS},
-ti AS (SELECT page_id, {_sql_tidy(_sql_decode("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS title FROM pages),
+WITH {SQL_TEXT_BLOCKS},
+ti AS (SELECT page_id, {_sql_tidy(_sql_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"))} AS title FROM pages),
 hp AS (SELECT page_id, min(pos) AS hpos, arg_min(text, pos) AS htext FROM hblocks WHERE block_type = 'heading' GROUP BY page_id)
 SELECT b.page_id, b.pos::BIGINT AS pos, CASE WHEN b.pos >= hpos THEN htext ELSE title END AS path
 FROM hblocks b JOIN ti ON ti.page_id = b.page_id LEFT JOIN hp ON hp.page_id = b.page_id""")
@@ -164,7 +191,7 @@ def c12(t: Tables):
 
 
 @query("c13_html_offsets", f"""
-WITH {SQL_HTML_BLOCKS},
+WITH {SQL_TEXT_BLOCKS},
 o AS (SELECT page_id, pos, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY page_id ORDER BY pos
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM hblocks)
 SELECT page_id, pos::BIGINT AS pos, s::BIGINT AS char_start, (s + n)::BIGINT AS char_end FROM o""")
@@ -182,7 +209,7 @@ def _more_markup(html_col: str = "html") -> F.Column:
 
 
 @query("c14_page_statistics", rf"""
-WITH {SQL_HTML_BLOCKS},
+WITH {SQL_TEXT_BLOCKS},
 bt AS (SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS content, count(*) FILTER (block_type = 'heading') AS s,
   count(*) FILTER (block_type <> 'heading') AS p FROM hblocks GROUP BY page_id),
 ac AS (SELECT page_id, count(*) AS a FROM tk WHERE name = 'a' AND opens GROUP BY page_id),

@@ -1,6 +1,7 @@
 """Faults found on larger and odd tables."""
 
-from lorespark.plans.catalog import QUERIES
+from lorespark.plans.catalog import ORACLES, QUERIES
+from tests.oracle import compare, connect
 
 
 def test_a_stream_reads_a_table_that_is_a_folder_of_parts(spark, tmp_path):
@@ -8,3 +9,19 @@ def test_a_stream_reads_a_table_that_is_a_folder_of_parts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES["l1_stream_dedup"](spark, str(tmp_path)).select("sha256", "copies").collect()
     assert len(got) == 7 and {r.copies for r in got} == {1}
+
+
+def test_references_without_a_semicolon_agree_with_the_sql(spark, tmp_path):
+    texts = ["a&amp&amp", "&copy 1", "&am", "&notit; &notin;", "&#150; &#39;x &#0;", "&ltb &amp;lt; &nbsp;z", "&;&#;&", "&NotEqualTilde;"]
+    rows = [(i, f"u{i}", f"<html><head><title>{t}</title></head><body><h1>H{t}</h1><p>{t} end</p></body></html>") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    (part,) = (tmp_path / "in").glob("*.parquet")
+    con = connect(str(tmp_path))
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{part}'")
+    (tmp_path / "tables").mkdir()
+    (tmp_path / "tables/pages.parquet").symlink_to(part)
+    for name in ("c7_html_metadata", "c8_html_blocks", "c9_html_paths", "c13_html_offsets", "c14_page_statistics"):
+        status, _, _, note = compare(spark, con, str(tmp_path / "tables"), name, QUERIES[name], ORACLES[name])
+        assert status == "ok", (name, note)
+    titles = {r.page_id: r.title for r in QUERIES["c7_html_metadata"](spark, str(tmp_path / "tables")).collect()}
+    assert titles[0] == "a&&" and titles[2] == "&am"
