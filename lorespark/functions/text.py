@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -45,7 +46,9 @@ def _ascii_udf(values: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """NFKC; stable strings reach the Python worker only as nulls."""
-    return F.coalesce(_nfkc_udf(F.when(text.rlike(_NEEDS_NFKC), text)), text)
+    # the lengths tell plain ASCII without a scan by pattern
+    odd = (F.octet_length(text) != F.length(text)) & text.rlike(_NEEDS_NFKC)
+    return F.coalesce(_nfkc_udf(F.when(odd, text)), text)
 
 
 def fold_ascii(text: Column) -> Column:
@@ -64,17 +67,27 @@ def strip(text: Column) -> Column:
 
 
 def unify_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return _replaced(_replaced(text, "\r\n", "\n"), "\r", "\n")
+
+
+def _replaced(text: Column, old: str, new: str) -> Column:
+    return F.replace(text, F.lit(old), F.lit(new))
+
+
+def _runs_replaced(text: Column, least: str, pattern: str, new: str) -> Column:
+    """A pattern scan only of texts that hold the shortest run at all."""
+    return F.transform(
+        F.array(text), lambda t: F.when(F.contains(t, F.lit(least)), F.regexp_replace(t, pattern, new)).otherwise(t)
+    )[0]
 
 
 def clean_text(text: Column) -> Column:
     """Tidy raw text: NULs, line ends, blank runs, then at most one empty line."""
-    out = F.replace(text, F.lit("\x00"), F.lit(" "))
-    out = unify_newlines(out)
-    # the patterns match only what changes, so clean stretches are not rebuilt
-    out = F.regexp_replace(out, r"[ \t]{2,}|\t", " ")
-    out = F.regexp_replace(out, r" +\n *|\n +", "\n")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
+    out = _replaced(unify_newlines(_replaced(text, "\x00", " ")), "\t", " ")
+    out = _runs_replaced(out, "  ", " {2,}", " ")
+    # blanks are single ones now
+    out = _replaced(_replaced(out, " \n", "\n"), "\n ", "\n")
+    out = _runs_replaced(out, "\n\n\n", "\n{3,}", "\n\n")
     return strip(out)
 
 
@@ -122,6 +135,12 @@ def term_pattern(term: str) -> str:
     return f"(?iu)(?<!{WORD}){quoted}(?!{WORD})"
 
 
+def any_term_pattern(terms: Sequence[str]) -> str:
+    """The same pattern for any of several terms; borders are tested once for all."""
+    quoted = "|".join(re.sub(r"([^\w\s])", r"\\\1", t) for t in terms)
+    return f"(?iu)(?<!{WORD})(?:{quoted})(?!{WORD})"
+
+
 def term_pattern_of(term: Column) -> Column:
     """The same pattern built from a term column, for rule-table joins."""
     quoted = F.regexp_replace(term, r"([^\p{L}\p{N}_\s])", r"\\$1")

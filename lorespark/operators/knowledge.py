@@ -7,16 +7,21 @@ global first-wins merges are map-side aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from lorespark.functions import rules, text as tx
 from lorespark.functions.ordered import first_arrivals
 from lorespark.operators import search
 from lorespark.operators.chunking import let
 from lorespark.operators.sections import LINE_BREAK
-from lorespark.session import cut_lineage, prepare
+from lorespark.session import prepare
 
 _W = tx.WORD
 _WORD_END = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
@@ -27,9 +32,6 @@ _CAPS = r"(?:[A-Z]{2,}|[A-Z][a-z]+)"
 _PHRASE = rf"(?<!{_W})({_CAPS}(?:{tx.SPACE}+{_CAPS}){{0,3}})(?!{_W})"
 _EDGE_MARKS = r"""^[.,:;!?()\[\]{}"']+|[.,:;!?()\[\]{}"']+$"""
 
-#: source order of raw concept titles (fixed values)
-FROM_DICTIONARY, FROM_PHRASE, FROM_TERM, FROM_BIGRAM = 0, 1, 2, 3
-
 
 # --- sentences -------------------------------------------------------------------
 
@@ -51,24 +53,27 @@ def _heading_like(line: Column) -> Column:
         )
 
     plain = tx.strip(F.regexp_replace(line, rf"^(?:[#>*]|{tx.SPACE})+", ""))
-    # every value is bound once: expressions inside array functions are not shared
+    # every value is bound once: expressions inside array functions are not shared;
+    # a line of more words than any heading has is not cut into words
     return F.startswith(line, F.lit("#")) | let(
         plain,
-        lambda p: let(F.regexp_extract_all(p, F.lit(_SPOKEN_WORD), 1), lambda w: by_words(p, w)),
+        lambda p: ~_has_words(p, 11) & let(F.regexp_extract_all(p, F.lit(_SPOKEN_WORD), 1), lambda w: by_words(p, w)),
     )
 
 
+def _has_words(text: Column, least: int) -> Column:
+    """Whether a text has so many spoken words; reads no further than that."""
+    return text.rlike(rf"^{tx.NON_WORD}*+(?:(?>{_SPOKEN_WORD}){tx.NON_WORD}*+){{{least}}}")
+
+
 def sentence_array(text: Column, min_words: int = 5, min_chars: int = 25) -> Column:
     """Informative sentences of a text, in order: headings and bullets removed."""
     lines = F.transform(F.split(text, LINE_BREAK), tx.collapse_space)
     lines = F.filter(lines, lambda x: (x != "") & ~_heading_like(x))
     bare = F.transform(lines, lambda x: F.regexp_replace(x, rf"^(?:[-*+]|\p{{Nd}}+[.)]){tx.SPACE}+", ""))
     parts = F.flatten(F.transform(bare, lambda x: F.split(x, rf"(?<=[.!?]){tx.SPACE}+")))
-    return F.filter(
-        F.transform(parts, tx.collapse_space),
-        lambda s: (F.length(s) >= min_chars)
-        & (F.regexp_count(s, F.lit(_SPOKEN_WORD)) >= min_words),
-    )
+    # parts of a collapsed line have even space
+    return F.filter(parts, lambda s: (F.length(s) >= min_chars) & _has_words(s, min_words))
 
 
 def sentences(docs: DataFrame, id_col: str, text: str, min_words: int = 5, min_chars: int = 25) -> DataFrame:
@@ -87,26 +92,37 @@ def dictionary_matches(
     concepts: Mapping[str, Sequence[str]] = rules.KNOWN_CONCEPTS,
 ) -> DataFrame:
     """(id, place, title, n): whole-term alias occurrences per known concept."""
-    lowered = F.col("__low")
+    # lowered once: generators do not share common subexpressions
+    rows = docs.select(id_col, text, F.lower(text).alias("__low"))
+    found = _dictionary(F.col(text), F.col("__low"), concepts)
+    return rows.select(id_col, F.explode(found).alias("m")).select(id_col, "m.*").filter("n > 0")
+
 
-    def hits(aliases: Sequence[str]) -> Column:
+def _dictionary(text: Column, lowered: Column, concepts: Mapping[str, Sequence[str]]) -> Column:
+    """Array of (place, title, n), a concept each."""
+
+    def among(words: Column, alias: str) -> Column:
+        return F.size(F.filter(words, lambda w: w.rlike(rf"(?iu)^{alias}\z")))
+
+    def hits(aliases: Sequence[str], words: Column) -> Column:
         # the cheap literal test spares the pattern scan of most texts
         counts = [
-            F.when(F.contains(lowered, F.lit(a.lower())), F.regexp_count(text, F.lit(tx.term_pattern(a))))
-            .otherwise(0)
+            among(words, a) if a in plain
+            else F.when(F.contains(lowered, F.lit(a.lower())), F.regexp_count(text, F.lit(tx.term_pattern(a)))).otherwise(0)
             for a in aliases
         ]
         return sum(counts[1:], counts[0])
 
-    found = F.array(
-        *[
-            F.struct(F.lit(i).alias("place"), F.lit(title).alias("title"), hits(aliases).cast("bigint").alias("n"))
+    # whole terms that are one word cannot overlap, so one scan finds all of them
+    plain = sorted({a for al in concepts.values() for a in al if re.fullmatch(r"\w+", a)})
+    scan = rf"(?iu)(?<!{_W})({'|'.join(plain)})(?!{_W})" if plain else r"(\A\b\B)"
+    return let(
+        F.regexp_extract_all(text, F.lit(scan), 1),
+        lambda words: F.array(*[
+            F.struct(F.lit(i).alias("place"), F.lit(title).alias("title"), hits(aliases, words).cast("bigint").alias("n"))
             for i, (title, aliases) in enumerate(concepts.items())
-        ]
+        ]),
     )
-    # lowered once: generators do not share common subexpressions
-    rows = docs.select(id_col, text, F.lower(text).alias("__low"))
-    return rows.select(id_col, F.explode(found).alias("m")).select(id_col, "m.*").filter("n > 0")
 
 
 def terms(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -186,65 +202,118 @@ def bigrams(
     return ranked.select(id_col, "place", title.alias("title"), "n")
 
 
-def candidates(
+_REPEATS = T.StructType([
+    T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("n", T.ArrayType(T.LongType())),
+    T.StructField("first", T.ArrayType(T.StringType())), T.StructField("second", T.ArrayType(T.StringType())),
+])
+
+
+@F.pandas_udf(_REPEATS)
+def _repeats(words: pd.Series) -> pd.DataFrame:
+    """Terms and neighbouring pairs seen twice or more, by count, then first place."""
+
+    def repeated(items) -> list:
+        # counts keep the order of first places, and so does the sort
+        kept = [x for x in Counter(items).items() if x[1] > 1]
+        return sorted(kept, key=lambda x: -x[1])
+
+    def row(found) -> tuple:
+        low = [w.lower() for w in found] if found is not None else []
+        one, two = repeated(low), repeated(zip(low, low[1:]))
+        return [w for w, _ in one], [n for _, n in one], [p[0] for p, _ in two], [p[1] for p, _ in two]
+
+    return pd.DataFrame([row(x) for x in words], columns=_REPEATS.names)
+
+
+def _exploded(items: str | Column) -> Column:
+    """An outer explode: a plain one tests its array first, and so makes it twice."""
+    return F.explode_outer(items)
+
+
+def with_candidates(
     docs: DataFrame, id_col: str, text: str,
     concepts: Mapping[str, Sequence[str]] = rules.KNOWN_CONCEPTS,
     stopwords: Sequence[str] = rules.STOPWORDS,
     cap: int | None = None,
 ) -> DataFrame:
-    """(id, rank, title, key, raw_titles, duplicates): merged candidates.
+    """Documents with ``found``: an array of (rank, title, key), and ``raw_titles``.
 
     Dictionary hits, phrases, terms and bigrams in this order; aliases become
     canonical titles and keys are unique. All titles are kept, ranked; a
-    caller that wants the first ones only passes ``cap``. Term counts are
-    written once for the parts that read them. Runs a job.
+    caller that wants the first ones only passes ``cap``. Narrow, no shuffle:
+    everything about a document comes from its own row.
     """
     prepare(docs.sparkSession)
-    docs = docs.select(id_col, text).repartition(F.col(id_col))
-    tokens = terms(docs, id_col, text)
-    counts = cut_lineage(term_counts(tokens, id_col))  # three parts read it
+    stop = list(stopwords)
     one = F.lit(1).cast("bigint")
-
-    def part(df: DataFrame, source: int, weight: Column) -> DataFrame:
-        return df.select(
-            id_col, F.lit(source).alias("source"), F.col("place").cast("bigint").alias("place"),
-            "title", weight.alias("weight"),
-        )
-
-    raw = (
-        part(dictionary_matches(docs, id_col, text, concepts), FROM_DICTIONARY, F.col("n"))
-        .unionByName(part(phrases(docs, counts, id_col, text, stopwords), FROM_PHRASE, one))
-        .unionByName(part(frequent_terms(counts, id_col, stopwords), FROM_TERM, one))
-        .unionByName(part(bigrams(tokens, id_col, stopwords), FROM_BIGRAM, one))
+    rows = docs.withColumns({
+        "__raw": F.regexp_extract_all(text, F.lit(_PHRASE), 1), "__low": F.lower(text),
+        "__r": _repeats(F.regexp_extract_all(text, F.lit(_TERM), 1)),
+    })
+    item = lambda title, weight=one: F.struct(title.alias("title"), weight.alias("weight"))
+
+    def telling(title: Column) -> Column:
+        acronym = ~title.rlike("[a-z]")
+        return (title != "") & (F.contains(title, F.lit(" ")) | acronym | F.array_contains("__r.terms", F.lower(title)))
+
+    known = F.filter(_dictionary(F.col(text), F.col("__low"), concepts), lambda m: m["n"] > 0)
+    phrase = F.transform("__raw", lambda x: _drop_leading_stopwords(tx.collapse_space(x), stop))
+    term = F.filter(
+        F.arrays_zip(F.col("__r.terms").alias("t"), F.col("__r.n").alias("n")),
+        lambda x: (x["n"] >= 3) & (F.length(x["t"]) >= 4) & ~x["t"].isin(stop),
     )
-    cleaned = F.regexp_replace(tx.collapse_space(F.col("title")), _EDGE_MARKS, "")
-    raw = raw.withColumn("title", _drop_leading_stopwords(cleaned, stopwords))
-    raw = raw.withColumn("key", tx.key_of(F.col("title")))
-    raw = raw.filter((F.length("key") >= 3) & ~F.col("key").isin(list(stopwords)))
-    named = F.col("title")
-    canonical = {a.casefold().replace("-", " "): t for t, al in concepts.items() for a in (t, *al)}
-    table = F.create_map(*[F.lit(x) for pair in canonical.items() for x in pair])
-    raw = raw.withColumn("title", F.coalesce(table[F.col("key")], named))
-    raw = raw.withColumn("key", tx.key_of(F.col("title")))
-    unique = raw.groupBy(id_col, "key").agg(
-        F.min_by("title", F.struct("source", "place")).alias("title"),
-        F.min(F.struct("source", "place")).alias("__at"),
-        F.sum("weight").alias("weight"),
+    pair = F.filter(
+        F.arrays_zip(F.col("__r.first").alias("a"), F.col("__r.second").alias("b")),
+        lambda x: ~x["a"].isin(stop) & ~x["b"].isin(stop),
     )
-    by_doc = Window.partitionBy(id_col)
-    unique = unique.select(
-        "*",
-        F.row_number().over(by_doc.orderBy("__at")).alias("rank"),
-        F.sum("weight").over(by_doc).alias("raw_titles"),
-        F.count(F.lit(1)).over(by_doc).alias("__n"),
+    raw = F.concat(
+        F.transform(known, lambda m: item(m["title"], m["n"])),
+        F.transform(F.filter(phrase, telling), lambda x: item(x)),
+        F.transform(term, lambda x: item(title_case(x["t"]))),
+        F.transform(pair, lambda x: item(F.concat_ws(" ", title_case(x["a"]), title_case(x["b"])))),
     )
-    if cap is not None:
-        unique = unique.filter(F.col("rank") <= cap)
-    return unique.select(
-        id_col, "rank", "title", "key", "raw_titles", (F.col("raw_titles") - F.col("__n")).alias("duplicates")
+    canonical = {a.casefold().replace("-", " "): t for t, al in concepts.items() for a in (t, *al)}
+    table = F.create_map(*[F.lit(x) for pair in canonical.items() for x in pair])
+
+    def clean(r: Column) -> Column:
+        title = _drop_leading_stopwords(F.regexp_replace(tx.collapse_space(r["title"]), _EDGE_MARKS, ""), stop)
+        return let(title, lambda t: F.struct(t.alias("title"), tx.key_of(t).alias("key"), r["weight"].alias("weight")))
+
+    def named(r: Column) -> Column:
+        title = table[r["key"]]
+        return F.when(title.isNull(), r).otherwise(
+            F.struct(title.alias("title"), tx.key_of(title).alias("key"), r["weight"].alias("weight")))
+
+    def merged(keys: Column, titles: Column) -> Column:
+        unique = F.array_distinct(keys) if cap is None else F.slice(F.array_distinct(keys), 1, cap)
+        return F.transform(unique, lambda k, i: F.struct(
+            (i + 1).alias("rank"), F.get(titles, (F.array_position(keys, k) - 1).cast("int")).alias("title"), k.alias("key")))
+
+    kept = F.filter(F.transform(raw, clean), lambda r: (F.length(r["key"]) >= 3) & ~r["key"].isin(stop))
+    made = let(F.transform(kept, named), lambda x: F.struct(
+        let(x["key"], lambda keys: let(x["title"], lambda titles: merged(keys, titles))).alias("found"),
+        F.aggregate(x["weight"], F.lit(0).cast("bigint"), lambda a, w: a + w).alias("raw_titles"),
+        F.size(F.array_distinct(x["key"])).alias("n"),
+    ))
+    rows = rows.withColumn("__m", made)
+    return rows.select(
+        *docs.columns, F.col("__m.found").alias("found"), F.col("__m.raw_titles").alias("raw_titles"),
+        (F.col("__m.raw_titles") - F.col("__m.n")).alias("duplicates"),
     )
 
 
+def candidates(
+    docs: DataFrame, id_col: str, text: str,
+    concepts: Mapping[str, Sequence[str]] = rules.KNOWN_CONCEPTS,
+    stopwords: Sequence[str] = rules.STOPWORDS,
+    cap: int | None = None,
+) -> DataFrame:
+    """(id, rank, title, key, raw_titles, duplicates): ``with_candidates`` in rows."""
+    rows = with_candidates(docs.select(id_col, text), id_col, text, concepts, stopwords, cap)
+    return rows.select(id_col, _exploded("found").alias("c"), "raw_titles", "duplicates").filter("c IS NOT NULL").select(
+        id_col, "c.*", "raw_titles", "duplicates")
+
+
 # --- summaries and registry ------------------------------------------------------------
 
 
@@ -295,63 +364,123 @@ def difficulty(summary: Column) -> Column:
     return F.when(search.any_term(summary, rules.ADVANCED_TERMS), "advanced").otherwise("beginner")
 
 
-def grams(sentence: Column) -> tuple[Column, Column]:
-    """Words and the texts between them, of a lower-case sentence."""
-    return F.regexp_extract_all(sentence, F.lit(f"({_W}+)"), 1), F.split(sentence, f"{_W}+")
+def alias_key(alias: Column) -> Column:
+    """The first two words of a lower-case alias, or its only one."""
+    words = F.regexp_extract_all(alias, F.lit(f"({_W}+)"), 1)
+    return F.array_join(F.slice(words, 1, 2), " ")
+
 
+def sentence_words(sentences: Column) -> Column:
+    """Each sentence as its lower-case words, with blanks between."""
+    return F.transform(sentences, lambda s: F.regexp_replace(F.lower(s), f"{tx.NON_WORD}+", " "))
 
-def mentions(sents: DataFrame, items: DataFrame, id_col: str) -> DataFrame:
-    """``items`` joined to the sentences (id, pos, statement) that mention them.
 
-    ``items`` has the id, an ``alias`` of ``alias_items`` and other columns; the
-    result has those columns and ``pos``, a row per sentence and alias. A text
-    that holds an alias as a whole term also holds the alias's first two words
-    (or its one word) with what stands between them, so both sides are joined
-    on the document and the 64-bit hash of that gram. Aliases of more than one
-    word are then tested in their sentence.
+def _met(sentences: Sequence[str], keys: Sequence[str]) -> Iterator[list[int]]:
+    """For each sentence the places of the keys it holds, ascending; linear in its words."""
+    index: dict[str, list[int]] = {}
+    for place, key in enumerate(keys):
+        if key:
+            index.setdefault(key, []).append(place)
+    heads = {key.split(" ")[0] for key in index if " " in key}
+    for sentence in sentences:
+        words = sentence.split(" ")
+        held = index.keys() & words
+        if heads:
+            held |= index.keys() & [f"{a} {b}" for a, b in zip(words, words[1:]) if a in heads]
+        yield sorted(place for key in held for place in index[key])
+
+
+def _to_certain(places: Sequence[int], certain: Sequence[bool]) -> list[int]:
+    """The places up to the first certain one; the others have to be tested."""
+    out = []
+    for place in places:
+        out.append(place)
+        if certain[place]:
+            break
+    return out
+
+
+def _aliases_met(words, keys, certain) -> list[list[int]]:
+    """Per sentence: places of aliases that it may hold, up to the first certain one."""
+    return [_to_certain(places, certain) for places in _met(words, keys)]
+
+
+def _first_met(words, keys, certain, owner) -> list[list[int]]:
+    """Per owner: (sentence * number of aliases + alias) of possible hits, up to the first certain one."""
+    out: list[list[int]] = [[] for _ in range(max(owner, default=-1) + 1)]
+    over = [False] * len(out)
+    for pos, places in enumerate(_met(words, keys)):
+        for place in places:
+            if not over[owner[place]]:
+                out[owner[place]].append(pos * len(keys) + place)
+        for place in places:
+            over[owner[place]] |= certain[place]
+    return out
+
+
+def _with_hits(rows: DataFrame, name: str, find, args: dict[str, Column]) -> DataFrame:
+    """Add what ``find`` says of each row's ``args``, lists of whole numbers."""
+    made, names = rows.withColumns(args), list(args)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = zip(*[batch.column(a).to_pylist() for a in names])
+            hits = [None if None in x else find(*x) for x in lists]
+            yield batch.drop_columns(names).append_column(name, pa.array(hits, pa.list_(pa.list_(pa.int64()))))
+
+    return made.mapInArrow(run, T.StructType([*rows.schema, T.StructField(name, T.ArrayType(T.ArrayType(T.LongType())))]))
+
+
+def with_summaries(
+    rows: DataFrame, id_col: str, text: str, concepts: Mapping[str, Sequence[str]] = rules.KNOWN_CONCEPTS,
+) -> DataFrame:
+    """(id, rank, title, summary) for documents with ``found``; further columns stay.
+
+    The summary is the first sentence that holds an alias of the title. Narrow.
     """
-    low = sents.select(id_col, "pos", F.lower("statement").alias("__low"))
-    words, between = grams(F.col("__low"))
-    cut = low.select(id_col, "pos", words.alias("__w"), between.alias("__b"))
-    words = F.transform("__w", lambda w: F.xxhash64(w))
-    pairs = F.transform(
-        F.slice("__w", 1, F.greatest(F.size("__w") - 1, F.lit(0))),
-        lambda w, i: F.xxhash64(F.concat(w, F.get("__b", i + 1), F.get("__w", i + 1))),
-    )
-    index = cut.select(id_col, "pos", F.explode(F.array_distinct(F.concat(words, pairs))).alias("gram"))
-    first, gap = grams(F.col("alias.low"))
-    gram = F.when(F.size(first) < 2, F.get(first, F.lit(0))).otherwise(
-        F.concat(F.get(first, F.lit(0)), F.get(gap, F.lit(1)), F.get(first, F.lit(1)))
-    )
-    met = index.join(items.withColumn("gram", F.xxhash64(gram)), [id_col, "gram"]).drop("gram")
-    plain = met.filter("alias.simple")
-    tested = met.filter("NOT alias.simple").join(sents.select(id_col, "pos", "statement"), [id_col, "pos"])
-    tested = tested.filter(_mentions(sentence_item(F.col("statement")), F.col("alias"))).drop("statement")
-    return plain.unionByName(tested)
+    items = F.flatten(F.transform("found", lambda f, i: F.transform(
+        alias_items(aliases_of(f["title"], concepts)), lambda a: F.struct(i.alias("owner"), a.alias("a")))))
+    rows = rows.withColumns({"__s": sentence_array(tx.nfkc(F.col(text)), 3, 15), "__i": items})
+    rows = _with_hits(rows.drop(text), "__p", _first_met, {
+        "__w": sentence_words(F.col("__s")), "__k": F.transform("__i", lambda x: alias_key(x["a"]["low"])),
+        "__c": F.transform("__i", lambda x: x["a"]["simple"]), "__o": F.transform("__i", lambda x: x["owner"])})
+
+    def held(place: Column) -> Column:
+        alias = F.get("__i", (place % F.size("__i")).cast("int"))["a"]
+        sentence = F.get("__s", F.floor(place / F.size("__i")).cast("int"))
+        return alias["simple"] | _mentions(sentence_item(sentence), alias)
+
+    first = F.transform(F.arrays_zip(F.col("found").alias("f"), F.col("__p").alias("p")), lambda x: let(
+        F.get(F.filter(x["p"], held), F.lit(0)),
+        lambda place: F.struct(
+            x["f"]["rank"].alias("rank"), x["f"]["title"].alias("title"),
+            F.coalesce(
+                F.get("__s", F.floor(place / F.size("__i")).cast("int")),
+                F.concat(x["f"]["title"], F.lit(" is a concept identified in the imported document.")),
+            ).alias("summary"))))
+    keep = [c for c in rows.columns if c not in (text, "found", "raw_titles", "duplicates", "__s", "__i", "__p")]
+    return rows.select(*keep, _exploded(first).alias("__x")).filter("__x IS NOT NULL").select(*keep, "__x.*")
 
 
 def described(
-    docs: DataFrame, found: DataFrame, id_col: str, text: str,
+    docs: DataFrame, found: DataFrame | None, id_col: str, text: str,
     concepts: Mapping[str, Sequence[str]] = rules.KNOWN_CONCEPTS,
     category_rules: Sequence[rules.CategoryRule] = rules.CATEGORY_RULES,
 ) -> DataFrame:
     """(id, rank, title, slug, summary, difficulty, category) of each candidate.
 
-    Candidates meet their sentences through ``mentions``; the first sentence
-    is the summary. Runs a job.
+    ``found`` are candidates as rows; without them, each document's own ones
+    are described in its row, and nothing is shuffled.
     """
-    items = found.select(id_col, "rank", F.explode(alias_items(aliases_of(F.col("title"), concepts))).alias("alias"))
-    # the index, the tests and the summaries read them
-    sents = cut_lineage(sentences(docs, id_col, text, 3, 15).withColumnRenamed("sentence", "statement"))
-    first = mentions(sents, items, id_col).groupBy(id_col, "rank").agg(F.min("pos").alias("pos"))
-    first = first.join(sents, [id_col, "pos"]).select(id_col, "rank", F.col("statement").alias("__first"))
-    categories = docs.select(id_col, search.detect_categories(F.col(text), category_rules).alias("__categories"))
-    rows = found.select(id_col, "rank", "title").join(first, [id_col, "rank"], "left").join(categories, id_col)
-    default = F.concat("title", F.lit(" is a concept identified in the imported document."))
-    rows = rows.withColumn("summary", F.coalesce("__first", default))
+    if found is None:
+        rows = with_candidates(docs.select(id_col, text), id_col, text, concepts)
+    else:
+        lists = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("found"))
+        rows = docs.select(id_col, text).join(lists, id_col)
+    rows = rows.withColumn("__categories", search.detect_categories(F.col(text), category_rules))
+    rows = with_summaries(rows, id_col, text, concepts)
     category = search.primary_category(F.concat_ws(" ", "title", "summary"), category_rules)
-    rows = rows.withColumn("category", category)
-    return rows.select(
+    return rows.withColumn("category", category).select(
         id_col, "rank", "title",
         tx.slugify(F.col("title"), "concept").alias("slug"),
         "summary", difficulty(F.col("summary")).alias("difficulty"),
@@ -364,11 +493,12 @@ def registry(described_rows: DataFrame, id_col: str, existing: DataFrame | None
     """(slug, title, …, first_doc, rank, mentions, status): first arrival per slug.
 
     Equal lower-case titles share a slug, so the slug decides. ``existing``
-    (slug) marks concepts stored earlier as reused.
+    (slug) marks concepts stored earlier as reused. Descriptions that the rows
+    do not have are left out.
     """
+    carried = [c for c in ("title", "summary", "difficulty", "category") if c in described_rows.columns]
     firsts = first_arrivals(
-        described_rows, "slug", [id_col, "rank"],
-        [id_col, "rank", "title", "summary", "difficulty", "category"],
+        described_rows, "slug", [id_col, "rank"], [id_col, "rank", *carried]
     ).withColumnRenamed("arrivals", "mentions")
     if existing is None:
         return firsts.withColumn("status", F.lit("created"))
@@ -381,7 +511,8 @@ def registry(described_rows: DataFrame, id_col: str, existing: DataFrame | None
 def document_concepts(described_rows: DataFrame, concepts_table: DataFrame, id_col: str) -> DataFrame:
     """Concepts of each document with the registry's title, summary and order."""
     stored = concepts_table.select(
-        "slug", F.col("title").alias("concept"), F.col("summary").alias("concept_summary"),
+        "slug", F.col("title").alias("concept"),
+        *[F.col(c).alias("concept_summary") for c in concepts_table.columns if c == "summary"],
         F.struct(F.col(id_col).alias("d"), F.col("rank").alias("r")).alias("concept_order"),
     )
     return described_rows.select(id_col, "slug").distinct().join(stored, "slug")
@@ -410,15 +541,29 @@ def claims(
 
     A sentence belongs to the document's concept with the longest alias it
     holds (earlier concept on a tie); a statement is stored once, globally.
-    Runs a job.
+    Texts meet the list of their concepts, one row a document.
     """
     items = doc_concepts.select(
         id_col, "concept_order", "slug", F.explode(alias_items(aliases_of(F.col("concept"), concepts))).alias("alias")
     )
-    sents = cut_lineage(sentences(docs, id_col, text).withColumnRenamed("sentence", "statement"))
-    rank = F.struct((-F.length("alias.alias")).alias("n"), "concept_order")
-    best = mentions(sents, items, id_col).groupBy(id_col, "pos").agg(F.min_by("slug", rank).alias("concept"))
-    picked = sents.join(best, [id_col, "pos"])
+    item = F.struct((-F.length("alias.alias")).alias("n"), "concept_order", "slug", "alias")
+    lists = items.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("__i"))
+    rows = docs.select(id_col, F.col(text).alias("__t")).join(lists, id_col)
+    rows = rows.withColumn("__s", sentence_array(tx.nfkc(F.col("__t")))).drop("__t")
+    rows = _with_hits(rows, "__p", _aliases_met, {
+        "__w": sentence_words(F.col("__s")), "__k": F.transform("__i", lambda x: alias_key(x["alias"]["low"])),
+        "__c": F.transform("__i", lambda x: x["alias"]["simple"])})
+
+    def best(x: Column, pos: Column) -> Column:
+        def held(place: Column) -> Column:
+            alias = F.get("__i", place.cast("int"))["alias"]
+            return alias["simple"] | _mentions(sentence_item(x["s"]), alias)
+
+        place = F.get(F.filter(x["p"], held), F.lit(0))
+        return F.struct(pos.alias("pos"), x["s"].alias("statement"), F.get("__i", place.cast("int"))["slug"].alias("concept"))
+
+    met = F.arrays_zip(F.col("__s").alias("s"), F.col("__p").alias("p"))
+    picked = rows.select(id_col, _exploded(F.transform(met, best)).alias("x")).select(id_col, "x.*").filter("concept IS NOT NULL")
     picked = picked.withColumn("claim_key", tx.key_of(F.col("statement")))
     if existing is not None:
         picked = picked.join(existing.select("claim_key").distinct(), "claim_key", "left_anti")

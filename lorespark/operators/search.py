@@ -74,8 +74,7 @@ def primary_category(
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
     # one alternation instead of one scan of the text per keyword
-    bodies = [tx.term_pattern(t)[len("(?iu)"):] for t in terms]
-    return text.rlike("(?iu)" + "|".join(bodies))
+    return text.rlike(tx.any_term_pattern(terms))
 
 
 def search(

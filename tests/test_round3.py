@@ -1,5 +1,12 @@
 """Faults found on larger and odd tables."""
 
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from lorespark.functions import text as tx
+from lorespark.operators import knowledge
 from lorespark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
@@ -25,3 +32,36 @@ def test_references_without_a_semicolon_agree_with_the_sql(spark, tmp_path):
         assert status == "ok", (name, note)
     titles = {r.page_id: r.title for r in QUERIES["c7_html_metadata"](spark, str(tmp_path / "tables")).collect()}
     assert titles[0] == "a&&" and titles[2] == "&am"
+
+
+def _old_clean(text: str) -> str:
+    out = re.sub(r"\r\n?", "\n", text.replace("\x00", " "))
+    out = re.sub(r" +\n *|\n +", "\n", re.sub(r"[ \t]{2,}|\t", " ", out))
+    return re.sub(r"\n{3,}", "\n\n", out).strip(" \t\n\r\x0b\x0c")
+
+
+def test_clean_text_on_random_white_space(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab \t\n\r\x00") for _ in range(rng.randrange(30))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r.c == _old_clean(r.t) for r in df.select("t", tx.clean_text(F.col("t")).alias("c")).collect())
+
+
+MINED = (
+    "Stop-loss orders are what René O'Neil calls a Stop Loss rule here. The RSI rose and the RSI fell again today.\n"
+    "A stop loss and the RSI belong together in every plan that he wrote. Moving Average lines follow the RSI slowly."
+)
+
+
+def test_documents_are_mined_in_their_own_row(spark):
+    long = " ".join(f"Word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} number follows here again and again." for i in range(3000))
+    docs = spark.createDataFrame([(1, MINED), (2, long), (3, None), (4, "")], "doc_id long, text string")
+    rows = knowledge.described(docs, None, "doc_id", "text")
+    # a shuffle of words or word pairs grows far beyond the texts
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.title): r.summary for r in rows.collect()}
+    split = knowledge.described(docs, knowledge.candidates(docs, "doc_id", "text"), "doc_id", "text")
+    assert got == {(r.doc_id, r.title): r.summary for r in split.collect()}
+    assert got[1, "Stop Loss"].startswith("Stop-loss orders") and got[1, "RSI"].startswith("The RSI rose")
+    assert got[1, "Moving Average"].startswith("Moving Average lines") and {d for d, _ in got} == {1, 2}
+    assert len(got) > 600
