@@ -12,6 +12,7 @@ from lorespark.plans import views as v
 from lorespark.plans.catalog_html import SQL_HTML_BLOCKS, page_blocks
 from lorespark.plans.catalog_sections import SQL_BLOCKS, block_rows
 from lorespark.plans.registry import Tables, query
+from lorespark.session import cut_lineage
 
 FIXED = ck.ChunkConfig(strategy_name="fixed_window", boundary_preference=("character",))
 BOUNDED = ck.ChunkConfig(strategy_name="fixed_window")
@@ -346,7 +347,9 @@ al AS (SELECT doc_id, 'configuration' AS type, '{_CONFIG_JSON}' AS content FROM
   UNION ALL SELECT doc_id, 'validation_report', content FROM vr UNION ALL SELECT doc_id, 'warning', content FROM wn)
 SELECT doc_id, type, sha256(content) AS sha256 FROM al""")
 def d17(t: Tables):
-    chunks = plain_chunks(t)
+    # five parts read them: cut once, a row of numbers a chunk without its text
+    chunks = cut_lineage(plain_chunks(t).select(
+        "doc_id", "ordinal", "character_count", "word_count", "overlap_chars", "content_hash"))
     rule = F.when(F.col("character_count") > 1400, F.array(F.lit("over the maximum size")))
     checks = chunks.select("doc_id", "ordinal",
                            F.coalesce(rule, F.array().cast("array<string>")).alias("reasons"))

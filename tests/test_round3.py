@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
-from lorespark.operators import knowledge
+from lorespark.operators import knowledge, markdown
 from lorespark.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
@@ -65,3 +65,26 @@ def test_documents_are_mined_in_their_own_row(spark):
     assert got[1, "Stop Loss"].startswith("Stop-loss orders") and got[1, "RSI"].startswith("The RSI rose")
     assert got[1, "Moving Average"].startswith("Moving Average lines") and {d for d, _ in got} == {1, 2}
     assert len(got) > 600
+
+
+def test_artifacts_cut_the_texts_once(spark, small):
+    plan = QUERIES["d17_artifacts"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan  # every part reads the rows of numbers
+
+
+def test_inline_marks_are_removed_as_before(spark):
+    rng = random.Random(9)
+    bits = ["a", "b c", "*", "**", "_", "__", "`", "\\*", "\\", "![x](u)", "[t](v)", " ", "  ", "\t", "\n", "1"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = F.col("t")
+    for pattern, new in (
+        (markdown._IMAGE, "$1"), (markdown._LINK, "$1"), (r"(?s)(?<!`)(`++)[ ]?(.+?)[ ]?\1(?!`)", "$2"),
+        (r"\*\*(?=\S)([^*\n]++(?:\*(?!\*)[^*\n]++)*+)(?<=\S)\*\*", "$1"), (r"__(?=\S)([^_\n]++(?:_(?!_)[^_\n]++)*+)(?<=\S)__", "$1"),
+        (r"(?<![*\p{L}\p{N}])\*(?=[^\s*])([^*\n]++)(?<=[^\s*])\*(?!\*)", "$1"),
+        (r"(?<![_\p{L}\p{N}])_(?=[^\s_])([^_\n]++(?:(?<=[\p{L}\p{N}])_(?=[\p{L}\p{N}])[^_\n]++)*+)(?<=[^\s_])_(?![_\p{L}\p{N}])", "$1"),
+        (r"\\([!-/:-@\[-`{-~])", "$1"), (r"[ \t]+", " "),
+    ):
+        out = F.regexp_replace(out, pattern, new)
+    pairs = df.select("t", markdown.inline_text(F.col("t")).alias("new"), tx.strip(out).alias("old")).collect()
+    assert all(r.new == r.old for r in pairs)
