@@ -74,8 +74,8 @@ def _replaced(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(old), F.lit(new))
 
 
-def _runs_replaced(text: Column, least: str, pattern: str, new: str) -> Column:
-    """A pattern scan only of texts that hold the shortest run at all."""
+def runs_replaced(text: Column, least: str, pattern: str, new: str) -> Column:
+    """A pattern scan only of texts that hold ``least``, without which the pattern cannot match."""
     return F.transform(
         F.array(text), lambda t: F.when(F.contains(t, F.lit(least)), F.regexp_replace(t, pattern, new)).otherwise(t)
     )[0]
@@ -84,10 +84,10 @@ def _runs_replaced(text: Column, least: str, pattern: str, new: str) -> Column:
 def clean_text(text: Column) -> Column:
     """Tidy raw text: NULs, line ends, blank runs, then at most one empty line."""
     out = _replaced(unify_newlines(_replaced(text, "\x00", " ")), "\t", " ")
-    out = _runs_replaced(out, "  ", " {2,}", " ")
+    out = runs_replaced(out, "  ", " {2,}", " ")
     # blanks are single ones now
     out = _replaced(_replaced(out, " \n", "\n"), "\n ", "\n")
-    out = _runs_replaced(out, "\n\n\n", "\n{3,}", "\n\n")
+    out = runs_replaced(out, "\n\n\n", "\n{3,}", "\n\n")
     return strip(out)
 
 
