@@ -323,7 +323,8 @@ WITH {SQL_PLAIN}, f AS (SELECT doc_id, ordinal::BIGINT AS ordinal, character_cou
 SELECT *, (SELECT count(*) FROM f)::BIGINT AS total FROM f ORDER BY character_count DESC, doc_id DESC, ordinal DESC LIMIT 500 OFFSET 300""")
 def d16_next(t: Tables):
     """The second page by the key of the last row of the first one."""
-    chunks = plain_chunks(t).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), "character_count")
+    # both pages and their totals read them: cut once, without texts
+    chunks = cut_lineage(plain_chunks(t).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), "character_count"))
     first = ct.listing(chunks, "character_count", ["doc_id", "ordinal"], descending=True, limit=300)
     last = first.agg(F.min(F.struct("character_count", "doc_id", "ordinal"))).first()[0]
     return ct.listing(chunks, "character_count", ["doc_id", "ordinal"], descending=True, limit=500, after=list(last))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
@@ -67,8 +68,9 @@ def test_documents_are_mined_in_their_own_row(spark):
     assert len(got) > 600
 
 
-def test_artifacts_cut_the_texts_once(spark, small):
-    plan = QUERIES["d17_artifacts"](spark, small)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", ["d16_next_page", "d17_artifacts"])
+def test_artifacts_and_pages_cut_the_texts_once(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan  # every part reads the rows of numbers
 
 
