@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lorespark.functions import hashing
 from lorespark.operators.chunk_tables import listing
 from lorespark.sources.corpus import reasons
+from lorespark.session import cut_lineage
 
 
 def matches_any(columns: Sequence[str], query: str) -> Column:
@@ -193,19 +194,21 @@ def _fold(rows: DataFrame, keys: Sequence[str], position: str, digest: str) -> D
 
 
 def hash_tree(
-    blocks: DataFrame, id_col: str, section: str, position: str, fields: Sequence[str]
+    blocks: DataFrame, id_col: str, section: str, position: str, fields: Sequence[str], staged: bool = False
 ) -> dict[str, DataFrame]:
     """Canonical hashes of a document's blocks, sections and whole: three tables.
 
     A block is hashed as canonical JSON of its position and ``fields``; a
     section over its blocks and a document over its sections, both in order.
     Equal trees have equal documents. ``section`` and ``position`` are whole
-    numbers, and a position comes once in a section.
+    numbers, and a position comes once in a section. ``staged`` writes the
+    hashes of blocks once (a job), for callers that read more than one table.
     """
     values = {name: F.col(name) for name in fields}
     leaves = blocks.select(
         id_col, section, position, hashing.sha256_json(position=F.col(position), **values).alias("sha256")
     )
+    leaves = cut_lineage(leaves) if staged else leaves
     sections = _fold(leaves, [id_col, section], position, "sha256")
     return {"block": leaves, "section": sections, "document": _fold(sections, [id_col], section, "sha256")}
 

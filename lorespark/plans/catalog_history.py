@@ -368,10 +368,10 @@ d1 AS (SELECT run, doc_id, section // 1024 AS st, sha256(string_agg(h, '' ORDER
 dc AS (SELECT run, doc_id, sha256(string_agg(h, '' ORDER BY st)) AS h FROM d1 GROUP BY ALL)"""
 
 
-def _trees(t: Tables) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+def _trees(t: Tables, staged: bool = False) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     rows = paragraphs(t).select("doc_id", "section", "paragraph", "text")
     again = rows.filter(F.length("text") > 3).withColumn("text", F.replace("text", F.lit("license"), F.lit("licence")))
-    return tuple(rg.hash_tree(x, "doc_id", "section", "paragraph", ["text"]) for x in (rows, again))
+    return tuple(rg.hash_tree(x, "doc_id", "section", "paragraph", ["text"], staged=staged) for x in (rows, again))
 
 
 def _sql_parts(table: str, keys: str, level: str, columns: str, inside: str) -> str:
@@ -391,7 +391,7 @@ UNION ALL {_sql_parts('se', 'doc_id, section', 'section', 'section::BIGINT, NULL
 UNION ALL {_sql_parts('bl', 'doc_id, section, paragraph', 'block', 'section::BIGINT, paragraph::BIGINT',
                       "AND (doc_id, section) IN (" + _IN_BOTH.format(k='(doc_id, section)', t='se') + ")")}""")
 def h8_parts(t: Tables):
-    old, new = _trees(t)
+    old, new = _trees(t, staged=True)
     return rg.changed_parts(old, new, "doc_id", "section", "paragraph")
 
 

@@ -68,8 +68,8 @@ def test_documents_are_mined_in_their_own_row(spark):
     assert len(got) > 600
 
 
-@pytest.mark.parametrize("name", ["d16_next_page", "d17_artifacts"])
-def test_artifacts_and_pages_cut_the_texts_once(spark, small, name):
+@pytest.mark.parametrize("name", ["d16_next_page", "d17_artifacts", "h8_changed_parts"])
+def test_texts_are_cut_once(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "documents.parquet" not in plan  # every part reads the rows of numbers
 
