@@ -7,15 +7,16 @@ a query return after the available input is processed.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lorespark.functions import rules
 from lorespark.functions.ordered import with_neighbour
+from lorespark.operators.chunking import let
 from lorespark.operators.history import TERMINAL, hour_of, is_legal
 from lorespark.session import cut_lineage
 from lorespark.sources.sinks import append_new
@@ -40,13 +41,14 @@ def _run(writer, progress: str) -> None:
     query.awaitTermination()
 
 
-def _run_keyed(spark: SparkSession, found: DataFrame, sink: str, progress: str) -> None:
-    """Run a query with keyed state; only this query gets the state store that it needs."""
+@contextmanager
+def _keyed(spark: SparkSession) -> Iterator[None]:
+    """Only the query started inside gets the state store that keyed state needs."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
     spark.conf.set(name, ROCKSDB)
     try:
-        _run(found.writeStream.format("parquet").option("path", sink).outputMode("append"), progress)
+        yield
     finally:
         if before is None:
             spark.conf.unset(name)
@@ -84,10 +86,6 @@ EXPIRY_SCHEMA = T.StructType([
     T.StructField("previous", T.StringType()),
     T.StructField("event_type", T.StringType()),
 ])
-_EVENT = T.StructType([
-    T.StructField("job_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("event_id", T.LongType()),
-    T.StructField("status", T.StringType()),
-])
 _ENDS_LEASE = ("queued", "reserved", *TERMINAL)
 
 
@@ -111,39 +109,33 @@ def ended_leases(events: pd.DataFrame, until: pd.Timestamp, ttl: pd.Timedelta) -
     })
 
 
-class LeaseExpiry(StatefulProcessor):
-    """Buffers the events of one (job group, hour) and decides when the hour is over.
-
-    Leases are far shorter than an hour, so a busy job is spread over its
-    hours instead of living in one state entry; quiet jobs share an entry,
-    which saves the cost of a timer per job.
-    """
+def leases_over(events: Column, until: Column, ttl_seconds: int) -> Column:
+    """``ended_leases`` of sorted (job_id, ts, event_id, status) events, in one pass over the array."""
 
-    def __init__(self, ttl_seconds: int) -> None:
-        self.ttl_ms = ttl_seconds * 1000
+    def judged(x: Column) -> Column:
+        def judge(e: Column, i: Column) -> Column:
+            deadline = e["ts"] + F.make_dt_interval(secs=F.lit(ttl_seconds))
+            following, second = (F.when(o["job_id"] == e["job_id"], o) for o in (F.get(x, i + 1), F.get(x, i + 2)))
+            # runs in a row are one event here, so what follows one is closing
+            runs = F.coalesce(following["status"] == "running", F.lit(False))
+            closed = F.when(runs, second["ts"]).otherwise(following["ts"])
+            running = runs & (following["ts"] <= deadline)
+            over = (e["status"] == "reserved") & (e["ts"] < until) & (closed.isNull() | (closed > deadline))
+            return F.when(over, F.struct(
+                e["job_id"].alias("job_id"), e["event_id"].alias("reserved_event"), deadline.alias("expired_at"),
+                F.when(running, "running").otherwise("reserved").alias("previous"),
+                F.when(running, "failed").otherwise("released").alias("event_type"),
+            ))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getListState("events", _EVENT)
+        return F.array_compact(F.transform(x, judge))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            self.events.appendList([
-                (int(job), ts.to_pydatetime(), int(event), status)
-                for job, ts, event, status in zip(batch.job_id, batch.ts, batch.event_id, batch.status)
-            ])
-        self.handle.registerTimer((key[1] + 3600) * 1000 + self.ttl_ms)
-        yield pd.DataFrame()
+    def first_runs(x: Column) -> Column:
+        def again(e: Column, before: Column) -> Column:
+            return (e["status"] == "running") & (before["status"] == "running") & (e["job_id"] == before["job_id"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(self.events.get()), columns=["job_id", "ts", "event_id", "status"])
-        kept["ts"] = pd.to_datetime(kept.ts)
-        until = pd.Timestamp(key[1] + 3600, unit="s")
-        yield ended_leases(kept, until, pd.Timedelta(self.ttl_ms, unit="ms"))
-        self.events.clear()
+        return F.filter(x, lambda e, i: ~F.coalesce(again(e, F.get(x, i - 1)), F.lit(False)))
 
-    def close(self) -> None:
-        pass
+    return let(let(events, first_runs), judged)
 
 
 def lease_expiry(
@@ -152,26 +144,30 @@ def lease_expiry(
 ) -> None:
     """Write one row per lease that ran out: (job_id, reserved_event, expired_at, …).
 
-    An event close to the start of its hour also goes to the hour before,
-    where it can still close a lease. ``groups`` is the number of job groups
-    per hour, by default one per shuffle partition. Hours that the watermark
-    has not passed when the input ends are left to ``flush_leases``.
+    The state holds the events of one (job group, hour) as an array until the
+    watermark has passed the hour and a lease. An event close to the start of
+    its hour is also in the window of the hour before, where it can still
+    close a lease. Leases are far shorter than an hour, so a busy job is
+    spread over its hours. ``groups`` is the number of job groups per hour, by
+    default one per shuffle partition. Hours that the watermark has not passed
+    when the input ends are left to ``flush_leases``.
     """
     spark = events.sparkSession
     parts = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    second = F.unix_timestamp(F.col("ts"))
-    hour = F.floor(second / 3600) * 3600
-    early = F.floor((second - ttl_seconds - 1) / 3600) * 3600
-    spread = (
+    counts = F.col("status").isin("running", *_ENDS_LEASE)
+    rows = (
         events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
         .withWatermark("ts", delay)
         .withColumn("job_group", F.pmod(F.xxhash64("job_id"), F.lit(parts)))
-        .withColumn("hour", F.explode(F.array_distinct(F.array(hour, early))))
     )
-    found = spread.groupBy("job_group", "hour").transformWithStateInPandas(
-        LeaseExpiry(ttl_seconds), EXPIRY_SCHEMA, "append", "EventTime"
-    )
-    _run_keyed(spark, found, sink, progress)
+    hours = F.window("ts", f"{3600 + ttl_seconds + 1} seconds", "3600 seconds")
+    # all events move the watermark; the state needs those that open, run or close a lease
+    kept = F.collect_list(F.when(counts, F.struct("job_id", "ts", "event_id", "status")))
+    held = rows.groupBy("job_group", hours.alias("hour")).agg(F.sort_array(kept).alias("events"))
+    until = F.col("hour.start") + F.expr("INTERVAL 1 HOUR")
+    found = held.select(F.explode(leases_over(F.col("events"), until, ttl_seconds)).alias("x")).select("x.*")
+    with _keyed(spark):
+        _run(found.writeStream.format("parquet").option("path", sink).outputMode("append"), progress)
 
 
 def flush_leases(
@@ -260,46 +256,45 @@ def judged_segments(events: pd.DataFrame, hour: int, jobs: Iterable[int]) -> pd.
     }).reset_index().assign(hour=hour, illegal=lambda x: [steps.get(job, []) for job in x.job_id])[SEGMENT_SCHEMA.names]
 
 
-class JobSegments(StatefulProcessor):
-    """Keeps the events of one (job group, hour); a batch revises the rows of its jobs."""
+def segments(held: DataFrame) -> DataFrame:
+    """``judged_segments`` of rows (job_id, hour, sorted (ts, event_id, status) events)."""
+    x = F.col("events")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getListState("events", _EVENT)
+    def count(status: str) -> Column:
+        return F.size(F.filter(x, lambda e: e["status"] == status)).cast("long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        jobs: set[int] = set()
-        for batch in rows:
-            jobs.update(batch.job_id)
-            self.events.appendList([
-                (int(job), ts.to_pydatetime(), int(event), status)
-                for job, ts, event, status in zip(batch.job_id, batch.ts, batch.event_id, batch.status)
-            ])
-        kept = pd.DataFrame(list(self.events.get()), columns=["job_id", "ts", "event_id", "status"])
-        yield judged_segments(kept, int(key[1]), jobs)
-
-    def close(self) -> None:
-        pass
+    # each event with the one before it; the first has none and is not judged here
+    pairs = F.arrays_zip(F.slice(x, 1, F.size(x) - 1).alias("a"), F.slice(x, 2, F.size(x)).alias("b"))
+    wrong = F.filter(pairs, lambda p: ~is_legal(p["a"]["status"], p["b"]["status"]))
+    illegal = F.transform(wrong, lambda p: F.struct(
+        p["b"]["event_id"].alias("event_id"), p["a"]["status"].alias("previous_status"), p["b"]["status"].alias("status")))
+    return held.select(
+        "job_id", "hour", F.size(x).cast("long").alias("events"), count("running").alias("attempts"), count("retrying").alias("retries"),
+        x[0]["event_id"].alias("first_event"), x[0]["status"].alias("first_status"),
+        F.element_at(x, -1)["status"].alias("last_status"), illegal.alias("illegal"),
+    )
 
 
-def job_states(events: DataFrame, sink: str, progress: str, groups: int | None = None) -> None:
+def job_states(events: DataFrame, sink: str, progress: str) -> None:
     """Keep status, counters and illegal transitions per job, in hourly segments.
 
-    A batch appends one revised row for each (job, hour) that it touches, so
-    nothing else is written again, and a busy job is spread over its hours. An
-    event that comes late, in whatever batch, is put in its place in event
-    time, and the events beside it are judged again; none is dropped. Read the
-    result by ``latest_states`` and ``illegal_transitions``. ``groups`` is the
-    number of job groups per hour, by default one per shuffle partition.
+    The state holds the events of one (job, hour) as an array. A batch appends
+    one revised row for each (job, hour) that it touches, so nothing else is
+    written again, and a busy job is spread over its hours. An event that
+    comes late, in whatever batch, is put in its place in event time, and the
+    events beside it are judged again; none is dropped. A batch that is
+    repeated replaces its rows. Read the result by ``latest_states`` and
+    ``illegal_transitions``.
     """
-    spark = events.sparkSession
-    parts = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = (
-        events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
-        .withColumn("job_group", F.pmod(F.xxhash64("job_id"), F.lit(parts)))
-        .withColumn("hour", F.floor(F.unix_timestamp("ts") / 3600) * 3600)
-    )
-    found = keyed.groupBy("job_group", "hour").transformWithStateInPandas(JobSegments(), SEGMENT_SCHEMA, "append", "None")
-    _run_keyed(spark, found, sink, progress)
+    hour = F.floor(F.unix_timestamp("ts") / 3600) * 3600
+    rows = events.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "status")
+    held = rows.groupBy("job_id", hour.alias("hour")).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "status"))).alias("events"))
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch={number}")
+
+    with _keyed(events.sparkSession):
+        _run(segments(held).writeStream.foreachBatch(store).outputMode("update"), progress)
 
 
 def _segments(spark: SparkSession, sink: str) -> DataFrame:
