@@ -155,8 +155,9 @@ def contains_term(text: Column, term: str | Column) -> Column:
 
 def count_substring(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of a literal, non-empty needle."""
-    removed = F.length(text) - F.length(F.replace(text, needle, F.lit("")))
-    return (removed / F.length(needle)).cast("bigint")
+    # lengths in bytes are known without a scan
+    removed = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
+    return (removed / F.octet_length(needle)).cast("bigint")
 
 
 def word_count(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -12,29 +13,35 @@ from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 from pyspark.sql import types as T
 
 from lorespark.functions import rules, text as tx
+from lorespark.operators.chunking import let
 from lorespark.session import cut_lineage
 
 #: Query tokens up to this number are sent to every task.
 SMALL_TABLE = 200_000
+#: What no query token holds; a lowered text is searched run by run between.
+_BETWEEN = r"[^a-z0-9_'-]+"
 
 
 def classify(
     text: Column, keywords: Mapping[str, Sequence[str]] = rules.CLASSIFIER_KEYWORDS
 ) -> Column:
     """Category with the most substring hits; earlier category wins a tie."""
-    lowered = F.lower(text)
-    scores = [
-        sum((tx.count_substring(lowered, F.lit(k)) for k in words), F.lit(0))
-        for words in keywords.values()
-    ]
-    ranked = F.array(
-        *[
-            F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))
-            for i, (name, score) in enumerate(zip(keywords, scores))
+
+    def ranked(lowered: Column) -> Column:
+        scores = [
+            sum((tx.count_substring(lowered, F.lit(k)) for k in words), F.lit(0))
+            for words in keywords.values()
         ]
-    )
-    best = F.array_max(ranked)
-    return F.when(best["score"] > 0, best["name"]).otherwise("general")
+        return F.array_max(F.array(
+            *[
+                F.struct(score.alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("name"))
+                for i, (name, score) in enumerate(zip(keywords, scores))
+            ]
+        ))
+
+    # a filter on the category would else count once for each use of the winner
+    best = lambda b: F.when(b["score"] > 0, b["name"]).otherwise("general")
+    return let(let(F.lower(text), ranked), best)
 
 
 def detect_categories(
@@ -150,7 +157,7 @@ def _best_in_tasks(chunks: DataFrame, terms: Sequence[Row], ids: DataFrame, chun
         best = TopChunks(weights, len(names), limit)
         for batch in batches:
             if batch.num_rows:
-                best.add(batch.column("__text").to_pylist(), batch.select(chunk_key))
+                best.add(batch.column("__text"), batch.select(chunk_key))
         yield from best.rows()
 
     found = chunks.mapInArrow(run, f"__query long, {keys}, score long")
@@ -172,10 +179,12 @@ class TopChunks:
         tokens = list(dict.fromkeys(t for _, t, _ in weights))
         place = {t: i for i, t in enumerate(tokens)}
         self.finder = ahocorasick.Automaton()
+        # a token that can overlap itself is counted like str.count does
+        self.again = np.zeros(len(tokens), np.int64)
         for token, i in place.items():
-            # a token that can overlap itself is counted like str.count does
-            again = any(token.startswith(token[k:]) for k in range(1, len(token)))
-            self.finder.add_word(token, (i, len(token) if again else 0))
+            if any(token.startswith(token[k:]) for k in range(1, len(token))):
+                self.again[i] = len(token)
+            self.finder.add_word(token, i)
         self.finder.make_automaton()
         self.size, self.queries = len(tokens), queries
         self.query = np.array([q for q, _, _ in weights], np.int64)
@@ -184,29 +193,50 @@ class TopChunks:
         self.least = np.zeros(queries)
         self.kept: pa.Table | None = None
 
-    def counts(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(row, token) cells of all occurrences, one entry each."""
-        rows, cells = [], []
-        for row, text in enumerate(texts):
-            before = len(cells)
-            last: dict[int, int] = {}
-            for end, (token, size) in self.finder.iter(text or ""):
-                if size:
-                    if end - size < last.get(token, -1):
-                        continue
-                    last[token] = end
-                cells.append(token)
-            rows.append(len(cells) - before)
-        return np.repeat(np.arange(len(texts)), rows), np.array(cells, np.int64)
-
-    def add(self, texts: Sequence[str], keys: pa.RecordBatch) -> None:
+    def _found(self, runs: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(run, token) of all occurrences in the runs, in the order of runs."""
+        # a blank is part of no token, so none is found across two runs
+        ends = np.cumsum([len(run) + 1 for run in runs])
+        found = np.fromiter(chain.from_iterable(self.finder.iter(" ".join(runs))), np.int64).reshape(-1, 2)
+        at, token = found[:, 0], found[:, 1]
+        keep = np.ones(len(at), bool)
+        last: dict[int, int] = {}
+        for i in np.flatnonzero(self.again[token] > 0).tolist():
+            end, which = int(at[i]), int(token[i])
+            if end - self.again[which] < last.get(which, -1):
+                keep[i] = False
+            else:
+                last[which] = end
+        return np.searchsorted(ends, at[keep], "right"), token[keep]
+
+    def counts(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, token) cells of all occurrences, one entry each.
+
+        Tokens hold run characters only, so each distinct run of the block is
+        searched once.
+        """
+        column = pa.array(texts, pa.string()) if isinstance(texts, Sequence) else texts
+        runs = pc.split_pattern_regex(column.fill_null(""), _BETWEEN)
+        words = runs.flatten().dictionary_encode()
+        run, token = self._found(words.dictionary.to_pylist())
+        size = np.bincount(run, minlength=len(words.dictionary))
+        first = np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        row = np.repeat(np.arange(len(column)), runs.value_lengths().to_numpy())
+        row, at = row[size[at] > 0], at[size[at] > 0]
+        n = size[at]
+        entry = np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)
+        return np.repeat(row, n), token[entry]
+
+    def add(self, texts: Sequence[str] | pa.Array, keys: pa.RecordBatch) -> None:
         if not self.size:
             return
         row, cell = self.counts(texts)
-        used, cell = np.unique(cell, return_inverse=True)
-        table = np.bincount(row * len(used) + cell, minlength=len(texts) * len(used)).reshape(len(texts), -1).astype(np.float64)
+        used = np.flatnonzero(np.bincount(cell, minlength=self.size))
         column = np.full(self.size, -1)
         column[used] = np.arange(len(used))
+        cell = column[cell]
+        table = np.bincount(row * len(used) + cell, minlength=len(texts) * len(used)).reshape(len(texts), -1).astype(np.float64)
         hit = column[self.token] >= 0
         query, place, weight = self.query[hit], column[self.token[hit]], self.weight[hit]
         bound = np.bincount(query, weight * table.max(axis=0, initial=0)[place], self.queries)
@@ -267,13 +297,18 @@ def vocabulary_hits(vocabulary: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def corpus_statistics(documents: DataFrame, chunks: DataFrame, category: str) -> DataFrame:
-    """(measure, category, n): documents, chunks and chunks per category."""
-    per = chunks.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
-    per = per.select(F.lit("category").alias("measure"), F.col(category).alias("category"), "n")
+def corpus_statistics(chunks: DataFrame, category: str, first: Column) -> DataFrame:
+    """(measure, category, n): documents, chunks and chunks per category.
+
+    ``first`` marks one chunk of each document. The chunks are read once: all
+    rows come from one aggregate per category, which is kept. Runs a job.
+    """
+    per = cut_lineage(chunks.groupBy(category).agg(F.count(F.lit(1)).alias("n"), F.count_if(first).alias("__docs")))
     none = F.lit(None).cast("string").alias("category")
-    total = chunks.agg(F.count(F.lit(1)).alias("n")).select(F.lit("chunks").alias("measure"), none, "n")
-    docs = documents.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("documents").alias("measure"), none, "n"
-    )
-    return docs.unionByName(total).unionByName(per)
+
+    def total(measure: str, column: str) -> DataFrame:
+        n = F.coalesce(F.sum(column), F.lit(0)).cast("bigint")
+        return per.agg(n.alias("n")).select(F.lit(measure).alias("measure"), none, "n")
+
+    each = per.select(F.lit("category").alias("measure"), F.col(category).alias("category"), "n")
+    return total("documents", "__docs").unionByName(total("chunks", "n")).unionByName(each)

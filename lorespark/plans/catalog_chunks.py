@@ -424,9 +424,7 @@ SELECT 'documents' AS measure, NULL AS category, count(*)::BIGINT AS n FROM ca
 UNION ALL SELECT 'chunks', NULL, count(*) FROM cc
 UNION ALL SELECT 'category', category, count(*) FROM cc GROUP BY category""")
 def e3(t: Tables):
-    chunks = _classified_chunks(t)
-    clean = t.documents.select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
-    return search.corpus_statistics(clean.filter(F.length("clean") >= 20), chunks, "category")
+    return search.corpus_statistics(_classified_chunks(t), "category", F.col("ordinal") == 0)
 
 
 def _sql_rule_hit(name: str) -> str:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
-from lorespark.operators import knowledge, markdown
+from lorespark.operators import knowledge, markdown, search
 from lorespark.plans.catalog import ORACLES, QUERIES
 from lorespark.streaming import streams
 from tests.oracle import compare, connect
@@ -130,3 +130,32 @@ def test_an_array_of_events_gives_the_segments_of_the_rule(spark):
     for job, r in got.items():
         assert tuple(r)[:8] == tuple(want[job])[:8]
         assert [x.asDict() for x in r.illegal] == want[job].illegal
+
+
+def test_statistics_read_the_chunks_once(spark, small):
+    plan = QUERIES["e3_corpus_statistics"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan  # all rows come from the kept counts
+
+
+def test_a_filter_on_the_category_counts_keywords_once(spark):
+    df = spark.range(1).selectExpr("'The end and the rest' AS t")
+    rows = df.select(search.classify(F.col("t"), {"a": ["the"], "b": ["end"]}).alias("c")).filter("c = 'a'")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("replace(") <= 4
+    texts = ["", "İthe end", "ended", "das über ü ü", "aaa"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.count_substring(F.col("t"), F.lit("ü")).alias("n"))
+    assert {r.t: r.n for r in found.collect()} == {t: t.count("ü") for t in texts}
+
+
+def test_each_word_of_a_block_is_searched_once(monkeypatch):
+    tokens = ["aa", "an", "a-b", "ana", "--"]
+    best = search.TopChunks([(0, token, 1) for token in tokens], 1, 3)
+    searched = []
+    plain = best._found
+    monkeypatch.setattr(best, "_found", lambda runs: searched.extend(runs) or plain(runs))
+    texts = ["aaaa banana an", "", "an aaa a-b'an é a an", "banana aaaaa x ---- - -", "ananas aa a aa"]
+    row, cell = best.counts([*texts, None])
+    for i, text in enumerate(texts):
+        for k, token in enumerate(tokens):
+            assert int(((row == i) & (cell == k)).sum()) == text.count(token)
+    assert len(searched) == len(set(searched)) and "banana" in searched
+    assert [len(x) for x in best.counts(["", None, "é"])] == [0, 0]
