@@ -60,7 +60,11 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _symbol_batches(shared):
-    """Texts as symbols, with their rare words and the counts of the others."""
+    """Texts as symbols, with their rare words and the counts of the others.
+
+    Symbols are four bytes each in one value: every pass reads them, and arrays
+    would be taken apart and put together again number by number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, logs = shared.value
@@ -71,16 +75,14 @@ def _symbol_batches(shared):
                 tokens = words_of(text)
                 symbols = np.fromiter((heavy.get(w, rare) for w in tokens), np.int32, len(tokens))
                 others = Counter(tokens[i] for i in np.flatnonzero(symbols == rare).tolist())
-                bodies.append(np.append(symbols, np.int32(end)))
+                bodies.append(np.append(symbols, end).astype("<i4"))
                 words.append(list(others))
                 times.append(list(others.values()))
                 sums.append(float(logs[symbols[symbols != rare]].sum()))
-            sizes = np.cumsum([0, *map(len, bodies)]).astype(np.int32)
-            flat = np.concatenate(bodies) if bodies else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("id", "trains", "number")),
-                    pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)),
+                    pa.array([body.tobytes() for body in bodies], pa.binary()),
                     pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), pa.array(sums, pa.float64()),
                 ],
                 names=["id", "trains", "number", "symbols", "rare", "times", "heavy_log"],
@@ -192,9 +194,14 @@ def maximise(counts: Counts, shares: np.ndarray) -> Hmm:
     return Hmm(start, later, move, emit)
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(), offsets.astype(np.int64)
+def _symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols of a batch, and the place where each text begins; no text is without one."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // 4
+    return np.frombuffer(data, "<i4", int(bounds[-1])), bounds
 
 
 def _expect_batches(shared, n_symbols: int, states: int):
@@ -205,7 +212,7 @@ def _expect_batches(shared, n_symbols: int, states: int):
         total = Counts.none(n_symbols, states)
         found, held = [], 0
         for batch in batches:
-            symbols, bounds = _lists(batch.column("symbols"))
+            symbols, bounds = _symbols_of(batch.column("symbols"))
             first, size, begins = stretches(symbols, bounds)
             for lo in range(0, len(first), BLOCK):
                 cut = slice(lo, lo + BLOCK)
@@ -263,7 +270,7 @@ def _score_batches(shared):
         model: Hmm = shared.value
         rare = len(model.emit) - 1
         for batch in batches:
-            symbols, bounds = _lists(batch.column("symbols"))
+            symbols, bounds = _symbols_of(batch.column("symbols"))
             score = log_likelihoods(model, symbols, bounds) / np.log(10)
             n_rare = np.add.reduceat(symbols == rare, bounds[:-1], dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -302,7 +309,7 @@ def score_texts(docs: DataFrame, train: Column, ident: str = "doc_id", text: str
     n_rare, v_rare = size["n"] - int(amounts.sum()), size["v"] - len(heavy) - bool(ends)
     logs = np.log10(np.append(amounts, 0) + 1)
     kind = plain.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, trains boolean, number long, symbols array<int>, rare array<binary>, times array<long>, heavy_log double"
+    schema = f"id {kind}, trains boolean, number long, symbols binary, rare array<binary>, times array<long>, heavy_log double"
     coded = stage(plain.mapInArrow(_symbol_batches(spark.sparkContext.broadcast((heavy, logs))), schema), "symbols")
 
     shares = (np.append(amounts, n_rare) + 1) / (size["n"] + len(amounts) + 1)

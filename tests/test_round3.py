@@ -2,12 +2,16 @@
 
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as tx
+from lorespark.llm import op10_hmm
 from lorespark.operators import knowledge, markdown, search
 from lorespark.plans.catalog import ORACLES, QUERIES
 from lorespark.streaming import streams
@@ -159,3 +163,15 @@ def test_each_word_of_a_block_is_searched_once(monkeypatch):
             assert int(((row == i) & (cell == k)).sum()) == text.count(token)
     assert len(searched) == len(set(searched)) and "banana" in searched
     assert [len(x) for x in best.counts(["", None, "é"])] == [0, 0]
+
+
+def test_symbols_of_texts_are_one_value_a_row():
+    heavy, logs = {b"a": 0, b"b": 1}, np.log10(np.array([4.0, 3.0, 2.0, 1.0]))
+    texts = ["a b", "", None, "B zz a zz"]
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "trains": [True] * 4, "number": [0, 1, 2, 3], "_t": texts})
+    (out,) = op10_hmm._symbol_batches(SimpleNamespace(value=(heavy, logs)))(iter([batch]))
+    assert out.column("symbols").type == pa.binary()  # arrays cost the passes a step for each token
+    for lo, want in ((0, [[0, 1, 2], [2], [2], [1, 3, 0, 3, 2]]), (2, [[2], [1, 3, 0, 3, 2]]), (4, [])):
+        symbols, bounds = op10_hmm._symbols_of(out.slice(lo).column("symbols"))
+        assert [symbols[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    assert out.column("times").to_pylist()[3] == [2]
