@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lorespark.functions import hashing, text as tx
 from lorespark.operators.chunking import ChunkConfig
+from lorespark.session import cut_lineage
 from lorespark.sources.corpus import reasons
 
 
@@ -143,7 +144,9 @@ def validate(
 ) -> DataFrame:
     """(id, ordinal, reasons): rules each chunk breaks; an empty array is valid.
 
-    ``chunks`` carries spans and, when windows overlap, overlap_chars.
+    ``chunks`` carries spans and, when windows overlap, overlap_chars. They are
+    cut once and kept; what needs no source is judged before the join, so that
+    no text goes through it. Runs a job.
     """
     order = Window.partitionBy(id_col).orderBy("ordinal")
     overlap = F.col("overlap_chars") if "overlap_chars" in chunks.columns else F.lit(0)
@@ -152,12 +155,23 @@ def validate(
         (F.row_number().over(order) - 1).alias("__rank"),
         F.lag(F.right("text", F.lit(config.overlap_size))).over(order).alias("__tail"),
     )
-    per_span = spans(rows, id_col, "ordinal", "text")
+    head_ok = F.when(
+        F.length("__tail") >= F.col("__o"),
+        F.substring(F.col("text"), F.lit(1), F.col("__o")) == F.right("__tail", F.col("__o")),
+    ).otherwise(False)
+    orders = F.transform("spans", lambda s: s["source_order"])
+    own = {
+        "__gap": F.col("ordinal") != F.col("__rank"), "__size": F.length("text"),
+        "__unsorted": orders != F.array_sort(orders), "__head": head_ok,
+    }
+    rows = cut_lineage(rows.withColumns(own).drop("__rank", "__tail"))
+    # a span takes its own piece of the text along, not the whole chunk
+    piece = F.substring(F.col("text"), F.col("text_start") + 1, F.col("text_end") - F.col("text_start"))
+    per_span = spans(rows, id_col, "ordinal", "text").withColumns({"__piece": piece, "__n": F.length("text")}).drop("text")
     source = blocks.select(
         id_col, "source_order", F.col("text").alias("__source"), F.col("heading_context").alias("__path")
     )
     checked = per_span.join(source, [id_col, "source_order"], "left")
-    piece = F.substring(F.col("text"), F.col("text_start") + 1, F.col("text_end") - F.col("text_start"))
     origin = F.substring(
         F.col("__source"), F.col("source_start") + 1, F.col("source_end") - F.col("source_start")
     )
@@ -165,33 +179,31 @@ def validate(
     from_rows = F.col("table_row_start").isNotNull() if "table_row_start" in checked.columns else F.lit(False)
     span_flags = checked.groupBy(id_col, "ordinal").agg(
         F.max(F.col("__source").isNull()).alias("__lost"),
-        F.max(F.coalesce(~from_rows & (piece != origin), F.lit(False))).alias("__text"),
-        F.max((F.col("text_end") <= F.col("text_start")) | (F.col("text_end") > F.length("text"))).alias("__bad"),
+        F.max(F.coalesce(~from_rows & (F.col("__piece") != origin), F.lit(False))).alias("__text"),
+        F.max((F.col("text_end") <= F.col("text_start")) | (F.col("text_end") > F.col("__n"))).alias("__bad"),
         F.max(F.coalesce(F.col("__path") != F.col("section_path"), F.lit(False))).alias("__moved"),
         F.max("is_overlap").alias("__marked"),
     )
-    orders = F.transform("spans", lambda s: s["source_order"])
-    head_ok = F.when(
-        F.length("__tail") >= F.col("__o"),
-        F.substring(F.col("text"), F.lit(1), F.col("__o")) == F.right("__tail", F.col("__o")),
-    ).otherwise(False)
-    out = rows.join(span_flags, [id_col, "ordinal"], "left")
+    judged = rows.select(
+        id_col, "ordinal", "character_count", "__o", "__gap", "__size", "__unsorted", "__head", F.size("spans").alias("__spans")
+    )
+    out = judged.join(span_flags, [id_col, "ordinal"], "left")
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))
     return out.select(
         id_col, "ordinal",
         reasons(
-            (F.col("ordinal") != F.col("__rank"), "ordinals not contiguous"),
-            (F.length("text") == 0, "empty chunk"),
-            (F.length("text") != F.col("character_count"), "wrong character count"),
+            (F.col("__gap"), "ordinals not contiguous"),
+            (F.col("__size") == 0, "empty chunk"),
+            (F.col("__size") != F.col("character_count"), "wrong character count"),
             (F.col("character_count") > config.maximum_size, "over the maximum size"),
-            (F.size("spans") == 0, "no source span"),
-            (orders != F.array_sort(orders), "spans out of order"),
+            (F.col("__spans") == 0, "no source span"),
+            (F.col("__unsorted"), "spans out of order"),
             (flag("__bad"), "span offsets invalid"),
             (flag("__text"), "span differs from chunk text"),
             (flag("__lost"), "source block missing"),
             (flag("__moved"), "section path not inherited"),
             (F.col("__o") > config.overlap_size, "overlap too large"),
-            ((F.col("__o") > 0) & ~F.coalesce(head_ok, F.lit(False)), "overlap differs from previous tail"),
+            ((F.col("__o") > 0) & ~flag("__head"), "overlap differs from previous tail"),
             ((F.col("__o") > 0) & ~flag("__marked"), "overlap not marked"),
         ).alias("reasons"),
     )

@@ -250,7 +250,7 @@ def d13(t: Tables):
 
 @query("d13_structural_validation")
 def d13_structural(t: Tables):
-    blocks = md_blocks(t)
+    blocks = cut_lineage(md_blocks(t))  # cut into chunks, and the source they are checked against
     out = ct.validate(ck.structural(blocks, "doc_id", STRUCTURAL), blocks, "doc_id", STRUCTURAL)
     return out.select("doc_id", "ordinal", F.array_join("reasons", "; ").alias("reasons"))
 

@@ -175,3 +175,9 @@ def test_symbols_of_texts_are_one_value_a_row():
         symbols, bounds = op10_hmm._symbols_of(out.slice(lo).column("symbols"))
         assert [symbols[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
     assert out.column("times").to_pylist()[3] == [2]
+
+
+@pytest.mark.parametrize("name", ["d13_validation", "d13_structural_validation"])
+def test_validated_chunks_are_cut_once(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "chunk_text" not in plan and "Window" not in plan  # both uses read the kept rows
