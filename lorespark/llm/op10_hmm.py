@@ -10,16 +10,16 @@ the scaled forward recursion then gives the exact likelihood of each text.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import byte_texts, held_out, named, stable_values, stage, text_of
+from lorespark.llm.common import held_out, named, stable_values, stage, text_of
 from lorespark.session import prepare
 
 HEAVY = 18
@@ -28,35 +28,53 @@ STATES, PASSES = 6, 14
 #: Training texts are read in stretches of so many tokens.
 STRETCH = 128
 #: Stretches that are read in step.
-BLOCK = 2048
+BLOCK = 4096
 #: Tokens whose emissions are summed by symbol at once.
 TOGETHER = 1 << 20
+#: Tokens that are counted or scored at once.
+MANY = 1 << 22
+#: Steps after which probabilities are scaled again; the smallest that a step
+#: can have (1e-16 of the token before) stay far above 1e-308 until then.
+TURN = 8
 #: Pseudo-tokens of a state, spread like the symbols overall.
 PRIOR = 200.0
 #: The end of a text among the counted words; no word is empty.
 END = b""
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of a batch of texts, and the number of each word's text."""
+    # seen as strings without a check: only bytes below 128 are looked at
+    texts = pc.fill_null(column.cast(pa.binary()), b"").view(pa.string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = parts.flatten()
+    full = pc.not_equal(pc.binary_length(words), 0)  # white space at an edge leaves an empty part
+    return words.filter(full).view(pa.binary()), pc.list_parent_indices(parts).filter(full).to_numpy()
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[pa.Array] = []
+    texts = 0
 
     def flush() -> pa.RecordBatch:
+        found = pc.value_counts(pa.chunked_array(held, pa.binary()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
+            [pa.concat_arrays([found.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([found.field(1), pa.array([texts], pa.int64())])],
+            names=["word", "n"],
         )
 
     for batch in batches:
-        for text in byte_texts(batch.column("_t")):
-            counts.update(words_of(text))
-            counts[END] += 1
-            if len(counts) > 500_000:
-                yield flush()
-                counts.clear()
-    yield flush()
+        held.append(words_of(batch.column("_t"))[0])
+        texts += batch.num_rows
+        if sum(map(len, held)) >= MANY:
+            yield flush()
+            held, texts = [], 0
+    if texts:
+        yield flush()
+
+
+def _lists(bounds: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
 
 def _symbol_batches(shared):
@@ -69,21 +87,28 @@ def _symbol_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, logs = shared.value
         end, rare = len(heavy), len(heavy) + 1
+        heavy = pa.array(heavy, pa.binary())
         for batch in batches:
-            bodies, words, times, sums = [], [], [], []
-            for text in byte_texts(batch.column("_t")):
-                tokens = words_of(text)
-                symbols = np.fromiter((heavy.get(w, rare) for w in tokens), np.int32, len(tokens))
-                others = Counter(tokens[i] for i in np.flatnonzero(symbols == rare).tolist())
-                bodies.append(np.append(symbols, end).astype("<i4"))
-                words.append(list(others))
-                times.append(list(others.values()))
-                sums.append(float(logs[symbols[symbols != rare]].sum()))
+            n = batch.num_rows
+            words, text = words_of(batch.column("_t"))
+            words = words.dictionary_encode()
+            code = pc.index_in(words.dictionary, heavy).fill_null(rare).to_numpy()
+            word = words.indices.to_numpy()
+            symbols = code[word]
+            bounds = np.searchsorted(text, np.arange(n + 1)) + np.arange(n + 1)
+            body = np.full(len(symbols) + n, end, "<i4")
+            body[np.arange(len(symbols)) + text] = symbols
+            coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(body)])
+            # one entry for each text and rare word of it
+            light = np.flatnonzero(symbols == rare)
+            pairs, times = np.unique(text[light] * max(1, len(code)) + word[light], return_counts=True)
+            owner, which = np.divmod(pairs, max(1, len(code)))
+            per_text = np.searchsorted(owner, np.arange(n + 1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in ("id", "trains", "number")),
-                    pa.array([body.tobytes() for body in bodies], pa.binary()),
-                    pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())), pa.array(sums, pa.float64()),
+                    *(batch.column(c) for c in ("id", "trains", "number")), coded,
+                    _lists(per_text, words.dictionary.take(pa.array(which))), _lists(per_text, pa.array(times, pa.int64())),
+                    pa.array(np.bincount(text, logs[symbols], n)),
                 ],
                 names=["id", "trains", "number", "symbols", "rare", "times", "heavy_log"],
             )
@@ -138,42 +163,50 @@ def expect(model: Hmm, symbols: np.ndarray, first: np.ndarray, size: np.ndarray,
     """Add the Baum-Welch counts of stretches, all of them in step, but for emissions.
 
     Those are returned: symbols, and the state probabilities at each of them.
+    Probabilities ahead are scaled every ``TURN`` steps; those back begin with
+    one over a stretch's total, so that their products need no division.
     """
     order = np.argsort(-size, kind="stable")
     first, size, begins = first[order], size[order], begins[order]
     longest = int(size[0]) if len(size) else 0
     states, kind = into.move.shape[0], model.emit.dtype
     if not longest:
-        return np.zeros(0, np.int32), np.zeros((states, 0), kind)
-    # step by step, the stretches that still go on; a row for each state
+        return np.zeros(0, np.int64), np.zeros((0, states), kind)
+    # step by step, the stretches that still go on; a row for each of them
     active = len(size) - np.searchsorted(size[::-1], np.arange(longest), "right")
-    ends = np.cumsum(active)
-    step = [slice(end - n, end) for n, end in zip(active.tolist(), ends.tolist())]
-    places = symbols[np.concatenate([first[:n] + t for t, n in enumerate(active.tolist())])]
-    seen = np.ascontiguousarray(model.emit[places].T)
-    ahead, scale = np.empty_like(seen), np.empty(len(places), kind)
-    into_next = np.ascontiguousarray(model.move.T)
-    for t, here in enumerate(step):
+    edges = [0, *np.cumsum(active).tolist()]
+    places = symbols[np.concatenate([first[:n] + t for t, n in enumerate(active.tolist())])].astype(np.int64)
+    seen = model.emit.take(places, axis=0)
+    ahead = np.empty_like(seen)
+    scale: dict[int, np.ndarray] = {}
+    for t in range(longest):
+        lo, hi = edges[t], edges[t + 1]
+        a = ahead[lo:hi]
         if t == 0:
-            a = np.where(begins, model.start[:, None], model.later[:, None]) * seen[:, here]
+            a[:] = np.where(begins[:, None], model.start, model.later)
         else:
-            before = step[t - 1].start
-            a = (into_next @ ahead[:, before : before + here.stop - here.start]) * seen[:, here]
-        np.sum(a, axis=0, out=scale[here])
-        np.divide(a, scale[here], out=ahead[:, here])
-    seen /= scale
-    back = np.ones((states, len(first)), kind)
+            np.matmul(ahead[edges[t - 1] : edges[t - 1] + hi - lo], model.move, out=a)
+        a *= seen[lo:hi]
+        if t % TURN == TURN - 1:
+            scale[t] = 1 / a.sum(axis=1, keepdims=True)
+            a *= scale[t]
+    back, follow = np.empty((len(first), states), kind), np.empty((len(first), states), kind)
+    moved, come_from, m = np.zeros((states, states)), np.ascontiguousarray(model.move.T), 0
     for t in range(longest - 1, -1, -1):
-        here = step[t]
-        if t + 1 < longest:
-            then = step[t + 1]
-            m = then.stop - then.start
-            follow = back[:, :m] * seen[:, then]
-            into.move += (ahead[:, here.start : here.start + m] @ follow.T) * model.move
-            back[:, :m] = model.move @ follow
-        ahead[:, here] *= back[:, : here.stop - here.start]  # the earlier steps do not need it any more
-    into.start += ahead[:, step[0]][:, begins].sum(axis=1)
-    into.later += ahead[:, step[0]][:, ~begins].sum(axis=1)
+        lo, hi = edges[t], edges[t + 1]
+        if m:
+            then = follow[:m]
+            np.multiply(back[:m], seen[hi : hi + m], out=then)
+            if t + 1 in scale:
+                then *= scale[t + 1]
+            moved += ahead[lo : lo + m].T @ then
+            np.matmul(then, come_from, out=back[:m])
+        back[m : hi - lo] = 1 / ahead[lo + m : hi].sum(axis=1, keepdims=True)  # stretches that end here
+        m = hi - lo
+        ahead[lo:hi] *= back[:m]  # the earlier steps do not need it any more
+    into.move += moved * model.move
+    into.start += ahead[: edges[1]][begins].sum(axis=0)
+    into.later += ahead[: edges[1]][~begins].sum(axis=0)
     return places, ahead
 
 
@@ -181,7 +214,7 @@ def add_emissions(found: list[tuple[np.ndarray, np.ndarray]], into: Counts) -> N
     """Sum the state probabilities by symbol."""
     places = np.concatenate([x for x, _ in found])
     for k in range(into.emit.shape[1]):
-        into.emit[:, k] += np.bincount(places, np.concatenate([x[k] for _, x in found]), len(into.emit))
+        into.emit[:, k] += np.bincount(places, np.concatenate([x[:, k] for _, x in found]), len(into.emit))
 
 
 def maximise(counts: Counts, shares: np.ndarray) -> Hmm:
@@ -204,6 +237,18 @@ def _symbols_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<i4", int(bounds[-1])), bounds
 
 
+def _together(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold so many symbols."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column("symbols").nbytes for b in held) >= 4 * tokens:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _expect_batches(shared, n_symbols: int, states: int):
     """Baum-Welch counts of a task: one row for each symbol that it saw."""
 
@@ -211,12 +256,12 @@ def _expect_batches(shared, n_symbols: int, states: int):
         model: Hmm = shared.value
         total = Counts.none(n_symbols, states)
         found, held = [], 0
-        for batch in batches:
+        for batch in _together(batches, TOGETHER):
             symbols, bounds = _symbols_of(batch.column("symbols"))
             first, size, begins = stretches(symbols, bounds)
-            for lo in range(0, len(first), BLOCK):
-                cut = slice(lo, lo + BLOCK)
-                found.append(expect(model, symbols, first[cut], size[cut], begins[cut], total))
+            # stretches of like lengths in blocks of like sizes
+            for part in np.array_split(np.argsort(-size, kind="stable"), -(-len(first) // BLOCK) or 1):
+                found.append(expect(model, symbols, first[part], size[part], begins[part], total))
                 held += len(found[-1][0])
                 if held >= TOGETHER:
                     add_emissions(found, total)
@@ -252,14 +297,19 @@ def log_likelihoods(model: Hmm, symbols: np.ndarray, bounds: np.ndarray) -> np.n
     order = np.argsort(-size, kind="stable")
     first, ordered = bounds[:-1][order], size[order]
     total = np.zeros(len(order))
-    ends = np.searchsorted(-ordered, -np.arange(int(ordered[0]) if len(ordered) else 0), "left")
-    state = None
-    for t, n in enumerate(ends.tolist()):
-        emitted = model.emit[symbols[first[:n] + t]]
-        state = model.start * emitted if t == 0 else (state[:n] @ model.move) * emitted
-        scale = state.sum(axis=1)
-        state /= scale[:, None]
-        total[:n] += np.log(scale)
+    # texts that hold each step, and none after the last
+    active = np.searchsorted(-ordered, -np.arange(int(ordered[0]) + 1 if len(ordered) else 1), "left").tolist()
+    state = np.broadcast_to(model.start, (len(order), len(model.start)))
+    for t, (n, more) in enumerate(zip(active, active[1:])):
+        if t:
+            state = state[:n] @ model.move
+        state = state * model.emit.take(symbols[first[:n] + t], axis=0)
+        if more < n:
+            total[more:n] += np.log(state[more:].sum(axis=1))
+        if t % TURN == TURN - 1:
+            scale = state[:more].sum(axis=1)
+            state[:more] /= scale[:, None]
+            total[:more] += np.log(scale)
     out = np.empty(len(order))
     out[order] = total
     return out
@@ -269,7 +319,8 @@ def _score_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Hmm = shared.value
         rare = len(model.emit) - 1
-        for batch in batches:
+        # one long text alone takes as many steps as with thousands beside it
+        for batch in _together(batches, MANY):
             symbols, bounds = _symbols_of(batch.column("symbols"))
             score = log_likelihoods(model, symbols, bounds) / np.log(10)
             n_rare = np.add.reduceat(symbols == rare, bounds[:-1], dtype=np.int64) if batch.num_rows else np.zeros(0, np.int64)
@@ -304,10 +355,10 @@ def score_texts(docs: DataFrame, train: Column, ident: str = "doc_id", text: str
     n_end = ends["n"] if ends else 0
     is_heavy = (F.col("n") * float(1 << HEAVY) >= size["n"]) & ~end
     frequent = counts.filter(is_heavy).orderBy(F.desc("n"), "word").collect()  # at most 2 ** HEAVY rows
-    heavy = {bytes(r["word"]): i for i, r in enumerate(frequent)}
+    heavy = [bytes(r["word"]) for r in frequent]
     amounts = np.array([*(r["n"] for r in frequent), n_end], np.float64)
     n_rare, v_rare = size["n"] - int(amounts.sum()), size["v"] - len(heavy) - bool(ends)
-    logs = np.log10(np.append(amounts, 0) + 1)
+    logs = np.log10(np.append(amounts, 0) + 1)  # nothing for a rare word, which is joined
     kind = plain.schema["id"].dataType.simpleString()
     schema = f"id {kind}, trains boolean, number long, symbols binary, rare array<binary>, times array<long>, heavy_log double"
     coded = stage(plain.mapInArrow(_symbol_batches(spark.sparkContext.broadcast((heavy, logs))), schema), "symbols")

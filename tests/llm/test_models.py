@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from lorespark.llm.common import held_out
 from lorespark.llm.op2_toxicity import toxicity
 from lorespark.llm.op4_language import build, grams_of, language, slots_of
 from lorespark.llm.op9_quality import quality_rules
-from lorespark.llm.op10_hmm import Counts, add_emissions, expect, first_model, log_likelihoods, maximise, score_texts
+from lorespark.llm.op10_hmm import Counts, Hmm, _score_batches, add_emissions, expect, first_model, log_likelihoods, maximise, score_texts, words_of
 
 
 def test_mask_of_an_ngram_has_all_its_languages():
@@ -167,6 +169,57 @@ def test_baum_welch_raises_the_likelihood():
     assert log_likelihoods(model, symbols, bounds).sum() > before + 50
 
 
+def test_counts_of_stretches_equal_those_of_all_paths():
+    # states that all but exclude each other's symbols, over more steps than lie between two scalings
+    emit = np.array([[1 - 2e-15, 1e-15, 0.3], [1e-15, 1 - 2e-15, 0.3], [1e-15, 1e-15, 0.4]])
+    move = np.array([[0.9, 0.1 - 1e-12, 1e-12], [1e-12, 0.8, 0.2 - 1e-12], [0.3, 0.3, 0.4]])
+    model = Hmm(np.array([0.5, 0.3, 0.2]), np.array([0.2, 0.2, 0.6]), move, emit)
+    rng = np.random.default_rng(5)
+    size = np.array([1, 30, 8, 9, 16, 17, 30, 2])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    symbols, begins = rng.integers(0, 3, bounds[-1]).astype(np.int32), np.arange(len(size)) % 2 == 0
+    want, logs = Counts.none(3, 3), []
+    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        text = symbols[lo:hi]
+        ahead = [(model.start if begins[i] else model.later) * emit[text[0]]]
+        for s in text[1:]:
+            ahead.append((ahead[-1] @ move) * emit[s])
+        back = [np.ones(3)]
+        for s in text[:0:-1]:
+            back.insert(0, move @ (emit[s] * back[0]))
+        total = ahead[-1].sum()
+        (want.start if begins[i] else want.later)[:] += ahead[0] * back[0] / total
+        for t, s in enumerate(text):
+            want.emit[s] += ahead[t] * back[t] / total
+            if t:
+                want.move += np.outer(ahead[t - 1], emit[s] * back[t]) * move / total
+        logs.append(math.log((ahead[-1] if begins[i] else np.array([np.nan])).sum()))
+    got = Counts.none(3, 3)
+    add_emissions([expect(model, symbols, bounds[:-1], size, begins, got)], got)
+    for name in ("start", "later", "move", "emit"):
+        assert getattr(got, name) == pytest.approx(getattr(want, name), rel=1e-9, abs=1e-12)
+    assert log_likelihoods(model, symbols, bounds)[begins] == pytest.approx(np.array(logs)[begins])
+
+
+def test_words_of_odd_white_space():
+    texts = [b" \x0b A\tb  \x0c\r\n c\x85\xa0 ", b"", b"   ", b"x", None, "ÄÖ İ B\x1cC\u2003d\u00a0e".encode(), b"\xff\xfe Z"]
+    words, text = words_of(pa.array(texts, pa.binary()))
+    want = [(i, w) for i, t in enumerate(texts) for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or b"").lower())]
+    assert list(zip(text.tolist(), words.to_pylist())) == want
+
+
+def test_batches_are_scored_in_step():
+    # a long text in each batch would cost its number of steps each time
+    model, rng = first_model(np.array([0.4, 0.3, 0.2, 0.1])), np.random.default_rng(7)
+    texts = [rng.integers(0, 4, n).astype("<i4") for n in (3, 500, 1, 400, 2, 600)]
+    columns = {"id": range(6), "number": range(6), "symbols": [t.tobytes() for t in texts], "heavy_log": [0.0] * 6}
+    table = pa.table({k: pa.array(v) for k, v in columns.items()})
+    found = list(_score_batches(SimpleNamespace(value=model))(iter(table.to_batches(max_chunksize=2))))
+    assert [b.num_rows for b in found] == [6]
+    want = log_likelihoods(model, np.concatenate(texts), np.cumsum([0, *map(len, texts)])) / math.log(10)
+    assert found[0].column("forward").to_pylist() == pytest.approx(want.tolist())
+
+
 def test_every_pass_reads_all_training_texts(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(f"w{w}" for w in rng.integers(0, 4, rng.integers(1, 4)) + 4 * (i % 2)) for i in range(9000)]
