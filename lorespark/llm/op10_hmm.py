@@ -87,7 +87,7 @@ def _symbol_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, logs = shared.value
         end, rare = len(heavy), len(heavy) + 1
-        heavy = pa.array(heavy, pa.binary())
+        heavy = pa.array(list(heavy), pa.binary())  # in the order of their numbers
         for batch in batches:
             n = batch.num_rows
             words, text = words_of(batch.column("_t"))
