@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import chain
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -18,8 +18,11 @@ from lorespark.session import cut_lineage
 
 #: Query tokens up to this number are sent to every task.
 SMALL_TABLE = 200_000
-#: What no query token holds; a lowered text is searched run by run between.
-_BETWEEN = r"[^a-z0-9_'-]+"
+#: Runs whose tokens a task remembers; frequent ones come early, later ones are searched in every block.
+KNOWN_RUNS = 1 << 18
+#: Bytes that query tokens hold; a lowered text is searched run by run of them.
+_IN_RUN = np.zeros(256, bool)
+_IN_RUN[list(b"abcdefghijklmnopqrstuvwxyz0123456789_'-")] = True
 
 
 def classify(
@@ -165,6 +168,33 @@ def _best_in_tasks(chunks: DataFrame, terms: Sequence[Row], ids: DataFrame, chun
     return found.join(F.broadcast(table), "__query").select(ids.columns[0], *chunk_key, "score")
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, … of each of the sizes, one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+def _runs_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All maximal runs of token characters, and the row of each."""
+    column = column.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    if data is None:
+        return pa.array([], pa.large_string()), np.zeros(0, np.int64)
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    body = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = _IN_RUN[body]
+    edge = bounds[(bounds > 0) & (bounds < len(body))]  # a run ends with its text
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    begins[edge], ends[edge - 1] = inside[edge], inside[edge - 1]
+    first = np.flatnonzero(begins)
+    places = np.concatenate([[0], np.cumsum(np.flatnonzero(ends) + 1 - first)])
+    buffers = [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(body[inside])]
+    return pa.Array.from_buffers(pa.large_string(), len(first), buffers), np.searchsorted(bounds, first, "right") - 1
+
+
 class TopChunks:
     """The best chunks of every query among those added so far.
 
@@ -192,6 +222,9 @@ class TopChunks:
         self.weight = np.array([w for _, _, w in weights], np.float64)
         self.least = np.zeros(queries)
         self.kept: pa.Table | None = None
+        # runs met before: their places, and where their tokens lie in ``tokens``
+        self.known: dict[str, int] = {}
+        self.size_of, self.first_of, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _found(self, runs: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(run, token) of all occurrences in the runs, in the order of runs."""
@@ -209,45 +242,68 @@ class TopChunks:
                 last[which] = end
         return np.searchsorted(ends, at[keep], "right"), token[keep]
 
-    def counts(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, token) cells of all occurrences, one entry each.
-
-        Tokens hold run characters only, so each distinct run of the block is
-        searched once.
+    def _tokens_of(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of tokens of each distinct run, and the first of them in an array of tokens."""
+        place = np.fromiter(map(self.known.get, runs, repeat(-1)), np.int64, len(runs))
+        new = np.flatnonzero(place < 0)
+        run, token = self._found([runs[i] for i in new.tolist()])
+        size = np.bincount(run, minlength=len(new))
+        first = np.cumsum(size) - size + len(self.tokens)
+        place[new] = len(self.size_of) + np.arange(len(new))
+        sizes, firsts, tokens = (np.concatenate(x) for x in ((self.size_of, size), (self.first_of, first), (self.tokens, token)))
+        room = max(0, KNOWN_RUNS - len(self.known))
+        if room and len(new):
+            n = min(room, len(new))
+            self.known.update(zip((runs[i] for i in new[:n].tolist()), range(len(self.size_of), len(self.size_of) + n)))
+            self.size_of, self.first_of = sizes[: len(self.size_of) + n], firsts[: len(self.first_of) + n]
+            self.tokens = tokens[: len(self.tokens) + int(size[:n].sum())]
+        return sizes[place], firsts[place], tokens
+
+    def _cells(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that occur, and the row and the place among them of each occurrence.
+
+        Tokens hold run characters only, so each distinct run is searched once.
         """
-        column = pa.array(texts, pa.string()) if isinstance(texts, Sequence) else texts
-        runs = pc.split_pattern_regex(column.fill_null(""), _BETWEEN)
-        words = runs.flatten().dictionary_encode()
-        run, token = self._found(words.dictionary.to_pylist())
-        size = np.bincount(run, minlength=len(words.dictionary))
-        first = np.cumsum(size) - size
+        words, row = _runs_of(pa.array(texts, pa.string()) if isinstance(texts, Sequence) else texts)
+        words = words.dictionary_encode()
+        size, first, tokens = self._tokens_of(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        token = tokens[_ranges(first, size)]
+        used = np.flatnonzero(np.bincount(token, minlength=self.size))
+        place = np.zeros(self.size, np.int64)
+        place[used] = np.arange(len(used))
+        # the places of each distinct run, then those of each of its occurrences
+        place, first = place[token], np.cumsum(size) - size
         at = words.indices.to_numpy()
-        row = np.repeat(np.arange(len(column)), runs.value_lengths().to_numpy())
-        row, at = row[size[at] > 0], at[size[at] > 0]
-        n = size[at]
-        entry = np.arange(n.sum()) + np.repeat(first[at] - (np.cumsum(n) - n), n)
-        return np.repeat(row, n), token[entry]
+        hit = np.flatnonzero(size[at])
+        at = at[hit]
+        return used, np.repeat(row[hit], size[at]), place[_ranges(first[at], size[at])]
+
+    def counts(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, token) cells of all occurrences, one entry each."""
+        used, row, cell = self._cells(texts)
+        return row, used[cell]
 
     def add(self, texts: Sequence[str] | pa.Array, keys: pa.RecordBatch) -> None:
         if not self.size:
             return
-        row, cell = self.counts(texts)
-        used = np.flatnonzero(np.bincount(cell, minlength=self.size))
+        used, row, cell = self._cells(texts)
         column = np.full(self.size, -1)
         column[used] = np.arange(len(used))
-        cell = column[cell]
-        table = np.bincount(row * len(used) + cell, minlength=len(texts) * len(used)).reshape(len(texts), -1).astype(np.float64)
+        table = np.bincount(row * len(used) + cell, minlength=len(texts) * len(used)).reshape(len(texts), -1)
         hit = column[self.token] >= 0
         query, place, weight = self.query[hit], column[self.token[hit]], self.weight[hit]
         bound = np.bincount(query, weight * table.max(axis=0, initial=0)[place], self.queries)
         open_ = np.flatnonzero((bound > 0) & (bound >= self.least))  # a tie may win by its key
+        # whole numbers up to 2 ** 24 are exact in four bytes, in sums of any order
+        kind = np.float32 if bound.max(initial=0) < 1 << 24 else np.float64
+        table = table.astype(kind)
         number = np.full(self.queries, -1)
         number[open_] = np.arange(len(open_))
         found = []
         for lo in range(0, len(open_), self.columns):
             part = open_[lo : lo + self.columns]
             mine = (number[query] >= lo) & (number[query] < lo + len(part))
-            matrix = np.zeros((len(used), len(part)))
+            matrix = np.zeros((len(used), len(part)), kind)
             matrix[place[mine], number[query[mine]] - lo] = weight[mine]
             score = table @ matrix
             top = np.partition(score, -self.limit, axis=0)[-self.limit] if len(texts) > self.limit else np.zeros(len(part))

@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from lorespark.functions import hashing, text as tx
 from lorespark.operators import chunking, search
 from lorespark.session import cut_lineage
-from lorespark.sources import corpus, sinks
+from lorespark.sources import corpus
 
 
 def unique_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, clean): usable texts, the first of equal ones."""
+    """(doc_id, clean): usable texts, the first of equal ones.
+
+    One exchange of the texts; copies are already merged before it. A join back
+    to the winners would exchange them as well, and clean them a second time.
+    """
     usable = corpus.usable_text(docs, "text").filter("usable").select("doc_id", "clean")
-    return sinks.keep_first_copies(usable, "doc_id", "clean")
+    return usable.groupBy("clean").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "clean")
 
 
 def cut(texts: DataFrame) -> DataFrame:

@@ -146,6 +146,11 @@ def route_formats(df: DataFrame, extension: Column, mime: Column) -> DataFrame:
 
 
 def usable_text(df: DataFrame, text: str, minimum: int = rules.MIN_USABLE_CHARS) -> DataFrame:
-    """Add ``clean`` and ``usable``: enough characters after cleaning."""
-    cleaned = df.withColumn("clean", tx.clean_text(F.col(text)))
+    """Add ``clean`` and ``usable``: enough characters after cleaning.
+
+    A text is cleaned once: a filter on what is generated is not moved in front
+    of it, nor in front of an earlier join, with the whole cleaning repeated.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != "clean"]
+    cleaned = df.select(*kept, F.explode(F.array(tx.clean_text(F.col(text)))).alias("clean"))
     return cleaned.withColumn("usable", F.length("clean") >= minimum)

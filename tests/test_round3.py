@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as tx
 from lorespark.llm import op10_hmm
 from lorespark.operators import knowledge, markdown, search
+from lorespark.plans import flagship
 from lorespark.plans.catalog import ORACLES, QUERIES
+from lorespark.sources import corpus
 from lorespark.streaming import streams
 from tests.oracle import compare, connect
 
@@ -181,3 +183,39 @@ def test_symbols_of_texts_are_one_value_a_row():
 def test_validated_chunks_are_cut_once(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "chunk_text" not in plan and "Window" not in plan  # both uses read the kept rows
+
+
+def test_texts_are_cleaned_once_and_copies_merged_in_one_exchange(spark):
+    rows = [(1, "a  text that is long enough\r\n\n\n\nend "), (2, "short"), (3, None), (4, "a text that is long enough\n\nend"), (5, "another text, long enough")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = flagship.unique_texts(docs)
+    assert sorted(map(tuple, found.collect())) == [(1, rows[3][1]), (5, rows[4][1])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.lower().count("trim(") == 1
+    # nor does the filter go in front of a join, where it would clean every text
+    wanted = docs.join(spark.createDataFrame([(5,)], "doc_id long"), "doc_id", "left_semi")
+    plan = corpus.usable_text(wanted, "text").filter("usable")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("trim(") == 1 and plan.index("trim(") < plan.index("Join")
+
+
+def test_runs_that_a_task_knows_are_not_searched_again(monkeypatch):
+    monkeypatch.setattr(search, "KNOWN_RUNS", 4)
+    tokens = ["aa", "an", "a-b", "ana", "--"]
+    best = search.TopChunks([(0, token, 1) for token in tokens], 1, 3)
+    searched = []
+    plain = best._found
+    monkeypatch.setattr(best, "_found", lambda runs: searched.extend(runs) or plain(runs))
+    blocks = [["banana aaaa", "an", "ana"], ["banana an x-a-b", None, "ananas aa-aa"], ["anaé-- ---", "ananas ana", "aaaa", "x-a-b"]]
+    for block in blocks:
+        row, cell = best.counts(block)
+        for i, text in enumerate(block):
+            for k, token in enumerate(tokens):
+                assert int(((row == i) & (cell == k)).sum()) == (text or "").count(token)
+    assert len(best.known) == 4 and searched.count("banana") == searched.count("an") == 1
+
+
+def test_large_weights_are_summed_exactly():
+    best = search.TopChunks([(0, "aa", 1 << 24), (0, "bb", 1), (1, "bb", 3)], 2, 2)
+    best.add(pa.array(["aa bb", "aa", "bb bb"]), pa.RecordBatch.from_pydict({"k": [1, 2, 3]}))
+    got = [tuple(r.values()) for b in best.rows() for r in b.to_pylist()]
+    assert got == [(0, 1, (1 << 24) + 1), (0, 2, 1 << 24), (1, 3, 6), (1, 1, 3)]
